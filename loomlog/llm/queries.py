@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import line_rules, packing, urls
 from .common import table
 
 #: Overridable by callers; the vocabulary files are never copied into the repository.
@@ -16,7 +16,30 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+#: The rules of the contract.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return line_rules.judge(table(spark, sf_dir, "documents")).select(*columns)
+
+
 QUERIES = {
+    "op2_url_filters": op2_url_filters,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_quality_rules": op7_quality_rules,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_quality_rules": line_rules.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
