@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_rules, packing, urls
-from .common import table
+from . import language_id, line_rules, packing, urls
+from .common import crc_mod, table
 
 #: Overridable by callers; the vocabulary files are never copied into the repository.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -30,6 +31,12 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"))
+    model = language_id.fit(docs.where(~F.col("held_out")).select("text", "lang"))
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return line_rules.judge(table(spark, sf_dir, "documents")).select(*columns)
@@ -38,6 +45,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
