@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_rules, packing, urls
+from . import language_id, line_rules, packing, toxicity, urls
 from .common import crc_mod, table
 
 #: Overridable by callers; the vocabulary files are never copied into the repository.
@@ -27,6 +27,13 @@ URL_RULES = [
 ]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 3) != 1)
+    model = toxicity.fit(docs.where(~F.col("held_out")).select("doc_id", "text"), labels)
+    return toxicity.score(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -43,6 +50,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_url_filters": op2_url_filters,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_language_id": op6_language_id,
