@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = StructType(list(docs.schema.fields)).add("score", "double").add("predicted", "int")
+    schema = StructType(list(docs.schema.fields)).add("score", "double").add("predicted", "integer")
     held = docs.sparkSession.sparkContext.broadcast(model)
     where = docs.columns.index("text")
 
