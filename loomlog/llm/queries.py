@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, line_rules, packing, toxicity, urls
+from . import fingerprints, language_id, line_rules, nbest, packing, toxicity, urls
 from .common import crc_mod, table
 
 #: Overridable by callers; the vocabulary files are never copied into the repository.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -53,6 +54,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nbest.encode(table(spark, sf_dir, "documents"), PIECES, n=3)
+    ids = F.array_join("ids", " ")
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.crc32(ids.cast("binary")).alias("ids_crc32"),
+        "score",
+        F.col("others.score").alias("other_scores"),
+        F.transform("others", lambda o: F.size(o["edits"])).alias("other_edits"),
+        "restored",
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filters": op2_url_filters,
@@ -60,6 +75,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
+    "op8_sentencepiece_nbest": op8_sentencepiece_nbest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_quality_rules": line_rules.SQL,
