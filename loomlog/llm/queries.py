@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, line_rules, nbest, packing, toxicity, urls
+from . import fingerprints, language_id, line_rules, nbest, packing, toxicity, urls, wrappers
 from .common import crc_mod, table
 
 #: Overridable by callers; the vocabulary files are never copied into the repository.
@@ -68,6 +68,10 @@ def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filters": op2_url_filters,
@@ -76,6 +80,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_sentencepiece_nbest": op8_sentencepiece_nbest,
+    "op9_html_extraction": op9_html_extraction,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_quality_rules": line_rules.SQL,
