@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, line_rules, nbest, packing, toxicity, urls, wrappers
+from . import fingerprints, jaccard_join, language_id, line_rules, nbest, packing, toxicity, urls, wrappers
 from .common import crc_mod, table
 
 #: Overridable by callers; the vocabulary files are never copied into the repository.
@@ -72,6 +72,10 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filters": op2_url_filters,
@@ -81,6 +85,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_sentencepiece_nbest": op8_sentencepiece_nbest,
     "op9_html_extraction": op9_html_extraction,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_quality_rules": line_rules.SQL,
