@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language_id, line_rules, nbest, packing, toxicity, urls, wrappers
+from . import fingerprints, jaccard_join, language_id, line_rules, nbest, packing, passages, toxicity, urls, wrappers
 from .common import crc_mod, table
 
 #: Overridable by callers; the vocabulary files are never copied into the repository.
@@ -76,11 +76,16 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filters": op2_url_filters,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_sentencepiece_nbest": op8_sentencepiece_nbest,
