@@ -19,6 +19,8 @@ PERCENT, WIDTH = 75, 5
 #: Shingles of a bucket, about, when their frequencies are counted.
 BUCKET_SHINGLES = 2_000_000
 _BATCH = 1_500_000
+#: Shingles of up to so many sets are rare: see _prefixes().
+RARE = 16
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -104,11 +106,12 @@ def _dealt(docs: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def shared(docs: DataFrame, n_buckets: int, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, alone, shingles) of the sets that share enough shingles with others to link at all.
+    """(doc_id, n, alone, rare, shingles) of the sets that share enough shingles with others to link at all.
 
     One document stands for equal sets.  ``alone`` counts the shingles that no
-    other set has, ``shingles`` are the others' numbers, rare ones first: a
-    link needs least_overlap(n) of them, so sets with fewer go.
+    other set has, ``shingles`` are the others' numbers, rare ones first, and
+    ``rare`` says of how many of them RARE sets have at most.  A link needs
+    least_overlap(n) of them, so sets with fewer go.
     """
     back = max(1, n_buckets)
 
@@ -161,18 +164,21 @@ def shared(docs: DataFrame, n_buckets: int, percent: int = PERCENT) -> DataFrame
         token = token[order]
         at = np.concatenate(([0], np.cumsum(np.where(good, common, 0))))
         rows_ = np.flatnonzero(good)
-        return pd.DataFrame({"doc_id": docs_[rows_], "n": n[rows_], "alone": (n - common)[rows_], "shingles": [token[at[i] : at[i + 1]].tobytes() for i in rows_]})
+        rare = np.bincount(owner[often <= RARE], minlength=len(docs_))
+        return pd.DataFrame({"doc_id": docs_[rows_], "n": n[rows_], "alone": (n - common)[rows_], "rare": rare[rows_], "shingles": [token[at[i] : at[i + 1]].tobytes() for i in rows_]})
 
     middle = "target int, bucket int, docs binary, sizes binary, counts binary, numbers binary, often binary"
     counted = _dealt(docs, n_buckets).groupBy("bucket").applyInPandas(frequencies, middle)
-    return counted.groupBy("target").applyInPandas(gather, "doc_id long, n long, alone long, shingles binary")
+    return counted.groupBy("target").applyInPandas(gather, "doc_id long, n long, alone long, rare long, shingles binary")
 
 
 def _prefixes(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(shingle, doc_id, n, alone): the rarest shingles of each set, of which linked sets have one in common.
 
     All sets order shingles alike, those of one set alone first.  Two that link
-    share one of the first n - least_overlap(n) + 1 of both.
+    share one of the first n - least_overlap(n) + 1 of both, and among those the
+    first that they have in common at all.  So where that one is not rare, they
+    share no rare one: ``alone`` then counts those too.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,11 +187,22 @@ def _prefixes(found: DataFrame, percent: int = PERCENT) -> DataFrame:
             parts = [np.frombuffer(x, dtype=np.int64)[: max(0, k)] for x, k in zip(rows["shingles"], take)]
             sizes = [len(p) for p in parts]
             again = lambda c: np.repeat(rows[c].to_numpy(), sizes)
-            yield pd.DataFrame({"shingle": np.concatenate([np.empty(0, np.int64), *parts]), "doc_id": again("doc_id"), "n": again("n"), "alone": again("alone")})
+            place = np.concatenate([np.empty(0, np.int64), *(np.arange(k) for k in sizes)])
+            alone = again("alone") + np.where(place < again("rare"), 0, again("rare"))
+            yield pd.DataFrame({"shingle": np.concatenate([np.empty(0, np.int64), *parts]), "doc_id": again("doc_id"), "n": again("n"), "alone": alone})
 
     return found.mapInPandas(run, "shingle long, doc_id long, n long, alone long")
 
 
+def _prefix_arrays(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            take = (rows["n"] - least_overlap(rows["n"], percent) + 1 - rows["alone"]).to_numpy()
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "prefix": [np.frombuffer(x, dtype=np.int64)[: max(0, k)] for x, k in zip(rows["shingles"], take)]})
+
+    return run
+
+
 def _distances(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """(a, b, distance) of pairs of documents, exact."""
 
@@ -211,8 +228,13 @@ def _distances(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, common long, union long")
 
 
-def _fits(x: str, y: str, percent: int):
-    return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
+def _can_link(a: tuple[str, str], b: tuple[str, str], percent: int):
+    """Whether sets of these (size, shingles of its own) can share enough: what one has alone is not shared.
+
+    At a similarity of p hundredths the common shingles are p / (100 + p) of both sizes or more.
+    """
+    common = F.least(F.col(a[0]) - F.col(a[1]), F.col(b[0]) - F.col(b[1]))
+    return common * (100 + percent) >= (F.col(a[0]) + F.col(b[0])) * percent
 
 
 def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -223,14 +245,15 @@ def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     distance to the pivot; a region in which links to pivots connect all members
     is done.  In the others, members that are not of the largest connected part
     meet all members that the triangle inequality allows: those whose distance
-    to the pivot differs from theirs by at most the largest linked distance.
+    to the pivot differs from theirs by at most the largest linked distance.  A
+    pair meets in the region of the first shingle that both have.
     """
     far = (100 - percent) / 100 + 1e-9
     members = durable(_prefixes(found, percent))
-    pivot = F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n")))
-    pivots = durable(members.groupBy("shingle").agg(pivot.alias("p"), F.count("*").alias("size")).where("size > 1").select("shingle", "p.pivot", "p.pivot_n"))
+    pivot = F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("alone").alias("pivot_alone")))
+    pivots = durable(members.groupBy("shingle").agg(pivot.alias("p"), F.count("*").alias("size")).where("size > 1").select("shingle", "p.pivot", "p.pivot_n", "p.pivot_alone"))
     regions = members.join(pivots, "shingle")
-    pairs = regions.where("doc_id <> pivot").where(_fits("n", "pivot_n", percent)).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = regions.where("doc_id <> pivot").where(_can_link(("n", "alone"), ("pivot_n", "pivot_alone"), percent)).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     first = durable(_distances(pairs, found))
     linked = F.col("common") * 100 >= F.col("union") * percent
     known = first.where(linked).select("a", "b")
@@ -240,11 +263,13 @@ def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     main = sizes.groupBy("shingle").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     apart = first.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("union")).alias("distance"))
     open_ = placed.join(main.select("shingle", "main"), "shingle").join(apart, ["doc_id", "pivot"], "left")
-    open_ = durable(open_.select("shingle", "doc_id", "n", "part", "main", "pivot", F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.col("distance")).alias("distance")))
-    few = open_.where("part <> main").select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"), F.col("distance").alias("d_a"))
-    all_ = open_.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"), F.col("distance").alias("d_b"), "pivot")
+    firsts = found.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(_prefix_arrays(percent), "doc_id long, prefix array<long>")
+    open_ = durable(open_.join(firsts, "doc_id").select("prefix", "shingle", "doc_id", "n", "alone", "part", "main", "pivot", F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.col("distance")).alias("distance")))
+    few = open_.where("part <> main").select("shingle", F.col("prefix").alias("prefix_a"), F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("alone").alias("alone_a"), F.col("part").alias("part_a"), F.col("distance").alias("d_a"))
+    all_ = open_.select("shingle", F.col("prefix").alias("prefix_b"), F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("alone").alias("alone_b"), F.col("part").alias("part_b"), F.col("distance").alias("d_b"), "pivot")
     window = F.coalesce(F.abs(F.col("d_a") - F.col("d_b")) <= far, F.lit(True))  # a size that does not fit the pivot's has no distance
-    meet = few.join(all_, "shingle").where(F.col("part_a") != F.col("part_b")).where(window).where((F.col("b") != F.col("pivot")) & (F.col("a") != F.col("pivot"))).where(_fits("n_a", "n_b", percent))
+    meet = few.join(all_, "shingle").where(F.col("part_a") != F.col("part_b")).where(window).where((F.col("b") != F.col("pivot")) & (F.col("a") != F.col("pivot"))).where(_can_link(("n_a", "alone_a"), ("n_b", "alone_b"), percent))
+    meet = meet.where(F.get(F.array_intersect("prefix_a", "prefix_b"), F.lit(0)) == F.col("shingle"))  # a pair meets in one region
     rest = meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return known.unionByName(_distances(rest, found).where(linked).select("a", "b"))
 
