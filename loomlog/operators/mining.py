@@ -1,0 +1,69 @@
+"""Candidates of memories from sessions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import predicates as P
+from ..functions import text as X
+from .windows import SESSION, top_k, turns
+
+#: Fixed values.
+CORRECTION_NEEDLES = ("no,", "actually", "instead", "don't", "do not", "stop", "revert", "undo", "wrong", "not what i")
+
+
+def compact(events: DataFrame, head: int = 70, tail: int = 20) -> DataFrame:
+    """What a summary needs of a session: key events and user events, of long ones the first ``head`` and last ``tail``."""
+    kinds = ("message", "command", "file_edit", "tool_call", "tool_result", "error", "permission")
+    rows = events.where(F.col("event_type").isin(*kinds) | (F.col("actor") == "user"))
+    own = Window.partitionBy(*SESSION)
+    rows = rows.withColumn("_up", F.row_number().over(own.orderBy("ord"))).withColumn("_down", F.row_number().over(own.orderBy(F.col("ord").desc()))).withColumn("_n", F.count("*").over(own))
+    return rows.where((F.col("_n") <= head + tail) | (F.col("_up") <= head) | (F.col("_down") <= tail)).drop("_up", "_down", "_n")
+
+
+def skills(events: DataFrame, k: int = 4) -> DataFrame:
+    """The best turns of each session as skills: at least two calls, no failure, and no complaint in the next user message.
+
+    A turn goes from a user message to the next one; those with more edits, then
+    more calls, then the earlier ones come first.
+    """
+    user = (F.col("actor") == "user") & (F.col("event_type") == "message")
+    call = P.is_action(F.col("actor"), F.col("event_type"))
+    text = X.event_text(F.col("payload"), F.col("summary"))
+    rows = events.withColumn("turn", turns(user)).withColumn("_text", text)
+    first = lambda c, v: F.min_by(F.when(c, v), F.when(c, F.col("ord")))
+    t = rows.groupBy(*SESSION, "turn").agg(
+        first(user, F.col("_text")).alias("goal"), F.count_if(call).alias("calls"), F.count_if(call & (F.col("event_type") == "file_edit")).alias("edits"),
+        F.coalesce(F.bool_or(P.failed_turn(F.col("payload"))), F.lit(False)).alias("failed"),
+        F.transform(F.array_sort(F.collect_list(F.when(call, F.struct("ord", "summary")))), lambda x: x["summary"]).alias("steps"),
+    )
+    after = F.lead("goal").over(Window.partitionBy(*SESSION).orderBy("turn"))
+    good = t.withColumn("_next", after).where((F.col("calls") >= 2) & ~F.col("failed") & (F.col("turn") >= 1))
+    good = good.where(~F.coalesce(P.satisfaction(F.col("_next")) == "negative", F.lit(False)))
+    best = top_k(good, list(SESSION), [F.col("edits").desc(), F.col("calls").desc(), F.col("turn")], k)
+    title = X.truncate(F.coalesce("goal", F.lit("")), 80, flatten=True)
+    return best.select(*SESSION, "rank", "turn", X.slug(title).alias("id"), F.lit("skill").alias("kind"), title.alias("title"), F.slice("steps", 1, 8).alias("steps"), "edits", "calls")
+
+
+def procedures(steps: DataFrame, goals: DataFrame, runs: int = 12) -> DataFrame:
+    """A procedure of each session: its goal and the first ``runs`` phases, each with its length."""
+    from .windows import in_order, islands
+
+    changed = F.coalesce(F.lag("category").over(in_order()) != F.col("category"), F.lit(True))
+    rows = steps.withColumn("_new", changed).withColumn("run", islands(F.col("_new"))).where(F.col("run") <= runs)
+    phases = rows.groupBy(*SESSION, "run").agg(F.first("category").alias("category"), F.count("*").alias("n"))
+    lines = F.array_sort(F.collect_list(F.struct("run", F.concat("category", F.lit(" x"), F.col("n").cast("string")).alias("line"))))
+    warnings = steps.where("failed").groupBy(*SESSION).agg(F.slice(F.array_sort(F.collect_set("category")), 1, 5).alias("warnings"))
+    return phases.groupBy(*SESSION).agg(F.transform(lines, lambda x: x["line"]).alias("phases")).join(goals, list(SESSION), "left").join(warnings, list(SESSION), "left")
+
+
+def refinements(events: DataFrame) -> DataFrame:
+    """Fixed candidates that a session's events call for, or one that says that nothing did."""
+    text = F.lower(X.event_text(F.col("payload"), F.col("summary")))
+    corrected = F.bool_or((F.col("actor") == "user") & P.any_of(text, CORRECTION_NEEDLES))
+    docs = F.bool_or((F.col("event_type") == "file_edit") & F.lower(F.coalesce("payload", F.lit(""))).rlike(r"docs/|specs/"))
+    searched = F.bool_or(F.lower(F.coalesce("summary", F.lit(""))).contains("search"))
+    flags = events.groupBy(*SESSION).agg(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in (("corrected", corrected), ("docs", docs), ("searched", searched))])
+    found = F.array_compact(F.array(F.when(F.col("corrected"), "follow the user's corrections"), F.when(F.col("docs"), "keep the documents in step"), F.when(F.col("searched"), "check claims by a search")))
+    return flags.select(*SESSION, F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("nothing to refine")))).alias("text"))
