@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,9 +66,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(estimate)
 
 
-def next_by_id(docs: DataFrame, columns: list[str]) -> DataFrame:
+def next_by_id(docs: DataFrame, columns: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df, derived: tuple[str, ...] = ()) -> DataFrame:
     """Add ``next_<column>`` of the next row in descending doc_id; after the last row comes the first.
 
+    ``derive`` adds the columns ``derived`` that follow from ``columns``.  They are
+    worked out once for all rows, and once more for the first row of each range only.
+
     Rows are dealt by ranges of doc_id, a few thousand rows each, and ordered
     inside a range; a range's last row goes on with the first row of the next
     one, which a small table of ranges holds.  Equal ids follow each other in the
@@ -89,7 +93,11 @@ def next_by_id(docs: DataFrame, columns: list[str]) -> DataFrame:
     docs = docs.withColumn("_range", bucket.cast("int")).drop("_coarse")
     order = [F.col("doc_id").desc_nulls_last(), *[F.col(c) for c in columns]]
     # the first row of a range is its largest id
-    first = docs.groupBy("_range").agg(F.min_by(F.struct(*columns), F.struct(-F.col("doc_id"), *columns)).alias("_head"))
+    first = docs.groupBy("_range").agg(F.min_by(F.struct(*columns), F.struct(-F.col("doc_id"), *columns)).alias("_row"))
+    first = derive(first.select("_range", "_row.*"))
+    docs = derive(docs)
+    columns = [*columns, *derived]
+    first = first.select("_range", F.struct(*columns).alias("_head"))
     heads = Window.orderBy(F.col("_range").desc())
     ring = first.select("_range", F.lead("_head").over(heads).alias("_after"), F.first("_head").over(heads.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_start"))
     ring = ring.select("_range", F.coalesce("_after", "_start").alias("_after"))
@@ -108,8 +116,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     follow each other.
     """
     df = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    df = sketch_steps(df, "text", "fingerprint")
-    df = next_by_id(df, ["text", "fingerprint"])
+    df = next_by_id(df, ["text"], lambda rows: sketch_steps(rows, "text", "fingerprint"), ("fingerprint",))
     half = (F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
     near = likeness(F.col("fingerprint"), F.col("next_fingerprint"))
