@@ -339,6 +339,18 @@ def test_kneser_ney_against_the_definition(spark):
         assert values[np.searchsorted(table, slot), 0] == pytest.approx(np.log(want), rel=1e-5)
 
 
+def test_language_models_keep_every_ngram_apart(spark):
+    rng = random.Random(12)
+    texts = ["".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(500)) for _ in range(80)]
+    model = language_id.kneser_ney(language_id.count_grams(spark.createDataFrame([(t, "x") for t in texts], "text string, lang string")))
+    for order in (4, 3):
+        seen = set(np.concatenate([language_id.grams(language_id.fold(t), order) for t in texts]).tolist())
+        table, values = model.probability[order]
+        assert len(table) == len(values) == len(seen) > 39_000
+        other = np.array([(0x41 << 48 | k) & ((1 << (16 * order)) - 1) for k in range(1 << 20, 2 << 20)], dtype=np.uint64)
+        assert not np.isin(language_id.hash_key(other[~np.isin(other, np.array(sorted(seen), np.uint64))], order), table).any()
+
+
 # ---- 8
 
 
