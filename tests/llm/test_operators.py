@@ -339,6 +339,23 @@ def test_kneser_ney_against_the_definition(spark):
         assert values[np.searchsorted(table, slot), 0] == pytest.approx(np.log(want), rel=1e-5)
 
 
+def test_language_rejection_by_length(spark):
+    rng = random.Random(14)
+    sound = {"aa": ["ba", "lo", "mi", "tan", "re", "su"], "bb": ["schra", "ung", "keit", "ver", "ich", "ten"]}
+    text = lambda kind, n: " ".join("".join(rng.choice(kind) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    docs = spark.createDataFrame([(i, text(sound[lang], rng.randint(20, 200)), lang) for i, lang in enumerate(["aa", "bb"] * 400)], DOCS + ", lang string")
+    model = language_id.fit(docs)
+    clean = [(i, text(sound["aa" if i % 2 else "bb"], 1 + i % 12)) for i in range(400)]
+    letters = [chr(c) for c in range(0x3B1, 0x3C9)]
+    odd = [(1000 + i, text(letters, 4 * (3 + i % 40))) for i in range(100)]
+    odd += [(1100 + i, text("qwxzjkvpyfgd", 4 * (3 + i % 40))) for i in range(100)]
+    odd += [(1200 + i, text(["zyk", "owo", "prz", "dzj", "wsk"], 4 + i % 40)) for i in range(100)]
+    got = language_id.predict(spark.createDataFrame(clean + odd, DOCS), model).select("doc_id", language_id.rejected().alias("gone"))
+    gone = {r["doc_id"] for r in got.collect() if r["gone"]}
+    assert len([i for i in gone if i < 1000]) <= 8
+    assert not {i for i, _ in odd} - gone
+
+
 def test_language_models_keep_every_ngram_apart(spark):
     rng = random.Random(12)
     texts = ["".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(500)) for _ in range(80)]
