@@ -137,6 +137,41 @@ def test_passages_are_removed_once(spark):
     assert passages.find(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_passages_with_longer_edits(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(7))
+    rows = []
+    for k in range(40):  # 90 words of which 4 in the middle are replaced, or before which 4 are inserted
+        passage = [word() for _ in range(90)]
+        other = passage[:43] + [word() for _ in range(4)] + passage[47 if k % 2 else 43 :]
+        rows += [(2 * k, " ".join([word() for _ in range(30)] + passage)), (2 * k + 1, " ".join(other + [word() for _ in range(30)]))]
+    found = {r["doc_id"]: r for r in passages.find(spark.createDataFrame(rows, DOCS)).collect()}
+    missed = [k for k in range(40) if 2 * k + 1 not in found or 2 * k not in found]
+    assert len(missed) <= 1
+    for k in set(range(40)) - set(missed):
+        r = found[2 * k + 1]
+        assert r["later"] and r["first_doc"] == 2 * k and r["end_word"] - r["start_word"] >= 85
+        assert not found[2 * k]["later"]
+
+
+def test_passages_of_several_documents_are_none(spark):
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(7))
+    line = [" ".join(word() for _ in range(20)) for _ in range(3)]
+    own = [" ".join(word() for _ in range(40)) for _ in range(4)]
+    rows = [(k, own[k] + "\n" + line[k] + "\n" + " ".join(word() for _ in range(40))) for k in range(3)] + [(3, "\n".join(line)), (4, own[3] + " " + " ".join(line))]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = passages.find(docs).collect()
+    assert {(r["doc_id"], r["first_doc"], r["later"]) for r in found} == {(4, 3, True), (3, 3, False)}
+    assert passages.remove(docs, passages.find(docs)).where("doc_id = 3").count() == 1
+
+
+def test_passages_that_overlap_are_removed(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(200)))], DOCS)
+    spans = spark.createDataFrame([(1, 10, 70, 0, True), (1, 68, 150, 0, True), (1, 150, 200, 0, True)], passages.SPANS)
+    assert passages.remove(docs, spans).collect()[0]["text"].split() == [f"w{i}" for i in range(10)]
+
+
 # ---- 4
 
 
