@@ -6,8 +6,8 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import count
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,14 +18,18 @@ _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _CACHE_CHUNKS, _CACHE_CHARS = 400_000, 40
 #: How much worse than the worst piece a character is that no piece has.
 UNKNOWN_PENALTY = 10.0
+_LOW = -1e300
 
 
 class Lattice(dict):
     """The best segmentations of chunks, kept while there is room.
 
-    A chunk is a run of spaces and the word after it; no piece reaches over the
-    start of a chunk.  A value is (best score, ids, second-best score); of equal
-    scores the one with fewer ids, then the one with smaller ids is the best.
+    A chunk is a run of spaces and the word after it.  No piece reaches over the
+    start of a chunk, so each path through a text's lattice goes through these
+    borders, and its forward scores are sums of those of the chunks.  A value is
+    (best score, its ids as little-endian 32-bit numbers, what the second-best
+    path loses); of equal scores the path with the longer last piece is the
+    better one, then the one with the longer piece before it, and so on.
     """
 
     def __init__(self, model_file: str, n: int):
@@ -36,121 +40,141 @@ class Lattice(dict):
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         size = self.model.vocab_size()
         usable = [i for i in range(size) if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i) or self.model.is_byte(i))]
-        self.pieces = {self.model.id_to_piece(i): (self.model.get_score(i), i) for i in usable}
+        self.ids = {self.model.id_to_piece(i): i for i in usable}
+        self.scores = {p: self.model.get_score(i) for p, i in self.ids.items()}
+        self.longest = max(map(len, self.ids), default=1)
         self.bytes = {bytes([int(p[3:5], 16)]): i for i in range(size) if self.model.is_byte(i) for p in [self.model.id_to_piece(i)]}
-        #: Each beginning of a piece, with the piece's score and id where it is one itself.
-        self.prefixes: dict = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
-        self.together = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
-        self.unknown_score = min((s for s, _ in self.pieces.values() if s > -1e8), default=0.0) - UNKNOWN_PENALTY
+        #: By character what goes on with it: the score of the piece that ends there, and the next characters.
+        self.tree: dict = {}
+        for piece in sorted(self.ids):  # a piece comes behind its beginnings
+            at = self.tree
+            for char in piece[:-1]:
+                score, more = at.get(char, (None, None))
+                if more is None:
+                    more = {}
+                    at[char] = (score, more)
+                at = more
+            at[piece[-1]] = (self.scores[piece], None)
+        self.unknown_score = min((s for s in self.scores.values() if s > -1e8), default=0.0) - UNKNOWN_PENALTY
         self.unknown_id = self.model.unk_id()
+        texts = {i: p.encode() for p, i in self.ids.items()} | {i: b for b, i in self.bytes.items()}
+        self.texts = [texts.get(i, b"") for i in range(size)]
+        self.texts[self.unknown_id] = " ⁇ ".encode()
 
-    def unknown(self, char: str) -> tuple[int, ...]:
-        return tuple(self.bytes.get(bytes([b]), self.unknown_id) for b in char.encode("utf-8", "surrogatepass")) if self.bytes else (self.unknown_id,)
+    def unknown(self, char: str) -> list[int]:
+        return [self.bytes.get(bytes([b]), self.unknown_id) for b in char.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown_id]
 
-    def edges(self, chunk: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each start the (end, score, ids) of the pieces there; an unknown character stands for itself."""
-        size, prefixes = len(chunk), self.prefixes
-        out: list[list[tuple[int, float, tuple[int, ...]]]] = []
-        for start in range(size):
-            here = []
-            for end in range(start + 1, size + 1):
-                part = chunk[start:end]
-                if part not in prefixes:
-                    break
-                if (piece := prefixes[part]) is not None:
-                    here.append((end, piece[0], (piece[1],)))
-            if not here or here[0][0] > start + 1:
-                here.append((start + 1, self.unknown_score, self.unknown(chunk[start])))
-            out.append(here)
+    def put(self, chunk: str, starts: list[int]) -> array:
+        """Ids of the path whose pieces begin at ``starts``, the last one first."""
+        out, end, parts = array("i"), len(chunk), []
+        for start in starts:
+            parts.append(chunk[start:end])
+            end = start
+        for part in reversed(parts):
+            found = self.ids.get(part)
+            if found is None:
+                out.extend(self.unknown(part))
+            else:
+                out.append(found)
         return out
 
-    def path(self, back: list, at: int, *last: int | str) -> tuple[int, ...]:
-        parts = list(last)
-        while at:
-            at, part = back[at]
-            parts.append(part)
-        parts.reverse()
-        ids: list[int] = []
-        for part in parts:
-            ids.extend(self.unknown(part) if isinstance(part, str) else (part,))
-        return tuple(ids)
-
-    def viterbi(self, chunk: str) -> tuple[float, tuple[int, ...], float]:
-        """Best score and ids, and the score of the second-best path, by one pass forward."""
-        size, prefixes = len(chunk), self.prefixes
-        low = -1e300
-        best, second = [0.0] + [low] * size, [low] * (size + 1)
-        back: list = [None] * (size + 1)
+    def forward(self, chunk: str) -> tuple[list | array, list | array, float]:
+        """Best score up to each position, where its last piece begins, and the second-best score of the whole."""
+        size, tree, nothing, unknown = len(chunk), self.tree, (None, None), self.unknown_score
+        if size <= 10_000:
+            best, second, back = [_LOW] * (size + 1), [_LOW] * (size + 1), [0] * (size + 1)
+        else:
+            best, second, back = array("d", [_LOW]) * (size + 1), array("d", [_LOW]) * (size + 1), array("i", [0]) * (size + 1)
+        best[0] = 0.0
         for start in range(size):
             first, other = best[start], second[start]
-            end, alone = start, False
+            end = start + 1
+            score, more = tree.get(chunk[start], nothing)
+            if score is None:  # a character that is no piece stands for itself
+                score = unknown
             while True:
+                if score is not None:
+                    new, have = first + score, best[end]
+                    if new > have:
+                        best[end], back[end] = new, start
+                        new = have  # what was best can be second now
+                    if new > second[end]:
+                        second[end] = new
+                    new = other + score
+                    if new > second[end]:
+                        second[end] = new
+                if end == size or more is None:
+                    break
+                score, more = more.get(chunk[end], nothing)
+                if score is None and more is None:
+                    break
                 end += 1
-                piece = prefixes.get(chunk[start:end], 0) if end <= size else 0
-                if piece == 0:
-                    if alone:
-                        break
-                    end, piece = start + 1, (self.unknown_score, chunk[start])
-                elif piece is None:
-                    if end > start + 1 or chunk[start] in self.pieces:
-                        continue
-                    piece = (self.unknown_score, chunk[start])
-                alone = True
-                new, have = first + piece[0], best[end]
-                if new > have:
-                    best[end], back[end] = new, (start, piece[1])
-                    new, have = have, new  # what was best can be second now
-                elif new == have:
-                    own, held = self.path(back, start, piece[1]), self.path(back, end)
-                    if (len(own), own) < (len(held), held):
-                        back[end] = (start, piece[1])
-                if new > second[end]:
-                    second[end] = new
-                if other + piece[0] > second[end]:
-                    second[end] = other + piece[0]
-        return best[size], self.path(back, size), second[size]
-
-    def search(self, chunk: str) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best: forward Viterbi, then A* from the end with its scores as what is still to come.
-
-        As the best score up to a position is exact, each path taken from the
-        queue is the best of those not yet complete, and complete ones come in
-        order.  All of equal score are taken before they are put in order.
+        return best, back, second[size]
+
+    def search(self, chunk: str) -> list[tuple[float, array]]:
+        """The n best (loss against the best, ids), by backward A* with the forward scores as exact heuristics.
+
+        A path is a suffix that leaves an earlier path at one node by another
+        piece, and the best way from the start to there; what it loses in all is
+        known from the forward scores at that node.  So the cheapest one not yet
+        taken is the next best, and only nodes of paths taken are looked at: the
+        work is the length of the chunk times n times the longest piece.
         """
-        size = len(chunk)
-        ending: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(size + 1)]
-        best = [0.0] + [-1e300] * size
-        for start, here in enumerate(self.edges(chunk)):
-            for end, score, ids in here:
-                ending[end].append((start, score, ids))
-                best[end] = max(best[end], best[start] + score)
-        tick = count()
-        queue = [(-best[size], next(tick), size, 0.0, None)]
-        out: list[tuple[float, tuple[int, ...]]] = []
-        while queue and (len(out) < self.n or -queue[0][0] == out[-1][0]):
-            _, _, at, score, path = heapq.heappop(queue)
-            if at:
-                for start, add, ids in ending[at]:
-                    heapq.heappush(queue, (-(score + add + best[start]), next(tick), start, score + add, (ids, path)))
-                continue
-            found: list[int] = []
-            while path is not None:
-                found.extend(path[0])
-                path = path[1]
-            out.append((score, tuple(found)))
-        out.sort(key=lambda x: (-x[0], len(x[1]), x[1]))
-        return out[: self.n]
-
-    def __missing__(self, chunk: str) -> tuple[float, tuple[int, ...], float]:
-        # where no piece has these two characters together, the parts have nothing to do with each other
-        together = self.together
-        cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in together]
-        if cuts:
-            parts = [self[chunk[i:k]] for i, k in zip([0, *cuts], [*cuts, len(chunk)])]
-            total = sum(p[0] for p in parts)
-            found = (total, tuple(i for p in parts for i in p[1]), total + max(p[2] - p[0] for p in parts))
-        else:
-            found = self.viterbi(chunk)
+        best, back, _ = self.forward(chunk)
+        pieces, unknown, n = self.scores, self.unknown_score, self.n
+
+        def starts_of(node: tuple) -> list[int]:
+            """Where the pieces of a path begin, from the last to the first."""
+            _, leave, start, parent = node
+            if parent is None:
+                out, at = [], len(chunk)
+            else:
+                out, at = [], start
+                for s in parent:
+                    if s < leave:
+                        break
+                    out.append(s)
+                out.append(start)
+            while at:
+                at = back[at]
+                out.append(at)
+            return out
+
+        pool: list[tuple] = [(0.0, len(chunk) + 1, 0, None)]
+        out: list[tuple[float, array]] = []
+        while pool and len(out) < n:
+            least = min(p[0] for p in pool)
+            node = min((p for p in pool if p[0] == least), key=starts_of)
+            pool.remove(node)
+            loss, leave, start, parent = node
+            starts = starts_of(node)
+            out.append((loss, self.put(chunk, starts)))
+            if len(out) == n:
+                break
+            at, found = len(chunk), []
+            for own in starts:
+                if parent is None or at <= start:
+                    for other in range(max(0, at - self.longest), at):
+                        if other == own:
+                            continue
+                        score = pieces.get(chunk[other:at])
+                        if score is None:
+                            if other != at - 1:
+                                continue
+                            score = unknown
+                        lost = best[at] - best[other] - score
+                        found.append((loss + lost, other > own, at if other > own else -at, other))
+                at = own
+            pool += [(lost, abs(at), other, starts) for lost, _, at, other in heapq.nsmallest(n, found)]
+        return out
+
+    def __missing__(self, chunk: str) -> tuple[float, bytes, float]:
+        best, back, second = self.forward(chunk)
+        starts, at = [], len(chunk)
+        while at:
+            at = back[at]
+            starts.append(at)
+        found = (best[-1], self.put(chunk, starts).tobytes(), best[-1] - second)
         if len(chunk) <= _CACHE_CHARS:
             if len(self) >= _CACHE_CHUNKS:
                 self.clear()
@@ -162,33 +186,33 @@ class Lattice(dict):
             return _CHUNK.findall(SPACE + text.replace(" ", SPACE))
         return [SPACE + w for w in text.split(" ")]
 
-    def nbest(self, text: str | None) -> tuple[list[tuple[int, ...]], float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
-        """The best ids by chunk, their score, and the other n - 1 best as (score, edits of it).
+    def nbest(self, text: str | None) -> tuple[bytes, float, list[tuple[float, list[tuple[int, int, array]]]]]:
+        """The best ids, their score, and the other n - 1 best as (score, edits of the best).
 
-        The n best of a whole text change few chunks: each next one comes from
-        the cheapest changes, which a queue of single steps gives in order.
+        Of segmentations with equal scores the one whose last chunks rank higher
+        among their own comes first.  So the n best change the n - 1 chunks
+        whose second-best path loses least, and no other.
         """
         if not text:
-            return [], 0.0, []
+            return b"", 0.0, []
         chunks = self.chunks(text)
-        found = list(map(self.__getitem__, chunks))
-        best = [f[1] for f in found]
-        total = sum(f[0] for f in found)
-        loss = [(f[0] - f[2], i) for i, f in enumerate(found) if f[2] > -1e299]
-        # the chunks that can change first; more cannot matter for n segmentations
-        cheap = {i: self.search(chunks[i]) for _, i in heapq.nsmallest(self.n, loss)} if self.n > 1 else {}
-        states: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        for i in sorted(cheap):
-            more = [(a + cheap[i][0][0] - s, e + ((i, k),)) for a, e in states for k, (s, _) in enumerate(cheap[i]) if k]
-            states = heapq.nsmallest(self.n, states + more)
-        others = []
-        if len(states) > 1:
-            starts = [0]
-            for ids in best:
-                starts.append(starts[-1] + len(ids))
-            for cost, edits in states[1:]:
-                others.append((total - cost, [(starts[i], len(best[i]), cheap[i][k][1]) for i, k in edits]))
-        return best, total, others
+        scores, ids, loss = zip(*map(self.__getitem__, chunks))
+        total = sum(scores)
+        others: list[tuple[float, list[tuple[int, int, array]]]] = []
+        states: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+        cheap = sorted(i for lost, i in heapq.nsmallest(self.n - 1, zip(loss, range(len(loss)))) if lost < 1e299)
+        ways = [self.search(chunks[i]) for i in cheap]
+        for found in ways:
+            states = heapq.nsmallest(self.n, [(lost + more, (k, *ranks)) for lost, ranks in states for k, (more, _) in enumerate(found)])
+        for lost, ranks in states[1:]:
+            edits = [(sum(map(len, ids[:i])) // 4, len(ids[i]) // 4, found[k][1]) for i, found, k in zip(cheap, ways, reversed(ranks)) if k]
+            others.append((total - lost, edits))
+        return b"".join(ids), total, others
+
+    def restore(self, ids: list[int]) -> str:
+        """The text of ids."""
+        text = b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
+        return text[1:] if text[:1] == " " else text
 
 
 SCHEMA = "ids array<int>, score double, others array<struct<score:double,edits:array<struct<at:int,drop:int,put:array<int>>>>>, restored boolean"
@@ -199,8 +223,8 @@ def encode(docs: DataFrame, model_file: str, n: int = 3) -> DataFrame:
 
     ``others`` has their scores and how their ids differ: at ``at``, ``drop``
     ids of the best become ``put``.  ``restored`` says that decoding the ids
-    gives the text.  Null and empty texts have no ids and score 0.  Repeated
-    rows get a row each; other columns are not read.
+    gives the text.  Null and empty texts have no ids and score 0; a null doc_id
+    stays null.  Repeated rows get a row each; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,20 +233,13 @@ def encode(docs: DataFrame, model_file: str, n: int = 3) -> DataFrame:
         for batch in batches:
             docs_ = batch.column(0)
             for at in range(0, batch.num_rows, 200):
-                ids, ends = array("i"), array("i", [0])
-                scores, others, restored = [], [], []
-                for text in batch.column(1).slice(at, 200).to_pylist():
-                    best, score, more = lattice.nbest(text)
-                    own = array("i")
-                    for x in best:
-                        own.extend(x)
-                    ids += own
-                    ends.append(len(ids))
-                    scores.append(score)
-                    others.append([{"score": s, "edits": [{"at": a, "drop": d, "put": list(p)} for a, d, p in edits]} for s, edits in more])
-                    restored.append(lattice.model.decode(own.tolist()) == (text or ""))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([docs_.slice(at, 200), lists, pa.array(scores), pa.array(others, kind), pa.array(restored)], names=["doc_id", "ids", "score", "others", "restored"])
+                found = [(*lattice.nbest(text), text or "") for text in batch.column(1).slice(at, 200).to_pylist()]
+                ids = np.frombuffer(b"".join(f[0] for f in found), dtype=np.int32)
+                ends = np.cumsum([0, *(len(f[0]) // 4 for f in found)]).astype(np.int32)
+                restored = [lattice.restore(array("i", f[0])) == f[3] for f in found]
+                others = [[{"score": s, "edits": [{"at": a, "drop": d, "put": p.tolist()} for a, d, p in edits]} for s, edits in f[2]] for f in found]
+                columns = [docs_.slice(at, 200), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array([f[1] for f in found], pa.float64()), pa.array(others, kind), pa.array(restored)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "score", "others", "restored"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + SCHEMA)
 

@@ -57,23 +57,67 @@ def test_word_hashes_tell_words_apart():
 # ---- 10
 
 
-def test_jaccard_join_is_exact(spark):
-    rows = corpus()
-    got = {(r[0], r[1], r[2]) for r in jaccard_join.join(spark.createDataFrame(rows, DOCS)).collect()}
-    sets = {i: shingles(t) for i, t in rows}
-    parent = {i: i for i in sets}
+def components_of(rows):
+    """(row, size of its set, smallest linked doc_id) by brute force."""
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i in sets:
-        for j in sets:
-            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
-    assert got == {(i, len(s), find(i)) for i, s in sets.items()}
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(doc, least.get(find(i), doc))
+    return sorted((doc, len(sets[i]), least[find(i)]) for i, (doc, _) in enumerate(rows))
+
+
+def test_jaccard_join_is_exact(spark):
+    rows = corpus() + [(3, "another text under an id that is there"), (7, None)]
+    assert sorted(map(tuple, jaccard_join.join(spark.createDataFrame(rows, DOCS)).collect())) == components_of(rows)
+
+
+def just_apart(n):
+    """Texts that share a passage and are a little less alike than linked ones, with some copies of each."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        own = [f"o{i}x{j}" for j in range(rng.randint(8, 30))]
+        rows.append((i, " ".join([*passage, *own])))
+        if i % 3 == 0:
+            rows.append((1000 + i, " ".join([*passage, *own[:-1], "end"])))
+    return rows
+
+
+@pytest.mark.parametrize("leaf", [1_500])
+def test_jaccard_join_splits_regions(spark, monkeypatch, leaf):
+    """A very common passage: one region with all documents, split again and again, or in tiles."""
+    monkeypatch.setattr(jaccard_join, "LEAF_SHINGLES", leaf)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    clusters = []
+    for c in range(6):  # groups of near copies that share a start
+        base = ["same"] * 3 + [f"s{i}" for i in range(60)] + [rng.choice(words) for _ in range(60)]
+        for i in range(12):
+            mine = list(base)
+            for _ in range(rng.randint(1, 6)):
+                mine[rng.randrange(len(mine))] = f"x{c}y{i}"
+            clusters.append((5000 + 100 * c + i, " ".join(mine)))
+    rows = just_apart(40) + clusters
+    got = jaccard_join.join(spark.createDataFrame(rows, DOCS))
+    assert sorted(map(tuple, got.collect())) == components_of(rows)
+
+
+def test_jaccard_join_of_odd_rows(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f g", 1, "x"), (2, "a b c d e f g", 2, "y"), (None, None, 3, "z")], "doc_id long, text string, key long, part string")
+    got = sorted(map(tuple, jaccard_join.join(docs).collect()), key=str)
+    assert got == [(2, 3, 2), (None, 0, None), (None, 3, 2)]
 
 
 def test_jaccard_join_when_pivots_do_not_reach(spark):
@@ -176,10 +220,9 @@ def test_passages_that_overlap_are_removed(spark):
 
 
 def test_packing(spark):
-    rows = corpus() + [(700, "long " * 5000), (701, "<|endoftext|> a\n\n  b \n c")]
+    rows = corpus() + [(700, "long " * 5000), (701, "<|endoftext|> a\n\n  b \n c"), (702, "a <|endoftext|><|endoftext|>  b"), *((710 + i, f"a{c}b {c}{c} c{c}") for i, c in enumerate(map(chr, [9, 11, 28, 31, 133, 160, 0x1680, 0x2003, 0x2028, 0x200B, 0x3000, 0xFEFF])))]
     got = packing.pack_documents(spark.createDataFrame(rows, DOCS), BYTE_BPE).collect()
     bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    bpe.encode_special_tokens = True
     ids = {i: bpe.encode(t or "", add_special_tokens=False).ids + [2] for i, t in rows}
     assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
     for r in got:
@@ -412,29 +455,40 @@ def test_nbest_against_all_segmentations():
     def every(chunk):
         out = []
 
-        def go(at, score, ids):
+        def go(at, score, ids, starts):
             if at == len(chunk):
-                out.append((score, tuple(ids)))
+                out.append((score, starts[::-1], ids))
                 return
             for end in range(at + 1, len(chunk) + 1):
-                piece = lattice.pieces.get(chunk[at:end])
-                if piece:
-                    go(end, score + piece[0], [*ids, piece[1]])
+                piece = chunk[at:end]
+                if piece in lattice.ids:
+                    go(end, score + lattice.scores[piece], [*ids, lattice.ids[piece]], [*starts, at])
                 elif end == at + 1:
-                    go(end, score + lattice.unknown_score, [*ids, *lattice.unknown(chunk[at])])
+                    go(end, score + lattice.unknown_score, [*ids, *lattice.unknown(piece)], [*starts, at])
 
-        go(0, 0.0, [])
-        return sorted(out, key=lambda x: (-x[0], len(x[1]), x[1]))
+        go(0, 0.0, [], [])
+        return [(x[0], x[2]) for x in sorted(out, key=lambda x: (-x[0], x[1]))]
 
-    for chunk in ["▁hello", "▁thing日x,", "▁▁a", "▁", "▁ñoeza", "▁aaaa"]:
+    for chunk in ["▁hello", "▁thing日x,", "▁▁a", "▁", "▁ñoeza", "▁aaaa", "xxxxxxxxxx", "ababababab", "--------", "▁The--==--"]:
         best = every(chunk)
-        assert lattice.search(chunk) == best[:4]
-        score, ids, second = lattice[chunk]
-        assert (score, ids) == best[0] and (len(best) < 2 or second == best[1][0])
+        assert [(best[0][0] - lost, ids.tolist()) for lost, ids in lattice.search(chunk)] == best[:4]
+        score, ids, lost = lattice[chunk]
+        assert (score, np.frombuffer(ids, np.int32).tolist()) == best[0] and (len(best) < 2 or score - lost == best[1][0])
     text = "the cat, saté"
     best = every("▁" + text.replace(" ", "▁"))
     _, score, others = lattice.nbest(text)
     assert [score, *(s for s, _ in others)] == [s for s, _ in best[:4]]
+    # of equal changes in two chunks, the one in the first chunk comes first
+    _, _, others = nbest.Lattice(PIECES, 3).nbest("saté b saté")
+    assert [[e[0] for e in edits] for _, edits in others][0][0] == 0 and others[0][0] == others[1][0]
+
+
+def test_nbest_of_long_chunks_is_linear():
+    for text in ("x" * 100_000, "日本語" * 30_000, "".join(random.Random(1).choices("abcdef0123456789", k=100_000))):
+        lattice = nbest.Lattice(PIECES, 3)
+        ids, score, others = lattice.nbest(text)
+        assert lattice.restore(np.frombuffer(ids, np.int32).tolist()) == text
+        assert len(others) == (0 if "日" in text else 2) and all(s <= score for s, _ in others)
 
 
 def test_nbest_round_trip(spark):
@@ -444,6 +498,8 @@ def test_nbest_round_trip(spark):
     back = {r[0]: r[1] for r in nbest.decode(found, PIECES).collect()}
     for i, t in rows:
         assert back[i] == (t or "").replace("▁", " ")
+    for i, ok in {r[0]: r[1] for r in found.select("doc_id", "restored").collect()}.items():
+        assert ok == (i != 800)
     for r in found.where("doc_id < 20").collect():
         scores = [r["score"], *(o["score"] for o in r["others"])]
         assert scores == sorted(scores, reverse=True)
