@@ -12,24 +12,24 @@ RATE_LIMIT_PHRASES = (
     "resource_exhausted", "resource exhausted", "throttled", "too many requests", "try again in",
 )
 INTERRUPT_NEEDLES = ("interrupt", "user aborted", "request was canceled", "cancelled by user")
-FAILURE_NEEDLES = ("traceback", "exception", "error:", "failed", "failure", "is_error", "success': false", '"success": false', '"success":false')
-#: Word borders are spelled out, so that letters with accents count as letters everywhere.
-B = r"(?:^|[^\p{L}\p{N}_])"
-E = r"(?:$|[^\p{L}\p{N}_])"
+FAILURE_NEEDLES = ("traceback", "exception", "error:", "failed", "failure", "is_error", "success': false", '"success": false')
 CORRECTION_PATTERNS = (
-    rf"{B}no+{E}[, ]*(?:(?:that(?:'?| i)s|it'?s)? )?(?:not|wrong|incorrect)",
-    rf"{B}(?:don'?t|do not) (?:do|use|run|add|delete|remove)",
-    rf"{B}stop{E}.*(?:doing|using|saying){E}",
-    rf"{B}not\s+(?:what|exactly)\s+i\s+",
-    rf"{B}that'?s (?:wrong|incorrect|not right)",
-    rf"{B}good catch{E}",
-    rf"{B}you'?re right{E}",
-    rf"{B}actually,?\s+(?:i|it|we|that)",
-    rf"{B}overs(?:t|ta)ated",
-    rf"{B}(?:use|prefer)\s+\w+\s+instead{E}",
-    rf"{B}revert{E}",
-    rf"{B}undo{E}",
+    r"\bno+\b[, ]+(that('?| i)s|it'?s)? (not|wrong|incorrect)",
+    r"\b(don'?t|do not) (do|use|run|add|delete|remove)",
+    r"\bstop\b.*\b(doing|using|saying)",
+    r"\bnot\b\s+(what|exactly)\s+i\s+",
+    r"\bthat'?s (wrong|incorrect|not right)",
+    r"\bgood catch\b",
+    r"\byou'?re right\b",
+    r"\bactually,?\s+(i|it|we|that)",
+    r"\bovers(t|ta)ated",
+    r"\b(use|prefer)\s+\w+\s+instead\b",
+    r"\brevert\b",
+    r"\bundo\b",
 )
+#: Word borders spelled out, so that letters with accents count as letters everywhere.
+B = r"(?:^|[^\p{L}\p{N}_])"
+E = r"(?:$|[^\p{L}\p{N}_])"
 POSITIVE = rf"{B}(?:thanks?|thank you|nice|great|perfect|awesome|amazing|love it|works|fixed it|ship it|lgtm){E}"
 NEGATIVE = rf"{B}(?:broken|wrong|doesn'?t work|still failing|that'?s bad|terrible|hate|undo|revert){E}"
 SECRET_PATTERNS = {
@@ -74,6 +74,9 @@ def field(payload: Column, path: str, kind: str = "string") -> Column:
     if kind == "string":  # numbers and objects are not texts
         value = F.try_variant_get(parsed, f"$.{path}", "variant")
         return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(parsed, f"$.{path}", "string"))
+    if kind == "boolean":  # nor are texts flags
+        value = F.try_variant_get(parsed, f"$.{path}", "variant")
+        return F.when(F.schema_of_variant(value) == "BOOLEAN", F.try_variant_get(parsed, f"$.{path}", "boolean"))
     return F.try_variant_get(parsed, f"$.{path}", kind)
 
 
@@ -119,8 +122,24 @@ def rate_limited(*texts: Column) -> Column:
     return any_of(F.lower(F.concat_ws(" ", *texts)), RATE_LIMIT_PHRASES)
 
 
+def plain_letters(text: Column) -> Column:
+    """Each letter or digit beyond ASCII as a z, so that word borders are the same in all engines."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\p{L}\p{N}&&[^\x00-\x7F]]", "z")
+
+
 def correction(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike("(?i)" + "|".join(f"(?:{p})" for p in CORRECTION_PATTERNS))
+    return plain_letters(text).rlike("(?i)" + "|".join(f"(?:{p})" for p in CORRECTION_PATTERNS))
+
+
+def web_search(summary: Column, name: Column, form: str = "signal") -> Column:
+    """A web search by its tool's name or its summary: as signals, the dashboard or the miner tell it."""
+    named = F.coalesce(name.isin("WebSearch", "web_search"), F.lit(False))
+    summary = F.coalesce(summary, F.lit(""))
+    if form == "signal":
+        return named | F.lower(summary).contains("web_search")
+    if form == "dashboard":
+        return named | summary.contains("web_search")
+    return F.lower(summary).contains("search")
 
 
 def satisfaction(text: Column) -> Column:

@@ -132,6 +132,82 @@ def wiki_links(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, strip), lambda x: x != ""))
 
 
+def object_keys(payload: Column, key: str) -> Column:
+    """Keys of an object in a payload; none where it is no object."""
+    value = F.get_json_object(payload, f"$.{key}")
+    return F.coalesce(F.json_object_keys(F.when(F.substring(F.ltrim(value), 1, 1) == "{", value)), F.array().cast("array<string>"))
+
+
+def leaves(payload: Column, keys: bool = False) -> Column:
+    """All strings in JSON text, at any depth, in their order; keys of objects only on demand.
+
+    A key is told by the colon after it.  Escapes are undone; bad JSON has none.
+    """
+    good = F.when(F.try_parse_json(payload).isNotNull(), payload)
+    found = F.regexp_extract_all(F.coalesce(good, F.lit("")), F.lit(r'("(?:[^"\\]|\\.)*"(?:\s*:)?)'), 1)
+    if keys:
+        found = F.transform(found, lambda x: F.regexp_replace(x, r"\s*:$", ""))
+    kept = F.filter(found, lambda x: ~x.endswith(":"))
+    return F.transform(kept, lambda x: F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>")[0])
+
+
+def content_text(content: Column) -> Column:
+    """Text of a message content given as JSON: a string, or the text and input_text parts of a list, a line each."""
+    whole = F.from_json(F.concat(F.lit("["), content, F.lit("]")), "array<string>")[0]
+    parts = F.from_json(content, "array<struct<text:string,input_text:string>>")
+    lines = F.array_compact(F.transform(parts, lambda p: F.coalesce(p["text"], p["input_text"])))
+    return F.when(F.substring(F.ltrim(content), 1, 1) == "[", F.array_join(lines, "\n")).when(F.substring(F.ltrim(content), 1, 1) == '"', whole).otherwise(F.lit(""))
+
+
+def clamp(value: Column, low: float, high: float, default: float) -> Column:
+    """A number between two bounds; the default where it is none."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(value.try_cast("double"), F.lit(default))))
+
+
+def anonymise(path: Column) -> Column:
+    """A path with ~ for a user's home folder; of more than five parts the first and the last three."""
+    short = F.regexp_replace(path, r"^/Users/[^/]+/?", "~/")
+    parts = F.split(short, "/")
+    first = F.coalesce(F.nullif(F.get(parts, F.lit(0)), F.lit("")), F.lit("/"))
+    return F.when(F.size(parts) > 5, F.concat_ws("/", first, F.lit("…"), F.slice(parts, -3, 3))).otherwise(short)
+
+
+def describe_call(kind: Column, payload: Column) -> Column:
+    """A call in words: what it does, and the telling part of its input."""
+    name = F.coalesce(F.nullif(field(payload, "name"), F.lit("")), F.nullif(field(payload, "tool_name"), F.lit("")), kind)
+    given = F.coalesce(F.get_json_object(payload, "$.input"), F.get_json_object(payload, "$.arguments"))
+    keys = ("command", "cmd", "file_path", "path", "pattern", "query", "url", "description")
+    detail = F.coalesce(*[F.nullif(F.get_json_object(given, f"$.{k}"), F.lit("")) for k in keys])
+    label = F.when(kind == "command", "run shell").when(kind == "file_edit", "edit file").when(kind == "file_read", "read file").otherwise(name)
+    return F.when(detail.isNotNull(), F.concat(label, F.lit(" ("), truncate(detail, 80, flatten=True), F.lit(")"))).otherwise(label)
+
+
+def fenced(text: Column) -> Column:
+    """Text in a Markdown fence that is longer than any run of backticks in it."""
+    runs = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(`+)"), 1), F.length)
+    fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
+    return F.concat(fence, F.lit("\n"), F.coalesce(text, F.lit("")), F.lit("\n"), fence)
+
+
+def quoted(text: Column) -> Column:
+    """Text as a Markdown quotation, line by line; an empty one is one empty quotation."""
+    lines = F.transform(F.split(F.regexp_replace(text, "\n$", ""), "\n"), lambda x: F.when(x == "", ">").otherwise(F.concat(F.lit("> "), x)))
+    return F.when(F.coalesce(text, F.lit("")) == "", "> ").otherwise(F.array_join(lines, "\n"))
+
+
+def cut_lines(text: Column, limit: int) -> Column:
+    """Text of at most ``limit`` characters with its lines, and a mark where it was cut."""
+    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 1), F.lit("\n… [truncated]"))).otherwise(text)
+
+
+def stepped(value: Column, steps: list[tuple[float, str]]) -> Column:
+    """The name of the last step that a value has reached; steps in any order, null below the first."""
+    out = F.lit(None).cast("string")
+    for least, name in sorted(steps):
+        out = F.when(value >= least, name).otherwise(out)
+    return out
+
+
 def money(amount: Column) -> Column:
     return F.format_string("$%.2f", F.coalesce(amount, F.lit(0.0)))
 

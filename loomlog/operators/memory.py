@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -62,6 +62,10 @@ def postings(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
     return words.select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf")), words.select("id", F.size("words").alias("dl"))
 
 
+#: Terms of all queries that are broadcast to the postings; beyond, both are joined by shuffle.
+MAX_TERMS = 200_000
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(qid, term), distinct, of (qid, query)."""
     return queries.select("qid", F.explode(F.array_distinct(X.search_tokens(F.col("query")))).alias("term"))
@@ -83,7 +87,10 @@ def bm25(terms: DataFrame, memories: DataFrame) -> DataFrame:
     idf = F.log((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.crossJoin(F.broadcast(corpus)).select("term", "_mean", F.when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("_mean")))
-    return terms.join(tf, "term").join(weights, "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
+    asked = terms.join(weights, "term")
+    if terms.limit(MAX_TERMS + 1).count() <= MAX_TERMS:  # then no posting is shuffled by its term, however common that is
+        asked = F.broadcast(asked)
+    return tf.join(asked, "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
 
 
 def recall(terms: DataFrame, memories: DataFrame, k: int, cwd: str | None = None) -> DataFrame:
@@ -162,3 +169,72 @@ def near_duplicates(candidates: DataFrame, keep: int = 8, least: float = 0.75, c
     step = lambda kept, x: F.when((F.size(kept) >= keep) | like(kept, x), kept).otherwise(F.concat(kept, F.array(x)))
     kept = rows.select("session_id", F.aggregate("items", empty, step).alias("kept"))
     return kept.select("session_id", F.posexplode("kept").alias("rank", "item")).select("session_id", (F.col("rank") + 1).alias("rank"), "item.id")
+
+
+def upsert(rows: DataFrame) -> DataFrame:
+    """Memories after all rows (ord, id, content_hash, created_at, evidence, ...) are taken in, in order.
+
+    A row whose content is known goes to the memory that had it first; the last
+    row of a memory holds, but it keeps its first created_at.  ``evidence``, an
+    array, is gathered without repeats, and evidence_count counts every attempt.
+    """
+    first = rows.groupBy("content_hash").agg(F.min_by("id", "ord").alias("_own"))
+    placed = rows.join(first, "content_hash").withColumn("id", F.col("_own")).drop("_own")
+    kept = [c for c in placed.columns if c not in ("id", "created_at", "evidence")]
+    last = F.max_by(F.struct(*kept), "ord").alias("_row")
+    merged = placed.groupBy("id").agg(last, F.min("created_at").alias("created_at"), F.sum(F.size(F.coalesce("evidence", F.array().cast("array<string>")))).alias("evidence_count"))
+    proof = placed.select("id", F.explode("evidence").alias("ref")).distinct().groupBy("id").agg(F.array_sort(F.collect_list("ref")).alias("evidence"))
+    return merged.join(proof, "id", "left").select("id", "created_at", *[F.col("_row")[c].alias(c) for c in kept], "evidence_count", F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
+
+
+def clamped(reward: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), reward.cast("double")))
+
+
+def update_utility(memories: DataFrame, events: DataFrame, memory_id: str, reward: float, ord_: int) -> tuple[DataFrame, DataFrame]:
+    """Events with one reward more, and the memory's row after all of its rewards; an unknown id is a KeyError.
+
+    The reward is logged first, clamped to 0 to 1, whether the memory is there or not.
+    """
+    spark = memories.sparkSession
+    new = spark.createDataFrame([(memory_id, ord_, min(1.0, max(0.0, float(reward))))], "memory_id string, line long, reward double")
+    events = events.select("memory_id", "line", "reward").unionByName(new)
+    own = memories.where(F.col("id") == memory_id)
+    if not own.limit(1).count():
+        raise KeyError(memory_id)
+    return events, fold_rewards(own.select("id", "q_value"), events.where(F.col("memory_id") == memory_id))
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Add records to the log of memories, from which rebuild() makes the tables again."""
+    rows.write.mode("append").json(path)
+
+
+def rebuild(rows: DataFrame, rewards: DataFrame) -> dict[str, DataFrame]:
+    """The memory tables of all records (as for upsert, with text and q_value) and rewards (memory_id, line, reward).
+
+    memory: one row a memory with its utility; link: its wiki links; counts: how
+    many of each there are.
+    """
+    memory = upsert(rows)
+    folded = fold_rewards(memory.select("id", "q_value"), rewards.withColumn("reward", clamped(F.col("reward"))).join(memory.select(F.col("id").alias("memory_id")), "memory_id", "left_semi"))
+    memory = memory.drop("q_value").join(folded, "id", "left")
+    link = memory.select(F.col("id").alias("src"), F.explode(X.wiki_links(F.col("text"))).alias("dst"))
+    counts = memory.agg(F.count("*").alias("n")).select(F.lit("memory").alias("table"), "n").unionByName(link.agg(F.count("*").alias("n")).select(F.lit("link").alias("table"), "n"))
+    return {"memory": memory, "link": link, "counts": counts}
+
+
+def query_units(queries: DataFrame) -> DataFrame:
+    """(qid, unit, words) of (qid, query): its terms, distinct; one with punctuation is a phrase of several words."""
+    terms = F.array_distinct(F.regexp_extract_all("query", F.lit(r"([\p{L}\p{N}_./:-]+)"), 1))
+    rows = queries.select("qid", F.explode(terms).alias("unit")).withColumn("words", X.search_tokens(F.col("unit")))
+    return rows.where(F.size("words") > 0)
+
+
+def unit_counts(units: DataFrame, memories: DataFrame) -> DataFrame:
+    """(qid, unit, id, tf): how often a memory's text has each term, or the words of a phrase one after another."""
+    wanted = units.select("qid", "unit", F.size("words").alias("_n"), F.posexplode("words").alias("_at", "term"))
+    found = memories.select("id", F.posexplode(X.search_tokens(F.col("text"))).alias("_pos", "term"))
+    met = found.join(F.broadcast(wanted) if wanted.limit(MAX_TERMS + 1).count() <= MAX_TERMS else wanted, "term")
+    starts = met.groupBy("qid", "unit", "id", "_n", (F.col("_pos") - F.col("_at")).alias("_start")).agg(F.count("*").alias("_k")).where("_k = _n")
+    return starts.groupBy("qid", "unit", "id").agg(F.count("*").alias("tf"))

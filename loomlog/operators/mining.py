@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -10,12 +10,37 @@ from ..functions import text as X
 from .windows import SESSION, top_k, turns
 
 #: Fixed values.
-CORRECTION_NEEDLES = ("no,", "actually", "instead", "don't", "do not", "stop", "revert", "undo", "wrong", "not what i")
+CORRECTION_NEEDLES = ("you are right", "you're right", "good catch", "fair", "overstated", "not actually", "doesn't", "does not", "none of these", "is this actually")
+REFINEMENTS = {
+    "corrected": (
+        "failure_trigger", "When the user challenges a research or tool claim, verify the raw evidence and revise the artifact rather than defending the earlier summary.",
+        "Use when a user asks whether a previous conclusion is actually supported.", 0.82, 5, "low", "user", "assistant-behavior pattern; applies across all repos",
+    ),
+    "documented": (
+        "procedure", "For project-planning or research requests, create durable docs artifacts under docs/ or specs/, then report the exact paths.",
+        "Use when the user asks for a spec, project purpose, research note, or landscape scan.", 0.78, 4, "medium", "user", "working-style preference for durable docs/specs artifacts",
+    ),
+    "searched": (
+        "tool_lesson",
+        "Distinguish current, directly verified sources from broad search results. If the topic is fast-moving, prefer recent primary sources and label uncertainty.",
+        "Use when researching recent tools, papers, APIs, or agent-memory claims.", 0.7, 4, "medium", "user", "cross-repo tool-use lesson",
+    ),
+    "captured": (
+        "risk_rule",
+        "Do not equate persistent memory with full rollout capture. Check whether a system stores raw prompts, assistant messages, tool calls, tool results, file edits, and replayable event traces.",
+        "Use when evaluating memory systems for Codex, Claude Code, or coding agents.", 0.86, 5, "low", "global", "foundational rule about evaluating memory/capture systems",
+    ),
+    "nothing": (
+        "procedure",
+        "Review the captured rollout before starting a similar task, but do not inject specific advice unless there is clear evidence from user corrections or successful outcomes.",
+        "Use when no high-confidence pattern was mined from the rollout.", 0.45, 1, "medium", "task", "fallback when nothing concrete was extracted",
+    ),
+}
 
 
 def compact(events: DataFrame, head: int = 70, tail: int = 20) -> DataFrame:
     """What a summary needs of a session: key events and user events, of long ones the first ``head`` and last ``tail``."""
-    kinds = ("message", "command", "file_edit", "tool_call", "tool_result", "error", "permission")
+    kinds = ("message", "command", "file_edit", "tool_call", "tool_result", "error", "unknown")
     rows = events.where(F.col("event_type").isin(*kinds) | (F.col("actor") == "user"))
     own = Window.partitionBy(*SESSION)
     rows = rows.withColumn("_up", F.row_number().over(own.orderBy("ord"))).withColumn("_down", F.row_number().over(own.orderBy(F.col("ord").desc()))).withColumn("_n", F.count("*").over(own))
@@ -59,11 +84,34 @@ def procedures(steps: DataFrame, goals: DataFrame, runs: int = 12) -> DataFrame:
 
 
 def refinements(events: DataFrame) -> DataFrame:
-    """Fixed candidates that a session's events call for, or one that says that nothing did."""
+    """Fixed candidates that a session's events call for, or one that says that nothing did.
+
+    Evidence is the events that a rule fits, the first eight in order.
+    """
     text = F.lower(X.event_text(F.col("payload"), F.col("summary")))
-    corrected = F.bool_or((F.col("actor") == "user") & P.any_of(text, CORRECTION_NEEDLES))
-    docs = F.bool_or((F.col("event_type") == "file_edit") & F.lower(F.coalesce("payload", F.lit(""))).rlike(r"docs/|specs/"))
-    searched = F.bool_or(F.lower(F.coalesce("summary", F.lit(""))).contains("search"))
-    flags = events.groupBy(*SESSION).agg(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in (("corrected", corrected), ("docs", docs), ("searched", searched))])
-    found = F.array_compact(F.array(F.when(F.col("corrected"), "follow the user's corrections"), F.when(F.col("docs"), "keep the documents in step"), F.when(F.col("searched"), "check claims by a search")))
-    return flags.select(*SESSION, F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("nothing to refine")))).alias("text"))
+    message, edit = F.col("event_type") == "message", F.col("event_type") == "file_edit"
+    changes = F.coalesce(F.from_json(F.get_json_object("payload", "$.changes"), "map<string,struct<type:string>>"), F.create_map().cast("map<string,struct<type:string>>"))
+    documented = F.exists(F.map_entries(changes), lambda e: (e["key"].contains("/docs/") | e["key"].contains("/specs/")) & F.coalesce(e["value"]["type"].isin("add", "update"), F.lit(False)))
+    rules = {
+        "corrected": (F.bool_or((F.col("actor") == "user") & P.any_of(text, CORRECTION_NEEDLES)), (F.col("actor") == "user") & P.any_of(text, CORRECTION_NEEDLES)),
+        "documented": (F.bool_or(edit & documented), edit),
+        "searched": (F.bool_or(P.web_search(F.col("summary"), F.lit(None), "miner")), P.web_search(F.col("summary"), F.lit(None), "miner")),
+        "captured": (
+            F.coalesce(F.bool_or(message & text.contains("full rollout")), F.lit(False)) & F.coalesce(F.bool_or(message & P.any_of(text, ("memory", "capture"))), F.lit(False)),
+            message & P.any_of(text, ("full rollout", "raw", "capture")),
+        ),
+    }
+    proof = lambda c: F.transform(F.slice(F.array_sort(F.collect_list(F.when(c, F.struct("ord", "event_id")))), 1, 8), lambda x: x["event_id"])
+    found = events.groupBy(*SESSION).agg(
+        *[F.coalesce(flag, F.lit(False)).alias(name) for name, (flag, _) in rules.items()],
+        *[proof(c).alias(f"{name}_refs") for name, (_, c) in rules.items()],
+        F.array(F.min_by("event_id", "ord")).alias("nothing_refs"),
+    )
+    found = found.withColumn("nothing", ~(F.col("corrected") | F.col("documented") | F.col("searched") | F.col("captured")))
+
+    def candidate(name: str) -> Column:
+        kind, says, when, confidence, priority, risk, scope, reason = REFINEMENTS[name]
+        parts = {"rule": name, "kind": kind, "text": says, "when_to_use": when, "confidence": confidence, "priority": priority, "risk": risk, "scope": scope, "scope_reason": reason}
+        return F.when(F.col(name), F.struct(*[F.lit(v).alias(k) for k, v in parts.items()], F.col(f"{name}_refs").alias("evidence_refs")))
+
+    return found.select(*SESSION, F.inline(F.array_compact(F.array(*[candidate(name) for name in REFINEMENTS]))))

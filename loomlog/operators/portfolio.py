@@ -45,7 +45,7 @@ def high_cost_cutoff(costs: DataFrame, column: str = "cost") -> DataFrame:
     """
     from pyspark.sql import Window
 
-    values = costs.where(F.col(column) > 0).groupBy(F.col(column).alias("cutoff")).agg(F.count("*").alias("k"))
+    values = costs.where(F.col(column) > 0).groupBy(F.col(column).alias("cutoff")).agg(F.count("*").alias("k")).persist()  # read three times
     n = values.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
     want = max(0, int(0.8 * n) - 1)
     # counts by ranges of value first, so that only one range is put in order
@@ -93,3 +93,92 @@ def diagnostics(sessions: DataFrame) -> DataFrame:
         F.when((F.col("results") > 5) & (rate > 0.3), "many failures"),
     )
     return sessions.select("*", F.array_compact(labels).alias("warnings"))
+
+
+#: What a day and the whole sum up, and the price categories.
+DAY_SUMS = ("tokens", "cost", "tool_call_events", "file_edit_events", "cost_input", "cost_cache_create", "cost_cache_read", "cost_output", "rate_limit_hits")
+TOTAL_SUMS = (
+    "event_count", "user_messages", "assistant_messages", "tool_call_events", "tool_result_events", "command_events", "file_read_events", "file_edit_events", "failed_events", "unknown_events",
+    "tokens", "rate_limit_hits", "cost", "cost_input", "cost_cache_create", "cost_cache_read", "cost_output",
+)
+ROLES = {
+    "Systems Programmer": ("cargo", "go", "make", "docker", "gcc", "clang", "git_worktree"),
+    "Data Scientist / ML Engineer": ("python", "python3", "jupyter", "pandas", "numpy", "conda"),
+    "Frontend Engineer": ("npm", "node", "tsc", "vite", "eslint", "prettier", "yarn", "pnpm"),
+}
+NO_ROLE = "General Software Engineer"
+ADVICE = {
+    "explore": "High exploration ratio detected. Consider creating an AGENTS.md or .cursorrules file in your repository root to document entry points, which will reduce redundant file scans.",
+    "turns": "Your sessions average over 25 turns, which leads to context bloat and higher token costs. Try splitting large feature tickets into smaller tasks in fresh sessions.",
+    "failures": "More than 20% of commands run are failing. To save tokens and avoid loops, try aligning on a plan upfront or using verification commands before running edits.",
+    "fine": "Your operator hygiene is excellent! Keep maintaining short, focused sessions and writing clear plans.",
+}
+
+
+def _sum(name: str) -> Column:
+    total = F.coalesce(F.sum(name), F.lit(0))
+    return (F.bround(total.cast("double"), 6) if name.startswith("cost") else total).alias(name)
+
+
+def days(sessions: DataFrame, hosts: tuple[str, str]) -> DataFrame:
+    """Twelve measures of each date: sessions, of each host, and the sums of DAY_SUMS, costs to six places."""
+    of = lambda h: F.count_if(F.col("host") == h)
+    return sessions.groupBy("date").agg(F.count("*").alias("sessions"), of(hosts[0]).alias("sessions_a"), of(hosts[1]).alias("sessions_b"), *[_sum(c) for c in DAY_SUMS])
+
+
+def overall(sessions: DataFrame) -> DataFrame:
+    """One row of all sessions: the sums of TOTAL_SUMS, counts and averages."""
+    n = F.nullif(F.count("*"), F.lit(0))
+    return sessions.agg(
+        F.count("*").alias("sessions"), *[_sum(c) for c in TOTAL_SUMS],
+        F.count_if(F.col("tokens") > 0).alias("sessions_with_tokens"), F.count_if(F.col("cost").isNotNull()).alias("sessions_with_cost"),
+        F.count_distinct(F.when(F.col("date") != "unknown", F.col("date"))).alias("active_days"), F.floor(F.avg("duration_seconds")).alias("avg_duration_seconds"),
+        F.bround(F.sum("event_count") / n, 1).alias("avg_events"), F.bround(F.sum("tool_call_events") / n, 1).alias("avg_tool_calls"),
+        F.count_distinct(F.when(F.col("project_name") != "unknown", F.col("project_name"))).alias("projects"),
+    )
+
+
+def project_list(sessions: DataFrame) -> DataFrame:
+    """Projects with sessions, tokens, cost, hosts and the path of their last session (by rank) that has one; most sessions first."""
+    some = F.nullif("project_path", F.lit(""))
+    rows = sessions.groupBy(F.coalesce(F.nullif("project_name", F.lit("")), F.lit("unknown")).alias("name")).agg(
+        F.coalesce(F.max_by(some, F.when(some.isNotNull(), F.col("rank"))), F.lit("")).alias("path"), F.count("*").alias("sessions"), F.sum("tokens").alias("tokens"),
+        F.bround(F.sum("cost"), 6).alias("cost"), F.array_sort(F.collect_set("host")).alias("hosts"), F.min("rank").alias("_first"),
+    )
+    return rows.orderBy(F.desc("sessions"), "_first").drop("_first")
+
+
+def operator(sessions: DataFrame, tools: DataFrame) -> DataFrame:
+    """One row on who runs the sessions: turns, failures, ratios, cost, a role by their tools, and advice.
+
+    ``sessions`` has user_messages, command_events, failed_events, cost and the two
+    ratios (null: no reading); ``tools`` has name and count.
+    """
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.5))
+    s = sessions.agg(
+        F.coalesce(F.avg("user_messages"), F.lit(0.0)).alias("turns"), F.when(F.sum("command_events") > 0, F.sum("failed_events") / F.sum("command_events")).otherwise(0.0).alias("fails"),
+        mean("exploration_ratio").alias("explore"), mean("exploitation_ratio").alias("exploit"), F.coalesce(F.sum(F.coalesce("cost", F.lit(0.0))) / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("cost"), F.count("*").alias("n"),
+    )
+    scores = tools.agg(*[F.coalesce(F.sum(F.when(F.col("name").isin(*names), F.col("count"))), F.lit(0)).alias(role) for role, names in ROLES.items()])
+    role = F.lit(NO_ROLE)
+    for name in ROLES:
+        others = [F.col(f"`{x}`") for x in ROLES if x != name]
+        role = F.when((F.col(f"`{name}`") > others[0]) & (F.col(f"`{name}`") > others[1]), name).otherwise(role)
+    advice = F.array_compact(F.array(F.when(F.col("explore") > 0.65, ADVICE["explore"]), F.when(F.col("turns") > 25, ADVICE["turns"]), F.when(F.col("fails") > 0.20, ADVICE["failures"])))
+    none = F.array().cast("array<string>")
+    return s.join(F.broadcast(scores)).select(  # one row and one row
+        F.bround("turns", 1).alias("avg_turns"), F.bround("fails", 3).alias("cmd_failure_rate"), F.bround(F.when(F.col("n") > 0, F.col("explore")).otherwise(0.0), 3).alias("explore_ratio"),
+        F.bround(F.when(F.col("n") > 0, F.col("exploit")).otherwise(0.0), 3).alias("exploit_ratio"), F.bround("cost", 4).alias("avg_cost"), role.alias("role"),
+        F.when(F.col("n") == 0, none).when(F.size(advice) > 0, advice).otherwise(F.array(F.lit(ADVICE["fine"]))).alias("recommendations"),
+    )
+
+
+def experiments(aggregates: DataFrame) -> DataFrame:
+    """One row of the signals' aggregates (signal, mean, true_count, ...): what the experiments' summary picks, and the category with the largest mean ratio."""
+    pick = lambda signal, c: F.max(F.when(F.col("signal") == f"trajectory_{signal}", F.col(c)))
+    ratio = F.when(F.col("signal").startswith("trajectory_action_ratio_") & ~F.col("signal").rlike("(permission|error|other)$"), F.col("mean"))
+    return aggregates.agg(
+        F.count("*").alias("signal_count"), pick("step_count", "mean").alias("avg_steps"), F.coalesce(pick("premature_finish_without_validation", "true_count"), F.lit(0)).alias("unvalidated_sessions"),
+        F.coalesce(pick("validation_presence", "true_count"), F.lit(0)).alias("validation_sessions"), pick("sequence_entropy", "mean").alias("mean_entropy"), pick("action_redundancy", "mean").alias("mean_redundancy"),
+        F.substring(F.max_by("signal", F.struct(ratio, "signal")), 25, 100).alias("top_category"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -63,7 +63,7 @@ _count("command_count", lambda: _is("command", "assistant"))
 _count("file_edit_count", lambda: _is("file_edit"))
 REGISTRY["unique_files_edited"] = ("numeric", lambda: _files("file_edit"))
 REGISTRY["unique_files_read"] = ("numeric", lambda: _files("file_read"))
-_count("web_search_count", lambda: P.field(F.col("payload"), "name").isin("WebSearch", "web_search") | F.lower(F.coalesce("summary", F.lit(""))).contains("web_search"))
+_count("web_search_count", lambda: P.web_search(F.col("summary"), P.field(F.col("payload"), "name")))
 _count("user_message_count", lambda: _is("message", "user"))
 _count("assistant_message_count", lambda: _is("message", "assistant"))
 _count("user_correction_count", lambda: _is("message", "user") & P.correction(_text()))
@@ -134,15 +134,29 @@ def readings(measured: DataFrame) -> DataFrame:
 
 
 def aggregate(rows: DataFrame) -> DataFrame:
-    """Per signal: readings present and missing, and the figures of its kind; flags count as 0 and 1."""
-    v = F.coalesce(F.col("value_num"), F.col("value_bool").cast("int").cast("double"))
-    here = v.isNotNull() | F.col("value_str").isNotNull()
+    """Per signal: readings present and missing, and the figures of its kind only.
+
+    Numeric: min, max, mean, median, p90 and total; boolean: true_count,
+    false_count and true_ratio; categorical: its most common value (see histogram()).
+    """
+    number, flag = F.col("value_num"), F.col("value_bool")
+    here = number.isNotNull() | flag.isNotNull() | F.col("value_str").isNotNull()
+    of = lambda kind, c: F.when(F.col("kind") == kind, c)
+    yes, no = F.count_if(flag), F.count_if(~flag)
     return rows.groupBy("signal", "kind").agg(
-        F.count_if(here).alias("present"), F.count_if(~here).alias("missing"), F.min(v).alias("min"), F.max(v).alias("max"), F.bround(F.avg(v), 3).alias("mean"),
-        F.median(v).alias("median"), F.bround(F.percentile(v, 0.9), 3).alias("p90"), F.count_if("value_bool").alias("true_count"), F.mode("value_str", True).alias("most_common"),
+        F.count_if(here).alias("present"), F.count_if(~here).alias("missing"), F.min(number).alias("min"), F.max(number).alias("max"), F.bround(F.avg(number), 3).alias("mean"),
+        F.median(number).alias("median"), F.bround(F.percentile(number, 0.9), 3).alias("p90"), F.bround(F.sum(number), 3).alias("total"),
+        of("boolean", yes).alias("true_count"), of("boolean", no).alias("false_count"), of("boolean", F.bround(yes / F.nullif(yes + no, F.lit(0)), 3)).alias("true_ratio"),
+        F.mode("value_str", True).alias("most_common"),
     )
 
 
+def histogram(rows: DataFrame) -> DataFrame:
+    """(signal, value, n, rank) of categorical readings, the most frequent first."""
+    counted = rows.where("kind = 'categorical' and value_str is not null").groupBy("signal", F.col("value_str").alias("value")).agg(F.count("*").alias("n"))
+    return counted.withColumn("rank", F.row_number().over(Window.partitionBy("signal").orderBy(F.desc("n"), "value")))
+
+
 def with_plugin(events: DataFrame, function, schema: str) -> DataFrame:
     """Readings of a user's own function of a session's events (a pandas DataFrame in order); one session must fit a task."""
     return events.groupBy(*SESSION).applyInPandas(lambda rows: function(rows.sort_values("ord")), schema)

@@ -192,11 +192,12 @@ def aggregate(readings_: DataFrame) -> DataFrame:
 
 
 def badges(measured: DataFrame) -> DataFrame:
-    """Names of the risks that a session shows."""
+    """Labels of the risks that a session shows, in this order."""
+    fixes, ignored = F.col("fix_without_validation_count"), F.col("failure_ignored_count")
     labels = F.array(
-        F.when(F.col("premature_finish_without_validation"), "unvalidated finish"),
-        F.when(F.col("fix_without_validation_count") > 0, "fix without validation"),
-        F.when(F.col("failure_ignored_count") > 0, "failure ignored"),
-        F.when(F.col("max_repetition_run") >= 4, "repetition"),
+        F.when(F.col("premature_finish_without_validation"), "unvalidated"),
+        F.when(F.col("repeated_action_without_progress") > 0, "repeat"),
+        F.when(fixes > 0, F.format_string("%d fix/no-test", fixes)),
+        F.when(ignored > 0, F.format_string("%d ignored-failure", ignored)),
     )
     return measured.select(*SESSION, F.array_compact(labels).alias("badges"))

@@ -62,7 +62,7 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _links(m: DataFrame) -> DataFrame:
-    return m.where("id % 5 = 0").select(F.col("id").alias("src"), F.expr("id div 2").alias("dst"))
+    return m.select(F.col("id").alias("src"), F.expr("id div 2").alias("dst"))
 
 
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = memories(spark, sf_dir)
-    return m.orderBy(F.col("q_value").desc(), F.col("priority").desc(), F.col("id")).limit(10).select("id", "q_value", "priority")
+    return m.orderBy(F.col("q_value").desc(), F.col("hits").desc(), F.col("priority").desc(), F.col("id")).limit(10).select("id", "q_value", "hits", "priority")
 
 
 def kept_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,6 +160,7 @@ QUERIES = {
 
 _q = lambda s: s.replace("'", "''")
 _CORRECTION = _q("(?i)" + "|".join(f"(?:{p})" for p in P.CORRECTION_PATTERNS))
+_PLAIN = r"regexp_replace(text, '[^\x00-\x7F\P{L}]|[^\x00-\x7F\P{N}]', 'z', 'g')"
 _POS, _NEG = (f"regexp_matches(COL, '(?i){_q(p)}')" for p in (P.POSITIVE, P.NEGATIVE))
 _SAT = f"CASE WHEN COL IS NULL THEN NULL WHEN {_POS} AND NOT {_NEG} THEN 'positive' WHEN {_NEG} AND NOT {_POS} THEN 'negative' ELSE 'neutral' END"
 _ANY = lambda t, needles: "(" + " OR ".join(f"contains({t}, '{_q(n)}')" for n in needles) + ")"
@@ -182,11 +183,11 @@ def _redacted() -> str:
 
 
 ORACLE_SQL = {
-    "message_flags": f"""WITH {MESSAGES_SQL} SELECT session_id, ord, actor, regexp_matches(text, '{_CORRECTION}') AS correction, {_SAT.replace("COL", "text")} AS satisfaction,
+    "message_flags": f"""WITH {MESSAGES_SQL} SELECT session_id, ord, actor, regexp_matches({_PLAIN}, '{_CORRECTION}') AS correction, {_SAT.replace("COL", "text")} AS satisfaction,
   {_ANY("lower(text)", P.RATE_LIMIT_PHRASES)} AS rate_limited, (contains(lower(text), 'process exited with code ') AND NOT regexp_matches(lower(text), 'process exited with code 0\\b')) OR {_ANY("lower(text)", P.FAILURE_NEEDLES)} AS failed,
   starts_with(text, '/') AND length(text) < 300 AND NOT contains(text, chr(10)) AS is_path, CASE WHEN length({_TRIM}) > 80 THEN substr({_TRIM}, 1, 79) || '…' ELSE {_TRIM} END AS short FROM conv""",
     "message_signals": f"""WITH {MESSAGES_SQL}, g AS (SELECT session_id, count(*) FILTER (WHERE actor = 'user') AS user_messages, count(*) FILTER (WHERE actor = 'assistant') AS assistant_messages,
-  count(*) FILTER (WHERE actor = 'user' AND regexp_matches(text, '{_CORRECTION}')) AS corrections, max_by(text, ord) FILTER (WHERE actor = 'user') AS last, CAST(sum(length(text)) AS BIGINT) AS chars FROM conv GROUP BY session_id)
+  count(*) FILTER (WHERE actor = 'user' AND regexp_matches({_PLAIN}, '{_CORRECTION}')) AS corrections, max_by(text, ord) FILTER (WHERE actor = 'user') AS last, CAST(sum(length(text)) AS BIGINT) AS chars FROM conv GROUP BY session_id)
 SELECT session_id, user_messages, assistant_messages, corrections, {_SAT.replace("COL", "last")} AS satisfaction, chars FROM g""",
     "turn_segments": f"WITH {MESSAGES_SQL}, t AS (SELECT *, CAST(sum(CASE WHEN actor = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS turn FROM conv) SELECT session_id, turn, count(*) AS n, min(ord) AS first, CAST(sum(length(text)) AS BIGINT) AS chars FROM t GROUP BY session_id, turn",
     "neighbour_jaccard": f"""WITH {MESSAGES_SQL}, w AS (SELECT *, list_distinct(regexp_extract_all(lower(text), '([a-z][a-z0-9_]+)', 1)) AS a FROM conv), p AS (SELECT *, lag(a) OVER (PARTITION BY session_id ORDER BY ord) AS b FROM w)
@@ -199,7 +200,7 @@ SELECT id, min(id) OVER (PARTITION BY content_hash) AS canonical_id, content_has
 r AS (SELECT qid, id, 1.0 / (60 + row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id)) AS fused, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank
   FROM bm JOIN mem USING (id) WHERE scope IN ('global', 'user', 'task') OR (scope = 'repo' AND origin_repo = 'src3')),
 f AS (SELECT qid, id, CAST(fused AS DOUBLE) AS fused FROM r WHERE rank <= 40),
-l AS (SELECT id AS src, id // 2 AS dst FROM mem WHERE id % 5 = 0),
+l AS (SELECT id AS src, id // 2 AS dst FROM mem),
 n AS (SELECT qid, dst AS id FROM f JOIN l ON f.id = l.src UNION SELECT qid, src FROM f JOIN l ON f.id = l.dst),
 x AS (SELECT n.qid, n.id FROM n JOIN mem USING (id) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.qid = n.qid AND f.id = n.id)),
 a AS (SELECT qid, id, fused FROM f UNION ALL SELECT x.qid, x.id, CAST(1.0 / (60 + c.n0 + row_number() OVER (PARTITION BY x.qid ORDER BY x.id)) AS DOUBLE) FROM x JOIN (SELECT qid, count(*) AS n0 FROM f GROUP BY qid) c ON c.qid = x.qid),
@@ -211,7 +212,7 @@ SELECT qid, rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER
     "reward_fold": f"""WITH {STEPS_SQL}, r AS (SELECT session_id AS id, list_reduce(list_prepend(CAST(0.5 AS DOUBLE), list(CASE WHEN category = 'generate_fix' THEN 1.0 ELSE 0.0 END::DOUBLE ORDER BY idx)), lambda q, r: q + 0.2 * (r - q)) AS q,
   count(*) AS hits, count(*) FILTER (WHERE category = 'generate_fix') AS good FROM ev GROUP BY session_id) SELECT id, round(q, 9) AS q_value, hits, good AS successes, hits - good AS failures FROM r""",
     "memory_index_summary": f"WITH {MEMORIES_SQL} SELECT kind, scope, status, count(*) AS n, max(q_value) AS best_q FROM mem GROUP BY GROUPING SETS ((kind), (scope), (status))",
-    "memory_top_utility": f"WITH {MEMORIES_SQL} SELECT id, q_value, priority FROM mem ORDER BY q_value DESC, priority DESC, id LIMIT 10",
+    "memory_top_utility": f"WITH {MEMORIES_SQL} SELECT id, q_value, hits, priority FROM mem ORDER BY q_value DESC, hits DESC, priority DESC, id LIMIT 10",
     "call_result_join": f"""WITH {STEPS_SQL}, e AS (SELECT *, CAST(split_part(fp, ':', 2) AS BIGINT) AS k FROM ev),
 c AS (SELECT host, session_id, idx AS ord, event_id, CASE WHEN k % 3 = 0 THEN k END AS call_id FROM e WHERE category IN ('search', 'generate_fix')),
 r AS (SELECT host, session_id, idx AS ord, CASE WHEN k % 3 = 0 THEN k END AS call_id, CASE WHEN k % 3 = 1 THEN event_id - k END AS parent FROM e WHERE category IN ('explore', 'error')),

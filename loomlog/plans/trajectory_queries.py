@@ -139,9 +139,10 @@ FROM ent LEFT JOIN s USING (host, session_id) LEFT JOIN t USING (host, session_i
   round_even(count(*) FILTER (WHERE failed AND c1 IN ({_LIST(T.RECOVERING)})) / nullif(CAST(count(*) FILTER (WHERE failed AND c1 IS NOT NULL) AS DOUBLE), 0), 4) AS error_to_search_or_edit_ratio
 FROM b GROUP BY host, session_id""",
     "transition_counts": f"WITH {STEPS_SQL} SELECT before, after, count(*) AS n FROM (SELECT category AS after, lag(category) {_W} AS before FROM ev) WHERE before IS NOT NULL GROUP BY before, after",
-    "risk_badges": f"""WITH {_NOTES} SELECT host, session_id, concat_ws(', ', CASE WHEN premature_finish_without_validation THEN 'unvalidated finish' END,
-  CASE WHEN fix_without_validation_count > 0 THEN 'fix without validation' END, CASE WHEN ign > 0 THEN 'failure ignored' END, CASE WHEN max_repetition_run >= 4 THEN 'repetition' END) AS badges
-FROM ({_VALID}) JOIN (SELECT host, session_id, {_IGNORED} AS ign FROM b GROUP BY host, session_id) USING (host, session_id) JOIN ({_RUNS}) USING (host, session_id)""",
+    "risk_badges": f"""WITH {_NOTES} SELECT host, session_id, concat_ws(', ', CASE WHEN premature_finish_without_validation THEN 'unvalidated' END,
+  CASE WHEN repeated_action_without_progress > 0 THEN 'repeat' END, CASE WHEN fix_without_validation_count > 0 THEN fix_without_validation_count || ' fix/no-test' END,
+  CASE WHEN ign > 0 THEN ign || ' ignored-failure' END) AS badges
+FROM ({_VALID}) JOIN (SELECT host, session_id, {_IGNORED} AS ign FROM b GROUP BY host, session_id) USING (host, session_id) JOIN ({_REPEAT}) USING (host, session_id)""",
     "forward_fill_deltas": f"""WITH {STEPS_SQL}, f AS (SELECT *, CASE WHEN category = 'generate_fix' THEN idx END AS c FROM ev)
 SELECT event_id, last_value(CASE WHEN category = 'search' THEN value END IGNORE NULLS) OVER (PARTITION BY host, session_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_search_value,
   greatest(0, CASE WHEN c IS NULL THEN 0 ELSE c - coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY host, session_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END) AS growth FROM f""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Hosts of sessions, and the category each event type stands for.
@@ -41,6 +41,48 @@ STEPS_SQL = """ev AS (
   FROM events)"""
 
 
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in the canonical shape, payloads and all, one session a user; five kinds that differ by the number k of their props."""
+    e = event_steps(spark, sf_dir).withColumn("k", F.substring_index("fp", ":", -1).cast("int")).withColumnRenamed("event_type", "of")
+    k = F.col("k")
+    pick = lambda *texts: F.element_at(F.array(*[t if isinstance(t, Column) else F.lit(t) for t in texts]), k % len(texts) + 1)
+    json = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    folder = F.concat(F.lit("/srv/p"), k % 7)
+    command = pick(F.concat(F.lit("rg needle"), k, F.lit(" src")), F.concat(F.lit("pytest -q tests/t"), k, F.lit(".py")), "ls -la", "npm run build")
+    says = pick(*USER_TEXTS)
+    output = F.when(k % 10 == 7, F.concat(F.lit('{\\"exit_code\\": '), k % 3, F.lit("}"))).otherwise(F.concat(F.lit("Process exited with code "), k % 3))
+    payload = (
+        F.when(F.col("of") == "view", json('{"name":"Read","input":{"file_path":"', folder, "/f", k, '.py"}}'))
+        .when(F.col("of") == "click", json('{"name":"Bash","input":{"command":"', command, '"}}'))
+        .when(F.col("of") == "purchase", json('{"name":"Edit","changes":{"', folder, "/docs/d", k, '.md":{"type":"add"}},"status":"', F.when(k % 9 == 0, "failed").otherwise("done"), '"}'))
+        .when(F.col("of") == "signup", json('{"text":"', says, '"}'))
+        .otherwise(json('{"is_error":', F.when(k % 2 == 0, "true").otherwise('"true"'), ',"output":"', output, '","model":"m', k % 3, '"}'))
+    )
+    by = lambda **texts: F.coalesce(*[F.when(F.col("of") == x, F.lit(v)) for x, v in texts.items()])
+    return e.select(
+        "host", "session_id", F.col("idx").alias("ord"), F.col("event_id").cast("string").alias("event_id"), "of", "k", "value", "ts",
+        by(view="assistant", click="assistant", purchase="assistant", signup="user", error="tool").alias("actor"),
+        by(view="file_read", click="command", purchase="file_edit", signup="message", error="tool_result").alias("event_type"),
+        F.when(F.col("of") == "signup", says).otherwise(by(view="Read", click="Bash", purchase="Edit", error="tool_result: Bash")).alias("summary"),
+        payload.alias("payload"),
+        F.when(F.col("event_id") % 97 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("timestamp"),
+        F.lit(None).cast("string").alias("parent_event_id"),
+    )
+
+
+#: Fixed values of the view: what users say.
+USER_TEXTS = ("thanks, great work", "no, that's wrong", "you're right, rate limit", "please revert it", "the full rollout and memory")
+_SAYS = " ".join(f"WHEN {i} THEN '" + t.replace("'", "''") + "'" for i, t in enumerate(USER_TEXTS))
+SESSION_EVENTS_SQL = f"""{{steps}}, se AS (
+  SELECT host, session_id, idx AS ord, event_id, event_type AS of, k, value, ts,
+         CASE WHEN event_type = 'signup' THEN CASE k % 5 {_SAYS} END END AS says,
+         '/srv/p' || (k % 7) || CASE event_type WHEN 'view' THEN '/f' || k || '.py' WHEN 'purchase' THEN '/docs/d' || k || '.md' END AS file,
+         CASE WHEN event_type = 'click' THEN CASE k % 4 WHEN 0 THEN 'rg needle' || k || ' src' WHEN 1 THEN 'pytest -q tests/t' || k || '.py' WHEN 2 THEN 'ls -la' ELSE 'npm run build' END END AS command,
+         CASE WHEN event_id % 97 <> 0 THEN date_trunc('second', ts) END AS stamp,
+         (event_type = 'purchase' AND k % 9 = 0) OR (event_type = 'error' AND (k % 2 = 0 OR k % 3 <> 0)) AS bad
+  FROM (SELECT *, CAST(split_part(fp, ':', 2) AS INTEGER) AS k FROM ev))""".replace("{steps}", STEPS_SQL)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as message events: session_id, ord, actor, text."""
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ord"), F.col("role").alias("actor"), "text")
@@ -70,6 +112,7 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 30).cast("double").alias("age_days"),
         ((F.col("doc_id") % 5) + 1).cast("int").alias("priority"),
         (F.col("doc_id") % 10 / 10.0).alias("confidence"),
+        (F.col("doc_id") % 13).alias("hits"),
     )
 
 
@@ -79,7 +122,7 @@ MEMORIES_SQL = """mem AS (
          (d.doc_id % 11) / 10.0 AS q_value, coalesce(CAST(quality AS DOUBLE), 0.0) AS quality_avg,
          CASE toxic WHEN 1 THEN 'high' WHEN 0 THEN 'low' ELSE 'medium' END AS risk,
          CASE WHEN d.doc_id % 3 = 0 THEN CAST(d.doc_id % 30 AS DOUBLE) END AS age_days,
-         CAST(d.doc_id % 5 + 1 AS INTEGER) AS priority, (d.doc_id % 10) / 10.0 AS confidence
+         CAST(d.doc_id % 5 + 1 AS INTEGER) AS priority, (d.doc_id % 10) / 10.0 AS confidence, d.doc_id % 13 AS hits
   FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id)"""
 
 
