@@ -40,14 +40,37 @@ def usage_by_message(lines: DataFrame) -> DataFrame:
 
 
 def usage_by_total(events: DataFrame) -> DataFrame:
-    """Buckets by model from running totals (host, session_id, ord, model, cumulative counters).
+    """Buckets by model from running totals (host, session_id, ord, model, cumulative counters, and last_<counter> where a turn's own usage is logged).
 
-    Rows without a model take the last one named; a counter grows by its
-    difference to the last reading.
+    Rows without a model take the last one named.  A turn counts by its own
+    usage, else by what the counter grew since the last reading; rows in which
+    nothing grew are left out.  A session of which nothing else counted has its
+    last totals.
     """
     rows = events.withColumn("_model", F.coalesce(forward_fill(F.col("model"), "ord"), F.lit("unknown")))
-    rows = rows.select(*SESSION, "_model", *[F.coalesce(deltas(F.col(c), "ord"), F.lit(0)).alias(c) for c in COUNTERS])
-    return rows.groupBy(*SESSION, F.col("_model").alias("model")).agg(*[F.sum(c).alias(c) for c in COUNTERS])
+    reading = F.coalesce(*[F.col(c).isNotNull() for c in COUNTERS[:1]])
+    own = [f"last_{c}" for c in COUNTERS if f"last_{c}" in events.columns]
+    given = F.coalesce(*[F.col(c) for c in own]).isNotNull() if own else F.lit(False)
+    grown = {c: F.coalesce(deltas(F.col(c), "ord"), F.lit(0)) for c in COUNTERS}
+    said = {c: F.coalesce(F.col(f"last_{c}"), F.lit(0)) if f"last_{c}" in own else F.lit(0) for c in COUNTERS}
+    rows = rows.select(*SESSION, "ord", "_model", reading.alias("_reading"), *[F.when(given, said[c]).otherwise(grown[c]).alias(c) for c in COUNTERS], *[F.col(c).alias(f"_total_{c}") for c in COUNTERS])
+    counts = rows.where(F.greatest(*[F.col(c) for c in COUNTERS]) > 0)
+    sums = counts.groupBy(*SESSION, F.col("_model").alias("model")).agg(*[F.sum(c).alias(c) for c in COUNTERS])
+    last = rows.where("_reading").groupBy(*SESSION).agg(F.max_by(F.struct("_model", *[f"_total_{c}" for c in COUNTERS]), "ord").alias("_last"))
+    none = last.join(counts.select(*SESSION).distinct(), list(SESSION), "left_anti")
+    rest = none.select(*SESSION, F.col("_last._model").alias("model"), *[F.coalesce(F.col(f"_last._total_{c}"), F.lit(0)).alias(c) for c in COUNTERS])
+    return sums.unionByName(rest.where(F.greatest(*[F.col(c) for c in COUNTERS]) > 0))
+
+
+def fallback_bucket(buckets: DataFrame, totals: DataFrame, models: DataFrame) -> DataFrame:
+    """Buckets by model; a session that has totals only gets one bucket of its cost model, or of unknown.
+
+    ``totals`` has the session's counters, ``models`` its cost_model.
+    """
+    only = totals.join(buckets.select(*SESSION).distinct(), list(SESSION), "left_anti").where(F.greatest(*[F.coalesce(F.col(c), F.lit(0)) for c in COUNTERS]) > 0)
+    named = only.join(models.select(*SESSION, "cost_model"), list(SESSION), "left")
+    columns = [c for c in buckets.columns if c not in (*SESSION, "model")]
+    return buckets.unionByName(named.select(*SESSION, F.coalesce("cost_model", F.lit("unknown")).alias("model"), *[F.col(c) if c in totals.columns else F.lit(None).alias(c) for c in columns]))
 
 
 def total_tokens() -> Column:

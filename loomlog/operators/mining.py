@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,63 @@ REFINEMENTS = {
 }
 
 
+KINDS = ("procedure", "skill", "failure_trigger", "user_preference", "repo_convention", "tool_lesson", "risk_rule", "case")
+SCOPES, RISKS = ("user", "repo", "task", "global"), ("low", "medium", "high")
+#: Characters of an event's text and of a prompt, and candidates that an answer may have.
+EVENT_CHARS, PROMPT_CHARS, MAX_ANSWERS = 900, 55_000, 8
+
+#: Methods (events to candidates) and filters (candidates to candidates) by name; users add to them.
+METHODS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+FILTERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def register(table: dict, name: str):
+    def add(function):
+        if name in table:
+            raise ValueError(f"{name} is there already")
+        table[name] = function
+        return function
+
+    return add
+
+
+def mine(events: DataFrame, method: str, filters: tuple[str, ...] = ()) -> DataFrame:
+    """Candidates of a method, behind a chain of filters; unknown names are KeyErrors, no events a ValueError."""
+    for table, name in ((METHODS, method), *((FILTERS, f) for f in filters)):
+        if name not in table:
+            raise KeyError(f"{name}; registered: {sorted(table)}")
+    if not events.limit(1).count():
+        raise ValueError("no events")
+    found = METHODS[method](events).withColumn("method", F.lit(method))
+    for name in filters:
+        found = FILTERS[name](found)
+    return found
+
+
+def prompts(events: DataFrame) -> DataFrame:
+    """(host, session_id, prompt): the compact events of each session as redacted JSON, for a model to read."""
+    parts = [F.get_json_object("payload", f"$.{k}") for k in ("text", "message", "thinking", "output", "arguments", "input")]
+    text = F.coalesce(F.nullif(F.concat_ws("\n", *parts), F.lit("")), F.substring("payload", 1, EVENT_CHARS), F.lit(""))
+    rows = compact(events).select(*SESSION, "ord", F.to_json(F.struct("event_id", "timestamp", "actor", "event_type", P.redact(F.coalesce("summary", F.lit(""))).alias("summary"), P.redact(X.truncate(text, EVENT_CHARS)).alias("text"))).alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"])
+    whole = F.concat(F.lit("["), F.array_join(lines, ",\n"), F.lit("]"))
+    cut = F.when(F.length(whole) > PROMPT_CHARS, F.concat(F.substring(whole, 1, PROMPT_CHARS), F.lit("\n\n[truncated compact rollout]"))).otherwise(whole)
+    return rows.groupBy(*SESSION).agg(cut.alias("prompt"))
+
+
+def validated(answers: DataFrame) -> DataFrame:
+    """Candidates of models' answers (host, session_id, answer as JSON): the first MAX_ANSWERS, figures within their bounds, those without text or use left out."""
+    item = "struct<kind:string,text:string,when_to_use:string,evidence_refs:array<string>,confidence:string,priority:string,scope:string,risk:string,scope_reason:string>"
+    rows = answers.select(*SESSION, F.posexplode(F.slice(F.from_json(F.get_json_object("answer", "$.candidates"), f"array<{item}>"), 1, MAX_ANSWERS)).alias("rank", "c"))
+    c = lambda name: F.col("c")[name]
+    word = lambda name, default: F.coalesce(c(name), F.lit(default)).alias(name)
+    said = lambda name: X.strip(F.coalesce(c(name), F.lit(""))).alias(name)
+    return rows.select(
+        *SESSION, (F.col("rank") + 1).alias("rank"), word("kind", "procedure"), said("text"), said("when_to_use"), F.slice(F.coalesce(c("evidence_refs"), F.array().cast("array<string>")), 1, 8).alias("evidence_refs"),
+        X.clamp(c("confidence"), 0.0, 1.0, 0.5).alias("confidence"), X.clamp(c("priority"), 1.0, 5.0, 3.0).cast("int").alias("priority"), word("scope", "task"), word("risk", "medium"), said("scope_reason"),
+    ).where("text <> '' and when_to_use <> ''")
+
+
 def compact(events: DataFrame, head: int = 70, tail: int = 20) -> DataFrame:
     """What a summary needs of a session: key events and user events, of long ones the first ``head`` and last ``tail``."""
     kinds = ("message", "command", "file_edit", "tool_call", "tool_result", "error", "unknown")
@@ -115,3 +174,6 @@ def refinements(events: DataFrame) -> DataFrame:
         return F.when(F.col(name), F.struct(*[F.lit(v).alias(k) for k, v in parts.items()], F.col(f"{name}_refs").alias("evidence_refs")))
 
     return found.select(*SESSION, F.inline(F.array_compact(F.array(*[candidate(name) for name in REFINEMENTS]))))
+
+
+METHODS |= {"refine": refinements, "skills": skills}

@@ -123,6 +123,28 @@ def measure(events: DataFrame, names: list[str] | None = None) -> DataFrame:
     return events.groupBy(*SESSION).agg(*[REGISTRY[n][1]().alias(n) for n in (names or list(REGISTRY))])
 
 
+def select(events: DataFrame, host: str | None = None, sessions: tuple[str, ...] | None = None) -> DataFrame:
+    """Events of a host and of some sessions; filters that a scan of events by host takes over."""
+    if host:
+        events = events.where(F.col("host") == host)
+    return events.where(F.col("session_id").isin(*sessions)) if sessions is not None else events
+
+
+def secrets(events: DataFrame, most: int = 50) -> DataFrame:
+    """(host, session_id, n, type, event_id, snippet): secrets as they come in each session, the first ``most``, with 40 characters around and the secret cut out."""
+    text = F.concat_ws("\n", F.nullif("summary", F.lit("")), F.array_join(X.leaves(F.col("payload"), keys=True), "\n"))
+    rows = None
+    for place, (name, pattern) in enumerate(P.SECRET_PATTERNS.items()):
+        flags, bare = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+        # split at the secret: what is before each match and behind it
+        found = F.regexp_extract_all(F.col("_text"), F.lit(f"{flags}((?s:.{{0,40}}?))(?:{bare})"), 0)
+        around = F.transform(found, lambda m, p=pattern: F.concat(F.right(F.regexp_replace(m, p, ""), F.lit(40)), F.lit("[REDACTED]")))  # noqa: B023
+        part = events.withColumn("_text", text).select(*SESSION, "ord", "event_id", F.lit(place).alias("place"), F.lit(name).alias("type"), F.posexplode(around).alias("at", "snippet"))
+        rows = part if rows is None else rows.unionByName(part)
+    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy(*SESSION).orderBy("ord", "place", "at"))).where(F.col("n") <= most)
+    return ranked.select(*SESSION, "n", "type", "event_id", F.substring(F.replace("snippet", F.lit("\n"), F.lit(" ")), 1, 180).alias("snippet"))
+
+
 def readings(measured: DataFrame) -> DataFrame:
     """One row a session and signal, with its value in the column of its kind."""
     rows = []

@@ -14,6 +14,7 @@ from ..operators import portfolio as R
 from ..operators import sessions as S
 from ..operators import trajectory as T
 from ..sources import discovery as D
+from ..sources import transcripts
 from ..sources.views import HOST_A, HOST_B, SESSION_EVENTS_SQL, USER_TEXTS, event_steps, memories, session_events, table
 
 KEYS = ["host", "session_id"]
@@ -244,12 +245,43 @@ def session_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(made, KEYS, "left").select(*KEYS, F.when(F.col("n") >= 2, F.coalesce("made", F.lit(0))).alias("git_commits_made_during"))
 
 
+def trajectory_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps built from events: what belongs to each, its category and fingerprint."""
+    s = T.build(session_events(spark, sf_dir))
+    return s.select(*KEYS, "idx", "action_event_id", F.array_join("result_event_ids", ",").alias("results"), "result_text", "action_text", "category", "fp_key", "failed")
+
+
+def _raw_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as raw lines of host B: a meta line first, calls with their outputs, messages that are logged twice."""
+    e = session_events(spark, sf_dir)
+    k = F.col("k").cast("string")
+    call = F.concat(F.lit('"call_id":"c'), F.col("k") % 10, F.lit('"'))
+    inner = (
+        F.when(F.col("of") == "view", F.concat(F.lit('"response_item","payload":{"type":"function_call","name":"read_file","arguments":"{\\"path\\":\\"f'), k, F.lit('\\"}",'), call, F.lit("}")))
+        .when(F.col("of") == "click", F.concat(F.lit('"response_item","payload":{"type":"custom_tool_call","name":"apply_patch","input":"p'), k, F.lit('",'), call, F.lit("}")))
+        .when(F.col("of") == "purchase", F.concat(F.lit('"response_item","payload":{"type":"function_call_output","output":"o'), k, F.lit('",'), call, F.lit("}")))
+        .when((F.col("of") == "signup") & (F.col("k") % 2 == 0), F.concat(F.lit('"event_msg","payload":{"type":"user_message","message":"m'), k, F.lit('"}')))
+        .when(F.col("of") == "signup", F.concat(F.lit('"response_item","payload":{"type":"message","role":"user","content":[{"type":"input_text","text":"m'), k, F.lit('"}]}')))
+        .when(F.col("k") % 2 == 0, F.concat(F.lit('"response_item","payload":{"type":"message","role":"developer","content":[{"type":"input_text","text":"d'), k, F.lit('"}]}')))
+        .otherwise('"event_msg","payload":{"type":"never_heard_of"}')
+    )
+    raw = F.concat(F.lit('{"type":'), inner, F.lit("}"))
+    return e.select(F.concat(F.lit("/raw/"), "session_id").alias("path"), "session_id", (F.col("ord") + 1).cast("int").alias("line"), raw.alias("raw"))
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of host B's raw lines: results take the name of the latest earlier call with their id."""
+    e = transcripts.normalise_b(_raw_b(spark, sf_dir))
+    text = F.coalesce(F.get_json_object("payload", "$.text"), F.get_json_object("payload", "$.output"), F.get_json_object("payload", "$.input"), F.get_json_object("payload", "$.arguments.path"))
+    return e.select("event_id", F.col("sequence").cast("long").alias("sequence"), F.col("ord").cast("long").alias("ord"), "actor", "event_type", F.get_json_object("payload", "$.name").alias("name"), text.alias("text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         failure_rules, session_signals, signal_figures, signal_histogram, signal_lines, session_summary, portfolio_days, portfolio_overall, project_list, operator_portfolio, session_readings,
         experiments_summary, experiment_rows, refinements, compact_events, prompt_blocks, candidate_orders, mined_sessions, first_root_wins, spawn_edges, retention, snapshot_rates, text_tools,
-        memory_upserts, phrase_counts, session_commits,
+        memory_upserts, phrase_counts, session_commits, trajectory_steps, raw_events,
     )
 }
 
@@ -384,4 +416,17 @@ h AS (SELECT u.qid, u.unit, x.id FROM u JOIN t x ON x.term = u.one LEFT JOIN t y
 SELECT qid, unit, id, count(*) AS tf FROM h GROUP BY ALL""",
     "session_commits": f"""WITH {_SE}, s AS (SELECT host, session_id, min(ts) AS a, max(ts) AS b, count(ts) AS n, CAST(session_id AS BIGINT) % 5 AS repo FROM ev GROUP BY host, session_id)
 SELECT host, session_id, CASE WHEN n >= 2 THEN (SELECT count(*) FROM ev c WHERE c.category = 'run_tests' AND CAST(c.session_id AS BIGINT) % 5 = s.repo AND c.ts BETWEEN s.a AND s.b) END AS git_commits_made_during FROM s""",
+    "trajectory_steps": f"""WITH {_SE}, n AS (SELECT *, sum(CASE WHEN of IN ('view', 'click', 'purchase') THEN 1 ELSE 0 END) OVER (PARTITION BY host, session_id ORDER BY ord) AS step FROM se),
+r AS (SELECT host, session_id, step, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ord) AS results, string_agg('tool_result: Bash', chr(10)) AS result_text FROM n WHERE of = 'error' AND step > 0 GROUP BY host, session_id, step),
+a AS (SELECT *, CASE of WHEN 'view' THEN 'file_read assistant read read file_path=' || file WHEN 'click' THEN 'command assistant bash ' || command || ' command=' || command ELSE 'file_edit assistant edit edit' END AS fp FROM n WHERE of IN ('view', 'click', 'purchase'))
+SELECT host, session_id, CAST(step - 1 AS BIGINT) AS idx, CAST(event_id AS VARCHAR) AS action_event_id, coalesce(results, '') AS results, coalesce(result_text, '') AS result_text,
+  CASE of WHEN 'view' THEN 'Read' WHEN 'click' THEN command ELSE 'Edit' END AS action_text,
+  CASE WHEN of = 'view' THEN 'explore' WHEN of = 'purchase' THEN CASE WHEN k % 9 = 0 THEN 'error' ELSE 'generate_fix' END ELSE CASE k % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'run_tests' WHEN 2 THEN 'explore' ELSE 'other' END END AS category,
+  substr(sha256(fp), 1, 12) AS fp_key, false AS failed FROM a LEFT JOIN r USING (host, session_id, step)""",
+    "raw_events": f"""WITH {_SE}, t AS (SELECT *, last_value(CASE of WHEN 'view' THEN 'read_file' WHEN 'click' THEN 'apply_patch' END IGNORE NULLS) OVER (PARTITION BY session_id, CASE WHEN of IN ('view', 'click', 'purchase') THEN k % 10 END ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tool
+  FROM se WHERE NOT (of = 'signup' AND k % 2 = 1))
+SELECT session_id || ':' || (ord + 1) AS event_id, CAST(ord + 1 AS BIGINT) AS sequence, row_number() OVER (PARTITION BY session_id ORDER BY ord) AS ord, CASE of WHEN 'signup' THEN 'user' WHEN 'purchase' THEN 'tool' WHEN 'error' THEN 'system' ELSE 'assistant' END AS actor,
+  CASE of WHEN 'view' THEN 'file_read' WHEN 'click' THEN 'file_edit' WHEN 'purchase' THEN 'tool_result' WHEN 'signup' THEN 'message' ELSE CASE WHEN k % 2 = 0 THEN 'message' ELSE 'unknown' END END AS event_type,
+  CASE of WHEN 'view' THEN 'read_file' WHEN 'click' THEN 'apply_patch' WHEN 'purchase' THEN coalesce(tool, '?') END AS name,
+  CASE of WHEN 'view' THEN 'f' || k WHEN 'click' THEN 'p' || k WHEN 'purchase' THEN 'o' || k WHEN 'signup' THEN 'm' || k ELSE CASE WHEN k % 2 = 0 THEN 'd' || k END END AS text FROM t""",
 }

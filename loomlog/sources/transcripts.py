@@ -161,13 +161,14 @@ def normalise_b(lines: DataFrame) -> DataFrame:
         .when(on(msg, "web_search_end"), F.concat(F.lit("web_search query="), X.truncate(F.coalesce(_get("payload.query"), F.lit("")), 200, flatten=True)))
         .when(on(item, "reasoning"), "reasoning (encrypted)").when(on(item, "function_call"), F.concat("tool", F.lit("("), summarise_input(parsed, ("cmd", "command", "path", "query")), F.lit(")")))
         .when(on(item, "custom_tool_call"), F.concat("tool", F.lit(" (custom_tool)"))).when(outputs, F.concat(F.lit("tool_result: "), F.col("tool"))).when(on(item, "web_search_call"), "web_search")
-        .when(on(item, "message"), X.truncate(F.coalesce(_get("payload.content"), F.lit("")), 200, flatten=True)).when(item, F.concat(F.lit("response_item unknown payload.type="), F.coalesce("p", F.lit("None"))))
+        .when(on(item, "message"), X.truncate(X.content_text(_as_json("payload.content")), 200, flatten=True)).when(item, F.concat(F.lit("response_item unknown payload.type="), F.coalesce("p", F.lit("None"))))
         .otherwise(F.coalesce("kind", F.lit("unknown")))
     )
     payload = (
         F.when(on(msg, "user_message", "agent_message"), _json(text=_quoted(said))).when(on(item, "function_call"), _json(name=_quoted(F.col("tool")), arguments=parsed, call_id=_quoted(F.col("call_id"))))
         .when(on(item, "custom_tool_call"), _json(name=_quoted(F.col("tool")), input=_as_json("payload.input"), call_id=_quoted(F.col("call_id"))))
-        .when(outputs, _json(call_id=_quoted(F.col("call_id")), name=_quoted(F.col("tool")), output=_as_json("payload.output"))).otherwise(F.coalesce("payload_", "raw"))
+        .when(outputs, _json(call_id=_quoted(F.col("call_id")), name=_quoted(F.col("tool")), output=_as_json("payload.output")))
+        .when(on(item, "message"), _json(text=_quoted(X.content_text(_as_json("payload.content"))))).otherwise(F.coalesce("payload_", "raw"))
     )
     event_id = F.concat_ws(":", "session_id", F.col("line").cast("string"))
     out = df.select(F.lit(HOST_B).alias("host"), "session_id", event_id.alias("event_id"), F.col("line").alias("sequence"), actor.alias("actor"), event_type.alias("event_type"), summary.alias("summary"), payload.alias("payload"), _get("timestamp").alias("timestamp"), F.lit(None).cast("string").alias("parent_event_id"), "path", "line")
@@ -188,6 +189,11 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_event_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Events that were written as JSON lines; a line that is no JSON, or does not fit the schema, fails the job."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def read_authored(spark: SparkSession, path: str) -> DataFrame:
     """Memories written by hand as Markdown: front matter lines as a map, and the body; files without a body are left out."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
