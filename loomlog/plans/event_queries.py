@@ -223,4 +223,12 @@ SELECT event_id, coalesce(a, b, free) AS result_ord, CASE WHEN a IS NOT NULL THE
     "latest_before_join": f"""WITH {STEPS_SQL} SELECT event_id, latest_event_id FROM (SELECT event_id, category, last_value(CASE WHEN category = 'search' THEN event_id END IGNORE NULLS) OVER (PARTITION BY host, session_id, split_part(fp, ':', 2) ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS latest_event_id
 FROM ev WHERE category IN ('search', 'explore')) WHERE category = 'explore'""",
     "interval_join": f"WITH {STEPS_SQL}, s AS (SELECT host, session_id, min(ts) AS a, min(ts) + INTERVAL 2 HOURS AS b FROM ev GROUP BY host, session_id) SELECT s.host, s.session_id, count(*) AS n, min(event_id) AS first_event FROM s JOIN ev e ON e.host = s.host AND e.category = 'run_tests' AND e.ts BETWEEN a AND b GROUP BY s.host, s.session_id",
+    "kept_candidates": f"""WITH RECURSIVE {MESSAGES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY priority DESC, confidence DESC, kind, id) AS n
+  FROM (SELECT session_id, ord AS id, actor AS kind, list_distinct(regexp_extract_all(lower(text), '([a-z][a-z0-9_]+)', 1)) AS words, length(text) % 7 = 0 AS high, length(text) % 10 / 10.0 AS confidence, length(text) % 5 + 1 AS priority FROM conv) WHERE NOT high AND confidence >= 0.4),
+k AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(kind VARCHAR, id BIGINT, words VARCHAR[])[]) AS kept FROM o
+  UNION ALL SELECT k.session_id, o.n, CASE WHEN len(kept) >= 8 OR len(list_filter(kept, lambda x: x.kind = o.kind AND len(x.words) > 0 AND len(o.words) > 0
+      AND len(list_intersect(x.words, o.words)) / CAST(len(x.words) + len(o.words) - len(list_intersect(x.words, o.words)) AS DOUBLE) >= 0.75)) > 0 THEN kept
+    ELSE list_append(kept, {{'kind': o.kind, 'id': CAST(o.id AS BIGINT), 'words': o.words}}) END FROM k JOIN o ON o.session_id = k.session_id AND o.n = k.n + 1),
+l AS (SELECT session_id, max_by(kept, n) AS kept FROM k GROUP BY session_id)
+SELECT session_id, CAST(r AS INTEGER) AS rank, kept[r].id AS id FROM (SELECT session_id, kept, unnest(generate_series(1, len(kept))) AS r FROM l)""",
 }
