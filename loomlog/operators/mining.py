@@ -106,28 +106,67 @@ def compact(events: DataFrame, head: int = 70, tail: int = 20) -> DataFrame:
     return rows.where((F.col("_n") <= head + tail) | (F.col("_up") <= head) | (F.col("_down") <= tail)).drop("_up", "_down", "_n")
 
 
-def skills(events: DataFrame, k: int = 4) -> DataFrame:
-    """The best turns of each session as skills: at least two calls, no failure, and no complaint in the next user message.
+#: What a user says of a turn before, runs that verify, and titles by words of the request.
+COMPLAINT = r"\b(no+|nope|wrong|incorrect|don'?t|stop|revert|undo|that'?s wrong|not (what|right))\b"
+PRAISE = r"\b(thanks?|great|perfect|nice|works|ship it|lgtm|love it|exactly)\b"
+VERIFYING = (
+    r"\bpytest\b|\bnpm (?:run )?test\b|\b(?:pnpm|yarn) (?:run )?test\b|\bgo test\b|\bcargo test\b|\btypecheck\b|\btsc(?:\s|$)|\bmypy\b|\bruff\b|\beslint\b"
+    r"|\bmake (?:check|test)\b|\bpre-commit\b|-m (?:pytest|unittest)\b"
+)
+TITLES = {
+    "spec": "draft a spec doc", "test": "add or update tests", "benchmark": "run a benchmark", "plan": "write an implementation plan", "refactor": "refactor existing code", "fix": "investigate and patch a bug",
+    "research": "research a topic and summarize findings", "review": "review the changes on this branch", "dashboard": "build or update a dashboard", "import": "import data from a host",
+}
+
+
+def skills(events: DataFrame, k: int = 4, steps: int = 10) -> DataFrame:
+    """The best turns of each session as skills: at least two calls, no failed result, and no complaint in the next user message.
 
     A turn goes from a user message to the next one; those with more edits, then
-    more calls, then the earlier ones come first.
+    more calls, then the earlier ones come first.  A skill says when it starts
+    (activation), its steps, when it ends and how it was verified.
     """
-    user = (F.col("actor") == "user") & (F.col("event_type") == "message")
-    call = P.is_action(F.col("actor"), F.col("event_type"))
-    text = X.event_text(F.col("payload"), F.col("summary"))
-    rows = events.withColumn("turn", turns(user)).withColumn("_text", text)
-    first = lambda c, v: F.min_by(F.when(c, v), F.when(c, F.col("ord")))
+    kind, actor = F.col("event_type"), F.col("actor")
+    user = (actor == "user") & (kind == "message")
+    call = kind.isin("tool_call", "command", "file_edit", "file_read") & (actor == "assistant")
+    given = F.coalesce(F.get_json_object("payload", "$.input"), F.get_json_object("payload", "$.arguments"), F.lit(""))
+    ran = F.coalesce(*[F.nullif(F.get_json_object(given, f"$.{c}"), F.lit("")) for c in ("command", "cmd")], given)
+    edited = F.coalesce(*[P.field(F.col("payload"), f"input.{c}") for c in ("file_path", "path", "file")], F.get(X.object_keys(F.col("payload"), "changes"), F.lit(0)))
+    rows = events.withColumn("turn", turns(user)).withColumn("_text", X.event_text(F.col("payload"), F.col("summary")))
+    one = F.struct("ord", "event_id", "event_type", X.describe_call(kind, F.col("payload")).alias("line"), X.truncate(ran, 80, flatten=True).alias("ran"), edited.alias("edited"), F.coalesce(P.field(F.col("payload"), "name"), F.lit("the last tool call")).alias("name"))
+    first = lambda v: F.min_by(F.when(user, v), F.when(user, F.col("ord")))
     t = rows.groupBy(*SESSION, "turn").agg(
-        first(user, F.col("_text")).alias("goal"), F.count_if(call).alias("calls"), F.count_if(call & (F.col("event_type") == "file_edit")).alias("edits"),
-        F.coalesce(F.bool_or(P.failed_turn(F.col("payload"))), F.lit(False)).alias("failed"),
-        F.transform(F.array_sort(F.collect_list(F.when(call, F.struct("ord", "summary")))), lambda x: x["summary"]).alias("steps"),
+        first(F.col("_text")).alias("asked"), first(F.col("event_id")).alias("asked_id"), F.array_sort(F.collect_list(F.when(call, one))).alias("made"), F.count_if(call & (kind == "file_edit")).alias("edits"),
+        F.coalesce(F.bool_or((actor == "tool") & P.failed_turn(F.col("payload"))), F.lit(False)).alias("failed"),
+    )
+    w = Window.partitionBy(*SESSION).orderBy("turn")
+    t = t.withColumn("next", F.lead("asked").over(w)).withColumn("next_id", F.lead("asked_id").over(w)).withColumn("calls", F.size("made"))
+    complains = F.coalesce(P.plain_letters(F.col("next")).rlike("(?i)" + COMPLAINT), F.lit(False))
+    best = top_k(t.where((F.col("calls") >= 2) & ~F.col("failed") & ~complains), list(SESSION), [F.col("edits").desc(), F.col("calls").desc(), F.col("turn")], k)
+    last = F.element_at("made", -1)
+    edit = F.element_at(F.filter("made", lambda x: x["event_type"] == "file_edit"), F.lit(-1))
+    ends = (
+        F.when((F.col("edits") > 0) & edit["edited"].isNotNull(), F.concat(F.lit("after writing "), X.anonymise(edit["edited"]))).when(F.col("edits") > 0, "after the last file edit succeeds")
+        .when(last["event_type"] == "command", "after the final command returns exit code 0").otherwise(F.concat(F.lit("after `"), last["name"], F.lit("` returns success")))
+    )
+    tail = F.filter(F.slice("made", F.greatest(F.col("calls") - 5, F.lit(1)), F.lit(6)), lambda x: (x["event_type"] == "command") & x["ran"].rlike("(?i)" + VERIFYING))
+    commands = F.exists("made", lambda x: x["event_type"] == "command")
+    verified = F.when(F.size(tail) > 0, F.concat(F.lit("verified by running `"), F.try_element_at(tail, F.lit(-1))["ran"], F.lit("`"))).when((F.col("edits") > 0) & ~commands, "verified by reviewing the resulting file diff")
+    asked = F.lower(F.coalesce("asked", F.lit("")))
+    hinted = F.coalesce(*[F.when(asked.contains(word), title) for word, title in TITLES.items()], F.when(F.col("edits") > 0, "edit-then-verify workflow"), F.when(commands, "investigate via shell commands"))
+    praised = F.coalesce(P.plain_letters(F.col("next")).rlike("(?i)" + PRAISE), F.lit(False))
+    confidence = F.when(praised, 0.75).otherwise(0.55)
+    lines = F.transform(F.slice("made", 1, steps), lambda x: x["line"])
+    more = F.when(F.col("calls") > steps, F.array(F.format_string("… (+%d more)", F.col("calls") - steps))).otherwise(F.array().cast("array<string>"))
+    title = F.concat(F.lit("Skill: "), F.coalesce(hinted, F.lit("multi-step tool workflow")))
+    activation = F.coalesce(F.nullif(X.truncate(F.col("asked"), 180, flatten=True), F.lit("")), F.lit("(no opening user message)"))
+    return best.select(
+        *SESSION, "rank", "turn", X.slug(title).alias("id"), F.lit("skill").alias("kind"), title.alias("text"), F.concat(F.lit("Use when the user asks for: "), activation).alias("when_to_use"),
+        activation.alias("activation"), F.concat(lines, more).alias("steps"), ends.alias("termination"), F.coalesce(verified, F.lit("(no explicit verification observed)")).alias("verification"),
+        F.bround(F.when(verified.isNotNull(), F.least(F.lit(0.85), confidence + 0.05)).otherwise(confidence), 2).alias("confidence"), F.lit(4).alias("priority"), F.lit("medium").alias("risk"),
+        F.when(hinted.isNotNull(), "task").otherwise("repo").alias("scope"),
+        F.slice(F.array_compact(F.concat(F.array("asked_id"), F.transform(F.slice("made", 1, 4), lambda x: x["event_id"]), F.array("next_id"))), 1, 6).alias("evidence_refs"), "edits", "calls",
     )
-    after = F.lead("goal").over(Window.partitionBy(*SESSION).orderBy("turn"))
-    good = t.withColumn("_next", after).where((F.col("calls") >= 2) & ~F.col("failed") & (F.col("turn") >= 1))
-    good = good.where(~F.coalesce(P.satisfaction(F.col("_next")) == "negative", F.lit(False)))
-    best = top_k(good, list(SESSION), [F.col("edits").desc(), F.col("calls").desc(), F.col("turn")], k)
-    title = X.truncate(F.coalesce("goal", F.lit("")), 80, flatten=True)
-    return best.select(*SESSION, "rank", "turn", X.slug(title).alias("id"), F.lit("skill").alias("kind"), title.alias("title"), F.slice("steps", 1, 8).alias("steps"), "edits", "calls")
 
 
 def procedures(steps: DataFrame, goals: DataFrame, runs: int = 12) -> DataFrame:

@@ -251,6 +251,13 @@ def trajectory_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(*KEYS, "idx", "action_event_id", F.array_join("result_event_ids", ",").alias("results"), "result_text", "action_text", "category", "fp_key", "failed")
 
 
+def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mining.skills(session_events(spark, sf_dir))
+    return found.select(
+        *KEYS, F.col("rank").cast("long").alias("rank"), F.col("turn").cast("long").alias("turn"), "text", "activation", F.array_join("steps", "|").alias("steps"), "termination", "verification", "confidence", "scope", F.array_join("evidence_refs", ",").alias("refs"),
+    )
+
+
 def _raw_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as raw lines of host B: a meta line first, calls with their outputs, messages that are logged twice."""
     e = session_events(spark, sf_dir)
@@ -281,7 +288,7 @@ QUERIES = {
     for f in (
         failure_rules, session_signals, signal_figures, signal_histogram, signal_lines, session_summary, portfolio_days, portfolio_overall, project_list, operator_portfolio, session_readings,
         experiments_summary, experiment_rows, refinements, compact_events, prompt_blocks, candidate_orders, mined_sessions, first_root_wins, spawn_edges, retention, snapshot_rates, text_tools,
-        memory_upserts, phrase_counts, session_commits, trajectory_steps, raw_events,
+        memory_upserts, phrase_counts, session_commits, trajectory_steps, raw_events, skills,
     )
 }
 
@@ -429,4 +436,18 @@ SELECT session_id || ':' || (ord + 1) AS event_id, CAST(ord + 1 AS BIGINT) AS se
   CASE of WHEN 'view' THEN 'file_read' WHEN 'click' THEN 'file_edit' WHEN 'purchase' THEN 'tool_result' WHEN 'signup' THEN 'message' ELSE CASE WHEN k % 2 = 0 THEN 'message' ELSE 'unknown' END END AS event_type,
   CASE of WHEN 'view' THEN 'read_file' WHEN 'click' THEN 'apply_patch' WHEN 'purchase' THEN coalesce(tool, '?') END AS name,
   CASE of WHEN 'view' THEN 'f' || k WHEN 'click' THEN 'p' || k WHEN 'purchase' THEN 'o' || k WHEN 'signup' THEN 'm' || k ELSE CASE WHEN k % 2 = 0 THEN 'd' || k END END AS text FROM t""",
+    "skills": f"""WITH {_SE}, n AS (SELECT *, sum(CASE WHEN of = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY host, session_id ORDER BY ord) AS turn,
+    CASE of WHEN 'view' THEN 'read file (' || file || ')' WHEN 'click' THEN 'run shell (' || command || ')' WHEN 'purchase' THEN 'edit file' END AS line, of IN ('view', 'click', 'purchase') AS made FROM se),
+g AS (SELECT host, session_id, turn, max(says) AS asked, max(CASE WHEN of = 'signup' THEN k % 5 END) AS mood, max(CASE WHEN of = 'signup' THEN CAST(event_id AS VARCHAR) END) AS asked_id, count(*) FILTER (WHERE made) AS calls, count(*) FILTER (WHERE of = 'purchase') AS edits,
+  bool_or(of = 'error' AND (k % 2 = 0 OR (k % 10 = 7 AND k % 3 <> 0))) AS failed, list(line ORDER BY ord) FILTER (WHERE made) AS lines, list(CAST(event_id AS VARCHAR) ORDER BY ord) FILTER (WHERE made) AS ids,
+  list(CASE WHEN of = 'click' AND k % 4 = 1 THEN command ELSE '' END ORDER BY ord DESC) FILTER (WHERE made) AS tests, max_by(file, ord) FILTER (WHERE of = 'purchase') AS edited, count(*) FILTER (WHERE of = 'click') AS clicks,
+  max_by(of, ord) FILTER (WHERE made) AS last FROM n GROUP BY host, session_id, turn),
+h AS (SELECT *, lead(mood) OVER w AS next_mood, lead(asked_id) OVER w AS next_id, list_filter(tests[1:6], lambda x: x <> '') AS ran FROM g WINDOW w AS (PARTITION BY host, session_id ORDER BY turn)),
+b AS (SELECT *, row_number() OVER (PARTITION BY host, session_id ORDER BY edits DESC, calls DESC, turn) AS rank FROM h WHERE calls >= 2 AND NOT failed AND coalesce(next_mood, 0) NOT IN (1, 3))
+SELECT host, session_id, rank, CAST(turn AS BIGINT) AS turn, 'Skill: ' || CASE WHEN edits > 0 THEN 'edit-then-verify workflow' WHEN clicks > 0 THEN 'investigate via shell commands' ELSE 'multi-step tool workflow' END AS text, coalesce(asked, '(no opening user message)') AS activation,
+  array_to_string(lines[1:10], '|') || CASE WHEN calls > 10 THEN '|… (+' || (calls - 10) || ' more)' ELSE '' END AS steps,
+  CASE WHEN edits > 0 THEN 'after writing ' || '/srv/' || split_part(edited, '/', 3) || '/docs/' || split_part(edited, '/', 5) WHEN last = 'click' THEN 'after the final command returns exit code 0' ELSE 'after `Read` returns success' END AS termination,
+  CASE WHEN len(ran) > 0 THEN 'verified by running `' || ran[1] || '`' WHEN edits > 0 AND clicks = 0 THEN 'verified by reviewing the resulting file diff' ELSE '(no explicit verification observed)' END AS verification,
+  round_even(CASE WHEN next_mood = 0 THEN 0.75 ELSE 0.55 END + CASE WHEN len(ran) > 0 OR (edits > 0 AND clicks = 0) THEN 0.05 ELSE 0.0 END, 2)::DOUBLE AS confidence, CASE WHEN edits > 0 OR clicks > 0 THEN 'task' ELSE 'repo' END AS scope,
+  concat_ws(',', asked_id, array_to_string(ids[1:4], ','), next_id) AS refs FROM b WHERE rank <= 4""",
 }

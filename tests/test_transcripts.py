@@ -112,7 +112,7 @@ def test_steps(spark, folder):
 def test_mining(spark, folder):
     events = S.normalise_a(S.read_lines(spark, f"{folder}/a"))
     found = mining.skills(events).collect()
-    assert len(found) == 1 and found[0]["edits"] == 1 and found[0]["calls"] == 3 and found[0]["title"] == "Please fix the parser"
+    assert len(found) == 1 and found[0]["edits"] == 1 and found[0]["calls"] == 3 and found[0]["activation"] == "Please fix the parser" and found[0]["text"] == "Skill: investigate and patch a bug"
     assert mining.compact(events, 2, 1).count() == 3
     assert {r["rule"] for r in mining.refinements(events).collect()} <= set(mining.REFINEMENTS)
     steps = trajectory.build(events)
