@@ -136,9 +136,9 @@ def secrets(events: DataFrame, most: int = 50) -> DataFrame:
     rows = None
     for place, (name, pattern) in enumerate(P.SECRET_PATTERNS.items()):
         flags, bare = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
-        # split at the secret: what is before each match and behind it
-        found = F.regexp_extract_all(F.col("_text"), F.lit(f"{flags}((?s:.{{0,40}}?))(?:{bare})"), 0)
-        around = F.transform(found, lambda m, p=pattern: F.concat(F.right(F.regexp_replace(m, p, ""), F.lit(40)), F.lit("[REDACTED]")))  # noqa: B023
+        whole = F.lit(f"{flags}((?s:.{{0,40}}?))(?:{bare})(?=((?s:.{{0,40}})))")
+        before, behind = (F.regexp_extract_all(F.col("_text"), whole, i) for i in (1, 2))
+        around = F.zip_with(before, behind, lambda x, y: F.concat(x, F.lit("[REDACTED]"), y))
         part = events.withColumn("_text", text).select(*SESSION, "ord", "event_id", F.lit(place).alias("place"), F.lit(name).alias("type"), F.posexplode(around).alias("at", "snippet"))
         rows = part if rows is None else rows.unionByName(part)
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy(*SESSION).orderBy("ord", "place", "at"))).where(F.col("n") <= most)
