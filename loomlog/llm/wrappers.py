@@ -11,6 +11,7 @@ import html as html_lib
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -42,6 +43,7 @@ SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 _TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({OPAQUE})\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _BLANK = re.compile(r"\s+")
+_NUMBER = re.compile(r"\d+")
 
 
 def blocks(page: str | None) -> list[tuple[str, str]]:
@@ -82,7 +84,7 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             if not m[0].endswith("/>"):
                 names = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m[4])}
                 marks = [*names.get("class", "").split(), *(["#" + names["id"]] if names.get("id") else []), *(["@" + names["role"].lower()] if names.get("role") else []), *(["!hidden"] if "hidden" in names or names.get("aria-hidden", "").lower() == "true" else [])]
-                stack.append(".".join([name, *(x.replace(">", "").replace(".", "") for x in marks)]))
+                stack.append(".".join([name, *(_NUMBER.sub("0", x.replace(">", "").replace(".", "")) for x in marks)]))  # numbers tell pages apart, not slots
     flush()
     return out
 
@@ -168,83 +170,163 @@ def align(wrapper: list[str], page: list[str]) -> list[str]:
     return folded
 
 
-_FOUND = "host string, kind string, value string, pages long, mass long, low long, high long"
+#: Wrappers are broadcast up to this many hosts and bytes of drop lists, and joined by shuffle beyond.
+MAX_BROADCAST_HOSTS, MAX_BROADCAST_BYTES = 20_000, 16 << 20
+#: Streams that one task aligns to one wrapper, about.
+FAN_IN = 64
+
+
+def slots(wrapper: list[str]) -> list[tuple[str, int]]:
+    """(path, where it can go on) of each text slot of a wrapper: behind itself, at itself, or at the first slot of its group if that is repeated."""
+    out: list[tuple[str, int]] = []
+    for token in wrapper:
+        paths, repeated = token.rstrip("+?").strip("()").split(" "), "+" in token
+        first = len(out)
+        for k, path in enumerate(paths):
+            last = k == len(paths) - 1
+            out.append((path, first if repeated and last else first + k + 1))
+    return out
+
 
+class Matcher:
+    """Reads a page's blocks into the slots of its host's wrapper."""
 
-def _observe(pages: DataFrame) -> DataFrame:
-    """What pages have, summed by host: their streams, and of each path the text mass and range of text hashes."""
+    def __init__(self, wrapper: list[str]):
+        self.slots = slots(wrapper)
+        self.places: dict[str, list[int]] = {}
+        for i, (path, _) in enumerate(self.slots):
+            self.places.setdefault(path, []).append(i)
+
+    def match(self, found: list[tuple[str, str]]) -> list[int]:
+        """The slot of each block: the next one with its path; where the page goes back, the last one before; -1 if the wrapper has none."""
+        out, at = [], 0
+        for path, _ in found:
+            places = self.places.get(path)
+            if places is None:
+                out.append(-1)
+                continue
+            k = bisect_left(places, at)
+            slot = places[min(k, len(places) - 1)]
+            out.append(slot)
+            at = self.slots[slot][1]
+        return out
+
+
+def _streams(pages: DataFrame) -> DataFrame:
+    """(host, value, pages): the different folded token streams of each host, as JSON."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[tuple[str, str, str], list[int]] = {}
+            seen: dict[tuple[str, str], int] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = blocks(page.as_py())
-                rows: dict[tuple[str, str], list[int]] = {("stream", json.dumps(skeleton(found))): [0, 0]}
-                for path, text in found:
-                    own = rows.setdefault(("path", path), [0, 0])
-                    own[0] += len(text)
-                    own[1] = zlib.crc32(text.encode("utf-8", "surrogatepass"), own[1])
-                for (kind, value), (mass, crc) in rows.items():
-                    have = seen.setdefault((host, kind, value), [0, 0, crc, crc])
-                    have[0] += 1
-                    have[1] += mass
-                    have[2], have[3] = min(have[2], crc), max(have[3], crc)
-            columns = list(zip(*[(*k, *v) for k, v in seen.items()])) or [[]] * 7
-            kinds = [pa.string()] * 3 + [pa.int64()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in _FOUND.split(", ")])
+                key = (host, json.dumps(skeleton(blocks(page.as_py()))))
+                seen[key] = seen.get(key, 0) + 1
+            columns = list(zip(*[(*k, n) for k, n in seen.items()])) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["host", "value", "pages"])
 
-    rows = pages.mapInArrow(run, _FOUND)
-    return rows.groupBy("host", "kind", "value").agg(F.sum("pages").alias("pages"), F.sum("mass").alias("mass"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return pages.mapInArrow(run, "host string, value string, pages long").groupBy("host", "value").agg(F.sum("pages").alias("pages"))
 
 
-def _merge(rows: pd.DataFrame) -> str:
-    """Streams aligned one after another, the most frequent first."""
+def _merge(rows: pd.DataFrame) -> pd.DataFrame:
+    """Streams of a host aligned one after another, the most frequent first."""
     rows = rows.sort_values(["pages", "value"], ascending=[False, True])
     wrapper: list[str] = []
     for i, value in enumerate(rows["value"]):
         page = json.loads(value)
         wrapper = align(wrapper, page) if i else page
-    return json.dumps(wrapper)
+    return pd.DataFrame({"host": rows["host"].iloc[:1], "value": [json.dumps(wrapper)], "pages": [int(rows["pages"].sum())]})
+
+
+def wrappers_of(pages: DataFrame) -> DataFrame:
+    """(host, wrapper, pages) of (host, html): a host's streams are aligned as a tree, FAN_IN of them in a task, so that a host of any size is no one group."""
+    rows = durable(_streams(pages))
+    while True:
+        most = rows.groupBy("host").agg(F.count("*").alias("n"))
+        size = most.agg(F.max("n")).first()[0] or 0
+        if size <= 1:
+            return rows.select("host", F.col("value").alias("wrapper"), "pages")
+        parts = F.ceil(F.col("n") / FAN_IN)
+        dealt = rows.join(F.broadcast(most) if most.limit(MAX_BROADCAST_HOSTS + 1).count() <= MAX_BROADCAST_HOSTS else most, "host")
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("value", F.lit(size)), parts))
+        rows = durable(dealt.groupBy("host", "part").applyInPandas(lambda rows: _merge(rows), "host string, value string, pages long"))
+
+
+def _with_wrappers(df: DataFrame, rules: DataFrame) -> DataFrame:
+    n, size = rules.agg(F.count("*"), F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()
+    small = n <= MAX_BROADCAST_HOSTS and size <= MAX_BROADCAST_BYTES
+    return df.join(F.broadcast(rules) if small else rules, "host", "left")
 
 
-def infer(pages: DataFrame, salts: int = 16) -> DataFrame:
-    """(host, wrapper, root, drop) of every host.
+class Matchers(dict):
+    """Matchers of wrappers given as JSON, kept while there is room."""
+
+    def __missing__(self, wrapper: str) -> Matcher:
+        if len(self) > 1000:
+            self.clear()
+        self[wrapper] = made = Matcher(json.loads(wrapper))
+        return made
+
+
+def infer(pages: DataFrame) -> DataFrame:
+    """(host, wrapper, root, drop) of every host of (host, html).
 
     ``wrapper`` is the aligned stream as JSON, ``root`` the container of the
-    article and ``drop`` the paths that are boilerplate.  Equal streams are one
-    row before alignment; a host's different ones are aligned in ``salts`` parts
-    first, then the parts' wrappers.  Outside of an article, a path whose text is
-    the same on all of at least three pages, while other text differs, is a
-    constant of the template and dropped too.
+    article and ``drop`` the numbers of the slots that hold no main text.  All
+    pages are matched with their wrapper: outside of an article, a slot with the
+    same text on all of at least three pages, while others vary, is a constant
+    of the template.  Tags, roles and names decide on the other slots.
     """
-    seen = durable(_observe(pages))
-    streams = seen.where("kind = 'stream'").withColumn("part", F.pmod(F.xxhash64("value"), F.lit(salts)))
-    parts = streams.groupBy("host", "part").applyInPandas(lambda rows: pd.DataFrame({"host": rows["host"].iloc[:1], "pages": [int(rows["pages"].sum())], "value": [_merge(rows)]}), "host string, pages long, value string")
-    wrappers = parts.groupBy("host").applyInPandas(lambda rows: pd.DataFrame({"host": rows["host"].iloc[:1], "pages": [int(rows["pages"].sum())], "wrapper": [_merge(rows)]}), "host string, pages long, wrapper string")
+    rules = durable(wrappers_of(pages))
+
+    def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers = Matchers()
+        for batch in batches:
+            seen: dict[tuple[str, int], list[int]] = {}
+            for host, page, wrapper in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                found = blocks(page.as_py())
+                own: dict[int, list[int]] = {}
+                for slot, (_, text) in zip(matchers[wrapper].match(found), found):
+                    have = own.setdefault(slot, [0, 0])
+                    have[0] += len(text)
+                    have[1] = zlib.crc32(text.encode("utf-8", "surrogatepass"), have[1])
+                for slot, (mass, crc) in own.items():
+                    have = seen.setdefault((host, slot), [0, 0, crc, crc])
+                    have[0] += 1
+                    have[1] += mass
+                    have[2], have[3] = min(have[2], crc), max(have[3], crc)
+            columns = list(zip(*[(*k, *v) for k, v in seen.items()])) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, [pa.string()] + [pa.int64()] * 5)], names=["host", "slot", "pages", "mass", "low", "high"])
 
     def classify(rows: pd.DataFrame) -> pd.DataFrame:
-        pages_ = int(rows["_pages"].iloc[0])
+        host, wrapper, pages_ = rows["host"].iloc[0], rows["wrapper"].iloc[0], int(rows["of"].iloc[0])
+        paths = [path for path, _ in slots(json.loads(wrapper))]
         varies = (rows["low"] != rows["high"]).any()
         drop, mass = [], {}
-        for path, n, low, high, size in zip(rows["value"], rows["pages"], rows["low"], rows["high"], rows["mass"]):
-            rank, root = root_of(path)
+        for slot, n, low, high, size in zip(rows["slot"], rows["pages"], rows["low"], rows["high"], rows["mass"]):
+            if slot < 0:
+                continue
+            rank, root = root_of(paths[slot])
             constant = varies and low == high and n >= 3 and n == pages_ and rank > 1
-            if boilerplate(path) or constant:
-                drop.append(path)
+            if boilerplate(paths[slot]) or constant:
+                drop.append(int(slot))
             else:
-                have = mass.setdefault((rank, root), 0)
-                mass[rank, root] = have + int(size)
+                mass[rank, root] = mass.get((rank, root), 0) + int(size)
         best = min((r for r, _ in mass), default=3)
         root = max((m, r) for (k, r), m in mass.items() if k == best)[1] if mass else "body"
-        return pd.DataFrame({"host": rows["host"].iloc[:1], "wrapper": rows["wrapper"].iloc[:1], "root": [root if best == 2 else ROOT_TAGS[best] if best < 2 else "body"], "drop": [sorted(drop)]})
+        return pd.DataFrame({"host": [host], "wrapper": [wrapper], "root": [root if best == 2 else ROOT_TAGS[best] if best < 2 else "body"], "drop": [sorted(drop)]})
 
-    paths = seen.where("kind = 'path'").join(wrappers.select("host", "wrapper", F.col("pages").alias("_pages")), "host")
-    return paths.groupBy("host").applyInPandas(classify, "host string, wrapper string, root string, drop array<string>")
+    met = _with_wrappers(pages.select("host", "html"), rules.select("host", "wrapper")).select("host", "html", "wrapper")
+    seen = met.mapInArrow(observe, "host string, slot long, pages long, mass long, low long, high long")
+    seen = seen.groupBy("host", "slot").agg(F.sum("pages").alias("pages"), F.sum("mass").alias("mass"), F.min("low").alias("low"), F.max("high").alias("high"))
+    judged = seen.join(rules.select("host", "wrapper", F.col("pages").alias("of")), "host").groupBy("host").applyInPandas(classify, "host string, wrapper string, root string, drop array<int>")
+    rest = rules.join(judged.select("host"), "host", "left_anti").select("host", "wrapper", F.lit("body").alias("root"), F.array().cast("array<int>").alias("drop"))
+    return judged.unionByName(rest)
 
 
-def main_text(found: list[tuple[str, str]], root: str, drop: frozenset[str]) -> str:
-    """The blocks inside of the host's root; of the likeliest container, or all, where the page lacks it."""
-    good = [(path, text) for path, text in found if path not in drop and not boilerplate(path)]
+def main_text(found: list[tuple[str, str]], root: str, drop: frozenset[int] = frozenset(), slots_: list[int] | None = None) -> str:
+    """The blocks in the wrapper's slots inside of the host's root; of the likeliest container, or all, where the page lacks it."""
+    slots_ = slots_ if slots_ is not None else [-1] * len(found)
+    good = [(path, text) for (path, text), slot in zip(found, slots_) if slot not in drop and (slot >= 0 or not boilerplate(path))]
     if root in ROOT_TAGS:
         rank = ROOT_TAGS.index(root)
         inside = [t for p, t in good if any(n.split(".", 1)[0] == root or (rank and "@main" in n.split(".")) for n in p.split(">"))]
@@ -256,10 +338,6 @@ def main_text(found: list[tuple[str, str]], root: str, drop: frozenset[str]) ->
     return "\n".join(inside)
 
 
-#: Wrappers are broadcast up to this many hosts and bytes of drop lists, and joined by shuffle beyond.
-MAX_BROADCAST_HOSTS, MAX_BROADCAST_BYTES = 20_000, 16 << 20
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, host and the main text of every page from its whole html.
 
@@ -269,21 +347,21 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host, _ = split_url(F.col("url"))
     df = pages.select(host.alias("host"), F.col("html").cast("string").alias("html"), "page_id", F.col("url").cast("string").alias("url"))
-    rules = durable(infer(df.select("host", "html")).select("host", "root", "drop"))
-    n, size = rules.agg(F.count("*"), F.coalesce(F.sum(F.length(F.array_join("drop", " "))), F.lit(0))).first()
-    small = n <= MAX_BROADCAST_HOSTS and size <= MAX_BROADCAST_BYTES
-    joined = df.join(F.broadcast(rules) if small else rules, "host", "left").select("page_id", "url", "host", "html", "root", "drop")
+    rules = durable(infer(df.select("host", "html")))
+    joined = _with_wrappers(df, rules).select("page_id", "url", "host", "html", "wrapper", "root", "drop")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drops: dict[str, frozenset[str]] = {}
+        matchers = Matchers()
+        drops: dict[str, frozenset[int]] = {}
         for batch in batches:
             texts = []
-            for host, page, root, drop in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5)):
+            for host, page, wrapper, root, drop in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6)):
                 if host not in drops:
                     if len(drops) > 1000:
                         drops.clear()
                     drops[host] = frozenset(drop.as_py() or ())
-                texts.append(main_text(blocks(page.as_py()), root or "body", drops[host]))
+                found = blocks(page.as_py())
+                texts.append(main_text(found, root or "body", drops[host], matchers[wrapper or "[]"].match(found)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(texts, pa.string())], names=["page_id", "url", "host", "text"])
 
     kind = dict(df.dtypes)["page_id"]
