@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import array
+import json
 import math
 import re
 import zlib
@@ -38,13 +39,23 @@ class ByteBpe:
 
         with open(tokens, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+            self.special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        self.border = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         plain = public_tokenizers.PATTERN.replace(r"\s+(?!\S)|\s+", r"\s")
         self.whole, self.fast = (tiktoken.Encoding("byte_bpe", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (public_tokenizers.PATTERN, plain))
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        bpe = self.whole if _TWO_SPACES.search(text) else self.fast
-        return array.array("I", bpe.encode_ordinary(text)).tobytes()
+        """Little-endian unsigned 32-bit ids; a special token that the text spells out is that token."""
+        if any(t in text for t in self.special):
+            out = array.array("I")
+            for part in self.border.split(text):
+                out.extend([self.special[part]] if part in self.special else self.bpe(part).encode_ordinary(part))
+            return out.tobytes()
+        return array.array("I", self.bpe(text).encode_ordinary(text)).tobytes()
+
+    def bpe(self, text: str):
+        return self.whole if _TWO_SPACES.search(text) else self.fast
 
 
 def tokenize(docs: DataFrame, tokens: str, capacity: int = CAPACITY) -> DataFrame:
