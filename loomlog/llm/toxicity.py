@@ -7,12 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Bounds of the sample on which the classifier is fitted: toxic and clean documents, and characters of one.
-MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_CHARS = 1_000, 3_000, 20_000
+#: Bounds of the sample on which the classifier is fitted: toxic and clean documents, and characters of all.
+MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_CHARS = 1_000, 3_000, 40_000_000
 BUCKET_BITS, DIMENSIONS = 17, 8
 SIZES = (3, 4, 5)
 PASSAGE_WORDS = 10
@@ -172,14 +172,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     """Fit on at most ``max_toxic`` and ``max_clean`` documents of the labels, chosen by hash.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic; null labels are
-    left out and of repeated ones the largest holds.
+    left out and of repeated ones the largest holds.  Whole texts of any length
+    count, in the order of the hash until MAX_TRAIN_CHARS are reached.
     """
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     order = F.xxhash64("doc_id")
     chosen = known.where("_toxic = 1").orderBy(order).limit(max_toxic).unionByName(known.where("_toxic = 0").orderBy(order).limit(max_clean))
-    rows = docs.where(F.length("text").between(1, MAX_TRAIN_CHARS)).join(F.broadcast(chosen), "doc_id").select("text", "_toxic", "doc_id")
-    found = sorted(rows.collect(), key=lambda r: r["doc_id"])
+    rows = docs.where("text <> ''").join(F.broadcast(chosen), "doc_id").select("text", "_toxic", "doc_id", order.alias("_order"), F.length("text").alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_order", "doc_id", "_n", "text"))  # over the few rows that are chosen
+    rows = rows.where(F.col("_n") <= MAX_TRAIN_CHARS).withColumn("_upto", upto).where(F.col("_upto") <= MAX_TRAIN_CHARS).drop("_upto", "_n", "_order")
+    found = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in found], [r["_toxic"] for r in found])
 
 
