@@ -18,17 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with checkpoint() in the shared folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, as ``spark.checkpoint.dir`` names it; one of our own only on a single machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+    return where or "/tmp/loomlog-checkpoints"
+
 
-    The session's ``spark.checkpoint.dir`` is used; a folder of our own is set
-    only where the session has none, as in tests on one machine.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with checkpoint() in the shared folder of the cluster."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(where or "/tmp/loomlog-checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

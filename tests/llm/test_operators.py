@@ -95,10 +95,12 @@ def just_apart(n):
     return rows
 
 
-@pytest.mark.parametrize("leaf", [1_500])
-def test_jaccard_join_splits_regions(spark, monkeypatch, leaf):
+@pytest.mark.parametrize("leaf, pairs, salt", [(1_500, 1, 10_000), (1_500, 100_000, 7)])
+def test_jaccard_join_splits_regions(spark, monkeypatch, leaf, pairs, salt):
     """A very common passage: one region with all documents, split again and again, or in tiles."""
     monkeypatch.setattr(jaccard_join, "LEAF_SHINGLES", leaf)
+    monkeypatch.setattr(jaccard_join, "PAIRS", pairs)
+    monkeypatch.setattr(jaccard_join, "SALT_ROWS", salt)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]
     clusters = []
@@ -198,6 +200,33 @@ def test_passages_with_longer_edits(spark):
         assert not found[2 * k]["later"]
 
 
+def test_compact_windows_of_equal_tokens():
+    for values in (np.zeros(200_000), np.tile(np.arange(7), 20_000)):
+        found = passages.compact_windows(values, 46)
+        assert all(values[a] == values[i:j].min() and i <= a < j and j - i >= 46 for i, a, j in found[:2000])
+    few = np.array([3, 1, 1, 2, 1, 5])
+    assert sorted(passages.compact_windows(few, 2)) == sorted([(0, 1, 6), (2, 2, 6), (3, 4, 6)])
+
+
+def test_passages_recall_with_spread_edits(spark):
+    """Passages of 55 to 200 words with an edit every 30 to 45 words: at least 0.9 of those of similarity 0.75 are found."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    rows, wanted = [], set()
+    for k in range(150):
+        n = rng.choice([55, 60, 80, 100, 200])
+        one = [word() for _ in range(n)]
+        two, step = list(one), rng.randint(30, 45)
+        for at in range(step, n - 4, step):
+            two[at] = word()
+        a, b = ({tuple(x[i : i + 5]) for i in range(n - 4)} for x in (one, two))
+        if len(a & b) >= 0.75 * len(a | b):
+            wanted.add(2 * k + 1)
+        rows += [(2 * k, " ".join([word() for _ in range(40)] + one)), (2 * k + 1, " ".join(two + [word() for _ in range(40)]))]
+    found = {r["doc_id"] for r in passages.find(spark.createDataFrame(rows, DOCS)).where("later").collect()}
+    assert len(wanted) > 30 and len(wanted & found) >= 0.9 * len(wanted)
+
+
 def test_passages_of_several_documents_are_none(spark):
     rng = random.Random(22)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(7))
@@ -533,6 +562,30 @@ def test_html_extraction(spark):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_wrappers_of_a_large_host(spark, monkeypatch):
+    """Many streams of one host, aligned as a tree; constants of the template are told by their slot, whatever its class."""
+    monkeypatch.setattr(wrappers, "FAN_IN", 4)
+    rng = random.Random(3)
+    rows = []
+    for k in range(60):
+        body = "".join(f"<{t}>{t} {k} {i}</{t}>" for i in range(rng.randint(1, 6)) for t in [rng.choice(["p", "h2", "blockquote"])])
+        rows.append((k, f"https://big.org/{k}", page(f'<div class=x><p>Same on all</p></div><div class=y id="post-{k}">{body}</div><div class=z><p>The end</p></div>')))
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, _, html in rows:
+        want = re.findall(r"<(?:p|h2|blockquote)>((?:p|h2|blockquote) \d+ \d+)<", html)
+        assert got[k] == "\n".join(want)
+    assert wrappers.wrappers_of(spark.createDataFrame([("h", r[2]) for r in rows], "host string, html string")).count() == 1
+
+
+def test_wrapper_slots_match_pages():
+    m = wrappers.Matcher(["h", "(a b)+", "p+", "x?", "f"])
+    assert [path for path, _ in m.slots] == ["h", "a", "b", "p", "x", "f"]
+    assert m.match([(t, "") for t in ["h", "a", "b", "a", "b", "p", "p", "f"]]) == [0, 1, 2, 1, 2, 3, 3, 5]
+    assert m.match([(t, "") for t in ["q", "p", "x", "f", "h"]]) == [-1, 3, 4, 5, 0]
+    twice = wrappers.Matcher(["p", "d", "p"])
+    assert twice.match([(t, "") for t in ["p", "d", "p"]]) == [0, 1, 2] and twice.match([("p", ""), ("p", "")]) == [0, 2]
+
+
 def test_wrappers_align():
     assert wrappers.fold(["a", "b", "b", "b", "c", "d", "c", "d"]) == ["a", "b+", "(c d)+"]
     assert wrappers.align(["h", "p", "f"], ["h", "p+", "x", "f"]) == ["h", "p+", "x?", "f"]
