@@ -359,6 +359,11 @@ def _recurse(members: DataFrame, percent: int) -> DataFrame:
         members = durable(rest.unionByName(made))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Marked for a broadcast if it has few rows of few numbers; a common key of the other side is then in no one task."""
+    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+
+
 def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between keys that connect all that are linked.
 
@@ -373,23 +378,23 @@ def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     pivots = durable(pivots.select("shingle", "pivot", F.ceil(F.col("size") / SALT_ROWS).cast("int").alias("salts")))
     # the members of a common shingle meet its pivot in several tasks
     common = pivots.where("salts > 1").select("shingle", "salts")
-    few = common.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    dealt = _prefixes(found, percent).drop("share").join(F.broadcast(common) if few else common, "shingle", "left")
+    dealt = _prefixes(found, percent).drop("share").join(_small(common), "shingle", "left")
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("key"), F.coalesce("salts", F.lit(1)))).drop("salts")
     salted = pivots.select("shingle", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"))
     members = durable(dealt.join(salted, ["shingle", "salt"]).groupBy("pivot", "key").agg(F.max("most").alias("most")).join(facts.select("key", "n"), "key"))
-    pairs = members.where("key <> pivot").join(facts.withColumnsRenamed({"key": "pivot", "n": "n_b"}), "pivot")
+    leaders = durable(facts.withColumnsRenamed({"key": "pivot", "n": "n_b"}).join(pivots.select("pivot").distinct(), "pivot", "left_semi"))
+    pairs = members.where("key <> pivot").join(_small(leaders), "pivot")
     pairs = pairs.where(_can_link(F.col("n"), F.col("most"), F.col("n_b"), F.col("shared"), percent)).select(F.col("key").alias("a"), F.col("pivot").alias("b"))
     known = durable(_linked(pairs, found, percent))
     parts = connected_components(known)
-    few = parts.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    placed = members.join(F.broadcast(parts) if few else parts, members["key"] == parts["node"], "left").withColumn("part", F.coalesce("component", "key")).drop("node", "component")
+    placed = members.join(_small(parts), members["key"] == parts["node"], "left").withColumn("part", F.coalesce("component", "key")).drop("node", "component")
     sizes = placed.groupBy("pivot", "part").agg(F.count("*").alias("k")).groupBy("pivot").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.max("k").alias("k"), F.sum("k").alias("size")).where("k < size")
-    open_ = durable(placed.join(sizes.select("pivot", "main", ((F.col("size") - F.col("k")) * F.col("size")).alias("work")), "pivot"))
+    sizes = durable(sizes.select("pivot", "main", ((F.col("size") - F.col("k")) * F.col("size")).alias("work")))
+    open_ = durable(placed.join(_small(sizes), "pivot"))
     own = open_.where((F.col("work") <= PAIRS) & (F.col("part") != F.col("main")) & (F.col("key") != F.col("pivot")))
     other = open_.where((F.col("work") <= PAIRS) & (F.col("key") != F.col("pivot")))
     own, other = (x.select("pivot", *[F.col(c).alias(f"{c}_{e}") for c in ("key", "part", "n", "most")]) for x, e in ((own, "a"), (other, "b")))
-    meet = own.join(other, "pivot").where("part_a <> part_b").where(_can_link(F.col("n_a"), F.col("most_a"), F.col("n_b"), F.col("most_b"), percent))
+    meet = other.join(_small(own), "pivot").where("part_a <> part_b").where(_can_link(F.col("n_a"), F.col("most_a"), F.col("n_b"), F.col("most_b"), percent))
     meet = meet.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
     more = durable(_linked(meet, found, percent))
     many = open_.where(F.col("work") > PAIRS).select(F.col("pivot").alias("region"), "key", "part")
