@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language_id, line_rules, nbest, packing, passages, toxicity, urls, wrappers
+from . import fingerprints, jaccard_join, language_id, line_rules, merkle, nbest, negatives, packing, passages, toxicity, urls, wrappers
 from .common import crc_mod, table
 
 #: Overridable by callers; the vocabulary files are never copied into the repository.
@@ -80,6 +80,19 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.find(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is a leaf; null fields, empty texts, repeated ids and rows, and an empty table as ``merkle.manifest`` and ``merkle.leaves`` state."""
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with nulls, vectors of several lengths, repeated ids, ties and an empty table as ``negatives.prepared`` and ``negatives.mine`` state."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(negatives.prepared(rows, label), F.col("id") % 100 == 0)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filters": op2_url_filters,
@@ -91,7 +104,11 @@ QUERIES = {
     "op8_sentencepiece_nbest": op8_sentencepiece_nbest,
     "op9_html_extraction": op9_html_extraction,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_merkle_dataset_manifest": op11_merkle_dataset_manifest,
+    "op13_hard_negative_mining": op13_hard_negative_mining,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_quality_rules": line_rules.SQL,
+    "op11_merkle_dataset_manifest": merkle.SQL,
+    "op13_hard_negative_mining": negatives.SQL,
 }

@@ -18,6 +18,8 @@ COLUMNS = {
     "op8_sentencepiece_nbest": "doc_id bigint, restored boolean",
     "op9_html_extraction": "page_id bigint, url string, text string, n_chars bigint",
     "op10_ngram_jaccard_join": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op11_merkle_dataset_manifest": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
+    "op13_hard_negative_mining": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
 }
 
 
@@ -35,7 +37,7 @@ def test_query(spark, name):
         assert sorted(r["page_id"] for r in rows) == sorted(r[0] for r in pages.select("page_id").collect())
     elif name == "op4_best_fit_packing":
         assert {r["doc_id"] for r in rows} == {r[0] for r in docs.select("doc_id").collect()}
-    elif name != "op5_substring_dedup":
+    elif name not in ("op5_substring_dedup", "op13_hard_negative_mining"):
         assert sorted(r["doc_id"] for r in rows) == sorted(r[0] for r in docs.select("doc_id").collect())
     if name in ("op1_toxicity", "op6_language_id"):
         divisor, rest = (3, 1) if name == "op1_toxicity" else (4, 2)
