@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language_id, line_rules, merkle, nbest, negatives, packing, passages, toxicity, urls, wrappers
+from . import fingerprints, jaccard_join, language_id, line_rules, merkle, nbest, negatives, packing, passages, personal, toxicity, urls, wrappers
 from .common import crc_mod, table
 
 #: Overridable by callers; the vocabulary files are never copied into the repository.
@@ -85,6 +85,14 @@ def op11_merkle_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base_sha256 are of the rules' spans, ``spans`` has the tagger's too; nulls, empty and repeated rows as ``personal.find`` states."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal.find(docs, personal.fit(docs))
+    counts = [personal.count(F.col("ruled"), kind).alias(f"n_{kind}") for kind in personal.KINDS]
+    return found.select("doc_id", *counts, F.sha2(personal.listed(F.col("ruled")).cast("binary"), 256).alias("base_sha256"), personal.listed(F.col("found")).alias("spans"))
+
+
 def op13_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with nulls, vectors of several lengths, repeated ids, ties and an empty table as ``negatives.prepared`` and ``negatives.mine`` state."""
     rows = table(spark, sf_dir, "embeddings")
@@ -105,6 +113,7 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_merkle_dataset_manifest": op11_merkle_dataset_manifest,
+    "op12_personal_data": op12_personal_data,
     "op13_hard_negative_mining": op13_hard_negative_mining,
 }
 ORACLE_SQL: dict[str, str] = {

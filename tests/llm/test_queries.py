@@ -19,6 +19,7 @@ COLUMNS = {
     "op9_html_extraction": "page_id bigint, url string, text string, n_chars bigint",
     "op10_ngram_jaccard_join": "doc_id bigint, n_shingles bigint, component_id bigint",
     "op11_merkle_dataset_manifest": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
+    "op12_personal_data": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
     "op13_hard_negative_mining": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
 }
 
