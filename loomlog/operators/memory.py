@@ -93,13 +93,6 @@ def bm25(terms: DataFrame, memories: DataFrame) -> DataFrame:
     return tf.join(asked, "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
 
 
-def recall(terms: DataFrame, memories: DataFrame, k: int, cwd: str | None = None) -> DataFrame:
-    """(qid, id, rank) of the k best of each query, in scope; of equal ones the smaller id first."""
-    scored = bm25(terms, memories)
-    inside = memories.where(P.in_scope(F.col("scope"), F.col("origin_repo"), cwd)).select("id")
-    return top_k(scored.join(inside, "id"), ["qid"], [F.round("score", 9).desc(), F.col("id")], k).select("qid", "id", "rank")
-
-
 def fuse(*lists: DataFrame) -> DataFrame:
     """(qid, id, fused): reciprocal ranks of several lists, summed."""
     rows = lists[0]
@@ -136,9 +129,11 @@ def rerank(fused: DataFrame, memories: DataFrame, limit: int, cwd: str | None =
     return top_k(df, ["qid"], [F.round("score", 9).desc(), F.col("id")], limit)
 
 
-def retrieve(queries: DataFrame, memories: DataFrame, links: DataFrame, limit: int = 10, cwd: str | None = None, include_candidates: bool = False) -> DataFrame:
-    """The memories for each (qid, query), ranked."""
-    found = fuse(recall(query_terms(queries), memories, max(limit * 4, 20), cwd))
+def retrieve(queries: DataFrame, memories: DataFrame, links: DataFrame, index: DataFrame, limit: int = 10, cwd: str | None = None, include_candidates: bool = False) -> DataFrame:
+    """The memories for each (qid, query), ranked; ``index`` is the positional index of the memories, so phrases count."""
+    from .search import recall as found_by
+
+    found = fuse(found_by(queries, index, memories, max(limit * 4, 20), cwd))
     return rerank(expand(found, links, memories), memories, limit, cwd, include_candidates)
 
 

@@ -109,10 +109,10 @@ def prompt_block(candidates: DataFrame, k: int = 8) -> DataFrame:
     lines = [head, F.concat(F.lit("   When to use: "), F.col("when_to_use")), F.concat(F.lit("   Memory: "), F.col("text")), F.concat(F.lit("   Scope reason: "), F.nullif("scope_reason", F.lit("")))]
     proof = F.coalesce(F.nullif(F.array_join("evidence_refs", ", "), F.lit("")), F.lit("no explicit evidence"))
     blocks = joined(best, keys, "rank", F.concat_ws("\n", *lines, F.concat(F.lit("   Evidence: "), proof)), "_items")
-    open_ = F.format_string('<retro method="%s" source="%s/%s">', "method", "host", "session_id")
+    open_ = F.format_string('<memories method="%s" source="%s/%s">', "method", "host", "session_id")
     guide = F.lit("Use these memories as soft guidance. Ignore any memory that does not fit the current task.")
     every = candidates.select(*keys).distinct().join(blocks, keys, "left")
-    return every.select(*keys, F.concat(F.concat_ws("\n", open_, guide, F.lit(""), "_items", F.lit("</retro>")), F.lit("\n")).alias("block"))
+    return every.select(*keys, F.concat(F.concat_ws("\n", open_, guide, F.lit(""), "_items", F.lit("</memories>")), F.lit("\n")).alias("block"))
 
 
 def dashboard(sessions: DataFrame, **parts: DataFrame) -> DataFrame:

@@ -9,7 +9,10 @@ from ..functions import predicates as P
 from ..functions import text as X
 from ..operators import joins as J
 from ..operators import memory as M
+from ..operators import search as S
 from ..operators import windows as W
+from ..sources.folders import new_folder
+from ..sources.memory_store import MemoryStore
 from ..sources.views import MEMORIES_SQL, MESSAGES_SQL, STEPS_SQL, event_steps, memories, messages, table
 
 
@@ -72,12 +75,50 @@ def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.top_k(scored, ["qid"], [F.round("score", 9).desc(), F.col("id")], 20).select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+def _phrased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts as queries: each one's words, the second and third as a phrase, the first twice."""
+    words = X.search_tokens(F.col("text"))
+    word = lambda i: F.get(words, F.lit(i))
+    phrase = F.concat(word(1), F.lit("-"), word(2))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat_ws(" ", word(0), word(0), phrase, F.slice(words, 4, 1000)).alias("query"))
+
+
+def _index(spark: SparkSession, m: DataFrame) -> DataFrame:
+    path = new_folder(spark, "index")
+    S.write_index(S.postings(m), path)
+    return S.read_index(spark, path)
+
+
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best memories for each query with a phrase, by the stored positional index."""
+    found = S.best(S.query_units(_phrased(spark, sf_dir)), _index(spark, memories(spark, sf_dir)), 20)
+    return found.select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 def retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = memories(spark, sf_dir)
-    ranked = M.retrieve(_queries(spark, sf_dir), m, _links(m), limit=10, cwd="src3")
+    ranked = M.retrieve(_phrased(spark, sf_dir), m, _links(m), _index(spark, m), limit=10, cwd="src3")
     return ranked.select("qid", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
 
 
+def memory_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories with their utility, links and evidence after three appends of documents and of rewards."""
+    m = memories(spark, sf_dir).where("text is not null")
+    id_, ref = (F.col("id") % 1000).cast("string"), F.concat(F.lit("e"), F.col("id") % 7)
+    text = F.concat("text", F.lit(" [["), (F.col("id") % 50).cast("string"), F.lit("]]"))
+    records = m.select(id_.alias("id"), F.col("id").alias("ord"), "kind", "scope", "status", text.alias("text"), "origin_repo", "q_value", (F.lit(10_000_000) - F.col("id")).alias("created_at"), F.array(ref, F.lit("x")).alias("evidence"))
+    paid = F.when(F.col("event_type") == "purchase", "memory_rewarded").otherwise("memory_used")
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 1000).cast("string").alias("memory_id"), F.col("event_id").alias("line"), paid.alias("event"), (F.col("event_id") % 13 / 10.0).alias("reward"))
+    store = MemoryStore(spark, new_folder(spark, "store"))
+    for batch in range(3):
+        store.append(records.where(F.col("ord") % 3 == batch), events.where(F.col("line") % 3 == batch))
+    links = store.links().groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("link"), F.count("*").alias("links"))
+    proof = store.evidence().groupBy(F.col("memory_id").alias("id")).agg(F.count("*").alias("refs"))
+    words = store.index().where("term <> ''").groupBy("id").agg(F.sum(F.size("positions")).alias("words"))
+    out = store.memory().join(links, "id", "left").join(proof, "id", "left").join(words, "id", "left")
+    return out.select("id", "content_hash", "created_at", "evidence_count", F.round("q_value", 6).alias("q_value"), "hits", "successes", "failures", "link", "links", "refs", "words")
+
+
 def dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = memories(spark, sf_dir)
     links = m.select(F.col("id").alias("src"), (F.col("id") * 2).alias("dst"))
@@ -147,7 +188,9 @@ QUERIES = {
     "secret_scan": secrets,
     "content_hashes": content_hashes,
     "bm25_recall": bm25,
+    "phrase_search": phrase_search,
     "memory_retrieval": retrieval,
+    "memory_store": memory_store,
     "dangling_links": dangling,
     "reward_fold": rewards,
     "memory_index_summary": index_summary,
@@ -172,6 +215,14 @@ tf AS (SELECT term, id, dl, count(*) AS tf FROM (SELECT id, len(ws) AS dl, unnes
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), c AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM words),
 bm AS (SELECT qid, id, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score
   FROM terms JOIN tf USING (term) JOIN df USING (term), c GROUP BY qid, id)"""
+_PHRASED = f"""words AS (SELECT id, {_TOKENS("text")} AS ws FROM mem), q AS (SELECT item_id AS qid, {_TOKENS("text")} AS w FROM benchmark),
+units AS (SELECT qid, u.one, u.two, count(*) AS times FROM (SELECT qid, unnest([{{'one': w[1], 'two': NULL}}, {{'one': w[1], 'two': NULL}}, {{'one': w[2], 'two': w[3]}}] || list_transform(w[4:1003], lambda x: {{'one': x, 'two': NULL}})) AS u FROM q) GROUP BY ALL),
+places AS (SELECT id, unnest(ws) AS term, generate_subscripts(ws, 1) AS pos FROM words),
+tf AS (SELECT one, NULL AS two, id, count(*) AS tf FROM places JOIN (SELECT DISTINCT one FROM units WHERE two IS NULL) ON one = term GROUP BY one, id
+  UNION ALL SELECT one, two, x.id, count(*) FROM places x JOIN (SELECT DISTINCT one, two FROM units WHERE two IS NOT NULL) ON one = x.term JOIN places y ON y.id = x.id AND y.pos = x.pos + 1 AND y.term = two GROUP BY one, two, x.id),
+df AS (SELECT one, two, count(*) AS df FROM tf GROUP BY one, two), c AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM words),
+bm AS (SELECT qid, tf.id, sum(times * CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))) AS score
+  FROM units u JOIN tf ON tf.one = u.one AND tf.two IS NOT DISTINCT FROM u.two JOIN df ON df.one = u.one AND df.two IS NOT DISTINCT FROM u.two JOIN words w ON w.id = tf.id, c GROUP BY qid, tf.id)"""
 _SECRETS = " + ".join(f"len(regexp_extract_all(text, '{_q(p)}'))" for p in P.SECRET_PATTERNS.values())
 
 
@@ -196,7 +247,8 @@ SELECT session_id, ord, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE l
     "content_hashes": f"""WITH {MEMORIES_SQL}, h AS (SELECT id, sha256(scope || chr(0) || kind || chr(0) || CASE WHEN scope = 'repo' THEN coalesce(origin_repo, 'None') ELSE '' END || chr(0) || regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS content_hash FROM mem)
 SELECT id, min(id) OVER (PARTITION BY content_hash) AS canonical_id, content_hash FROM h""",
     "bm25_recall": f"WITH {MEMORIES_SQL}, {_BM25} SELECT qid, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM bm) WHERE rank <= 20",
-    "memory_retrieval": f"""WITH {MEMORIES_SQL}, {_BM25},
+    "phrase_search": f"WITH {MEMORIES_SQL}, {_PHRASED} SELECT qid, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM bm) WHERE rank <= 20",
+    "memory_retrieval": f"""WITH {MEMORIES_SQL}, {_PHRASED},
 r AS (SELECT qid, id, 1.0 / (60 + row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id)) AS fused, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank
   FROM bm JOIN mem USING (id) WHERE scope IN ('global', 'user', 'task') OR (scope = 'repo' AND origin_repo = 'src3')),
 f AS (SELECT qid, id, CAST(fused AS DOUBLE) AS fused FROM r WHERE rank <= 40),
@@ -208,6 +260,13 @@ s AS (SELECT qid, id, 0.45 * (fused / max(fused) OVER (PARTITION BY qid)) AS rec
 t AS (SELECT qid, id, rec + 0.35 * q_value + 0.10 * quality_avg + 0.05 * coalesce(1.0 / (1.0 + age_days), 0.0)
   + 0.05 * CASE WHEN scope IN ('global', 'user') OR (scope = 'repo' AND origin_repo = 'src3') THEN 1.0 WHEN scope = 'task' THEN 0.8 ELSE 0.4 END - CASE risk WHEN 'low' THEN 0.0 WHEN 'high' THEN 0.2 ELSE 0.05 END AS score FROM s JOIN mem USING (id) WHERE status = 'accepted')
 SELECT qid, rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM t) WHERE rank <= 10""",
+    "memory_store": f"""WITH {MEMORIES_SQL}, r AS (SELECT id % 1000 AS raw, (id % 3) * 1000000000 + id AS seq, q_value, 10000000 - id AS created_at, 'e' || (id % 7) AS ref, CAST(id % 50 AS VARCHAR) AS link, len({_TOKENS("text || ' [[' || (id % 50) || ']]'")}) AS words,
+    sha256(scope || chr(0) || kind || chr(0) || CASE WHEN scope = 'repo' THEN coalesce(origin_repo, 'None') ELSE '' END || chr(0) || regexp_replace(regexp_replace(lower(text || ' [[' || (id % 50) || ']]'), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS content_hash FROM mem WHERE text IS NOT NULL),
+p AS (SELECT r.*, CAST(o.raw AS VARCHAR) AS id FROM r JOIN (SELECT content_hash, min_by(raw, seq) AS raw FROM r GROUP BY content_hash) o USING (content_hash)),
+m AS (SELECT id, max_by(content_hash, seq) AS content_hash, min(created_at) AS created_at, 2 * count(*) AS evidence_count, max_by(q_value, seq) AS q, max_by(link, seq) AS link, max_by(words, seq) AS words, count(DISTINCT ref) + 1 AS refs FROM p GROUP BY id),
+w AS (SELECT CAST(user_id % 1000 AS VARCHAR) AS id, list(least(1.0, event_id % 13 / 10.0)::DOUBLE ORDER BY event_id % 3, event_id) AS rewards, count(*) FILTER (WHERE event_id % 13 >= 5) AS good FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+SELECT id, content_hash, created_at, evidence_count, round(list_reduce(list_prepend(CAST(q AS DOUBLE), coalesce(rewards, CAST([] AS DOUBLE[]))), lambda a, r: a + 0.2 * (r - a)), 6) AS q_value, coalesce(len(rewards), 0) AS hits, coalesce(good, 0) AS successes, coalesce(len(rewards), 0) - coalesce(good, 0) AS failures,
+  link, CAST(1 AS BIGINT) AS links, refs, CAST(words AS BIGINT) AS words FROM m LEFT JOIN w USING (id)""",
     "dangling_links": f"WITH {MEMORIES_SQL} SELECT m.id AS src, m.id * 2 AS dst FROM mem m WHERE NOT EXISTS (SELECT 1 FROM mem x WHERE x.id = m.id * 2)",
     "reward_fold": f"""WITH {STEPS_SQL}, r AS (SELECT session_id AS id, list_reduce(list_prepend(CAST(0.5 AS DOUBLE), list(CASE WHEN category = 'generate_fix' THEN 1.0 ELSE 0.0 END::DOUBLE ORDER BY idx)), lambda q, r: q + 0.2 * (r - q)) AS q,
   count(*) AS hits, count(*) FILTER (WHERE category = 'generate_fix') AS good FROM ev GROUP BY session_id) SELECT id, round(q, 9) AS q_value, hits, good AS successes, hits - good AS failures FROM r""",

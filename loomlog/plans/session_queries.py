@@ -395,7 +395,7 @@ SELECT * FROM r UNION ALL {_rule("nothing", f"NOT (bool_or({_SAYS(2, 4)}) OR boo
     "prompt_blocks": f"""{_cand()}, b AS (SELECT *, row_number() OVER (PARTITION BY host, session_id, method ORDER BY priority DESC, confidence DESC, kind, id) AS rank FROM ca WHERE risk IN ('low', 'medium')),
 t AS (SELECT host, session_id, method, string_agg(rank || '. [' || kind || '; scope=' || scope || '; confidence=' || printf('%.2f', confidence) || '; risk=' || risk || ']' || chr(10) || '   When to use: when it fits' || chr(10) || '   Memory: ' || text || chr(10)
   || coalesce('   Scope reason: ' || scope_reason || chr(10), '') || '   Evidence: e' || id, chr(10) ORDER BY rank) AS items FROM b WHERE rank <= 8 GROUP BY host, session_id, method)
-SELECT host, session_id, method, '<retro method="' || method || '" source="' || host || '/' || session_id || '">' || chr(10) || 'Use these memories as soft guidance. Ignore any memory that does not fit the current task.' || chr(10) || chr(10) || coalesce(items || chr(10), '') || '</retro>' || chr(10) AS block
+SELECT host, session_id, method, '<memories method="' || method || '" source="' || host || '/' || session_id || '">' || chr(10) || 'Use these memories as soft guidance. Ignore any memory that does not fit the current task.' || chr(10) || chr(10) || coalesce(items || chr(10), '') || '</memories>' || chr(10) AS block
 FROM (SELECT DISTINCT host, session_id, method FROM ca) LEFT JOIN t USING (host, session_id, method)""",
     "candidate_orders": f"""{_cand()} SELECT id, row_number() OVER (PARTITION BY host, session_id ORDER BY priority DESC, confidence DESC, coalesce(kind, ''), id) AS dashboard,
   row_number() OVER (PARTITION BY host, session_id ORDER BY priority DESC, confidence DESC, list_position(['user', 'global', 'task', 'repo'], scope), id) AS browser FROM ca WHERE contains(lower(concat_ws(' ', text, 'when it fits', origin_repo)), 'a') AND method = 'a' AND priority >= 4""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions import predicates as P
 from loomlog.functions import text as X
-from loomlog.operators import accounting, joins, memory, portfolio, trajectory, windows
+from loomlog.operators import accounting, joins, memory, portfolio, search, trajectory, windows
 from loomlog.streaming import sessions as streams
 
 
@@ -165,9 +165,9 @@ def test_retrieval(spark):
     )
     links = spark.createDataFrame([("a", "d"), ("a", "gone")], "src string, dst string")
     q = spark.createDataFrame([(1, "ALPHA"), (2, "nothing")], "qid int, query string")
-    got = memory.retrieve(q, m, links, cwd="r1")
+    got = memory.retrieve(q, m, links, search.postings(m), cwd="r1")
     assert {r["id"] for r in got.collect()} == {"a", "d"}
-    assert {r["id"] for r in memory.retrieve(q, m, links, cwd="r1", include_candidates=True).collect()} == {"a", "c", "d"}
+    assert {r["id"] for r in memory.retrieve(q, m, links, search.postings(m), cwd="r1", include_candidates=True).collect()} == {"a", "c", "d"}
     assert memory.dangling(links, m).count() == 1
     assert memory.weave(got, m).first()["block"].startswith("- [")
     made = memory.normalise(spark.createDataFrame([("", "x y", 0.0)], "id string, text string, confidence double")).first()

@@ -43,7 +43,7 @@ def test_analysis_and_files(spark, events, tmp_path):
     assert parts == {"sessions", "totals"}
     found = mining.mine(events, "refine")
     reports.write_mined(found, reports.prompt_block(found.withColumnRenamed("rule", "id").withColumn("origin_repo", found["scope"])), str(tmp_path / "m"))
-    assert spark.read.text(str(tmp_path / "m/blocks")).where("value like '<retro%'").count() == 2
+    assert spark.read.text(str(tmp_path / "m/blocks")).where("value like '<memories%'").count() == 2
 
 
 def test_mining_registry(spark, events):
