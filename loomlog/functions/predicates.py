@@ -3,7 +3,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values.
@@ -61,6 +63,27 @@ TEST_PATTERN = (
 )
 
 
+@dataclass(frozen=True)
+class Payload:
+    """A payload as JSON text, and parsed as VARIANT; what reads fields takes either this or the text alone."""
+
+    text: Column
+    doc: Column
+
+
+def with_doc(events: DataFrame) -> DataFrame:
+    """Events with their payloads parsed once, in the VARIANT column ``doc``; as they are if they were stored with it."""
+    return events if "doc" in events.columns else events.withColumn("doc", F.try_parse_json("payload"))
+
+
+def payload(text: str = "payload", doc: str = "doc") -> Payload:
+    return Payload(F.col(text), F.col(doc))
+
+
+def text_of(payload: Column | Payload) -> Column:
+    return payload.text if isinstance(payload, Payload) else payload
+
+
 def any_of(text: Column, needles: tuple[str, ...]) -> Column:
     found = F.lit(False)
     for needle in needles:
@@ -68,9 +91,9 @@ def any_of(text: Column, needles: tuple[str, ...]) -> Column:
     return found
 
 
-def field(payload: Column, path: str, kind: str = "string") -> Column:
+def field(payload: Column | Payload, path: str, kind: str = "string") -> Column:
     """A value of the payload if it is there and of this type, else null; bad JSON gives null."""
-    parsed = F.try_parse_json(payload)
+    parsed = payload.doc if isinstance(payload, Payload) else F.try_parse_json(payload)
     if kind == "string":  # numbers and objects are not texts
         value = F.try_variant_get(parsed, f"$.{path}", "variant")
         return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(parsed, f"$.{path}", "string"))
@@ -80,7 +103,7 @@ def field(payload: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(parsed, f"$.{path}", kind)
 
 
-def failed_flag(payload: Column) -> Column:
+def failed_flag(payload: Column | Payload) -> Column:
     """is_error true, success false, or status failed or error."""
     no = F.lit(False)
     return (
@@ -95,19 +118,19 @@ def _code(output: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_extract(F.coalesce(output, F.lit("")), pattern, 1).try_cast("bigint") != 0, F.lit(False))
 
 
-def failed_event(payload: Column, event_type: Column) -> Column:
+def failed_event(payload: Column | Payload, event_type: Column) -> Column:
     """The analyzer's rule: flags, a non-zero exit code in the output, or an error event."""
     output = field(payload, "output")
     return failed_flag(payload) | _code(output, r'"exit_code"\s*:\s*(\d+)') | _code(output, r"Process exited with code (\d+)") | (event_type == "error")
 
 
-def failed_dashboard(payload: Column, event_type: Column) -> Column:
+def failed_dashboard(payload: Column | Payload, event_type: Column) -> Column:
     """The dashboard's rule: no process exit clause, and the exit code's key without a space before the colon."""
     output = field(payload, "output")
     return failed_flag(payload) | (F.coalesce(output.contains('"exit_code":'), F.lit(False)) & _code(output, r'"exit_code"\s*:\s*(\d+)')) | (event_type == "error")
 
 
-def failed_turn(payload: Column) -> Column:
+def failed_turn(payload: Column | Payload) -> Column:
     """The turn miner's rule: flags or an exit code; error events don't count by themselves."""
     return failed_flag(payload) | _code(field(payload, "output"), r'"exit_code"\s*:\s*(\d+)')
 

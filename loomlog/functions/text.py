@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .predicates import field
+from .predicates import Payload, field, text_of
 
 #: Fixed values.
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
@@ -25,9 +25,9 @@ def truncate(text: Column, n: int, flatten: bool = False) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit("…"))).otherwise(text)
 
 
-def event_text(payload: Column, summary: Column) -> Column:
+def event_text(payload: Column | Payload, summary: Column) -> Column:
     """First text of text, message and thinking (an empty one counts), raw_content, then the summary."""
-    raw = F.get_json_object(payload, "$.raw_content")
+    raw = F.get_json_object(text_of(payload), "$.raw_content")
     return F.coalesce(field(payload, "text"), field(payload, "message"), field(payload, "thinking"), raw, summary, F.lit(""))
 
 
@@ -49,7 +49,7 @@ def base_command(line: Column) -> Column:
     )
 
 
-def command_line(payload: Column) -> Column:
+def command_line(payload: Column | Payload) -> Column:
     """The command of a payload: input's, input itself, arguments' (also as JSON text), then its own."""
     args = field(payload, "arguments")
     parsed = lambda *keys: F.coalesce(*[field(args, k) for k in keys])
@@ -59,14 +59,14 @@ def command_line(payload: Column) -> Column:
     return F.coalesce(field(payload, "input.command"), field(payload, "input.cmd"), field(payload, "input"), *own, parsed(*keys), not_json, field(payload, "command"), field(payload, "cmd"))
 
 
-def command_text(payload: Column, summary: Column) -> Column:
+def command_text(payload: Column | Payload, summary: Column) -> Column:
     """The text by which a step's command is judged; empty values don't count."""
     some = lambda path: F.nullif(field(payload, path), F.lit(""))
     shown = F.nullif(F.regexp_extract(F.coalesce(field(payload, "output"), F.lit("")), r"(?:cmd|command)=([^,\n)]+)", 1), F.lit(""))
     return F.coalesce(some("cmd"), some("command"), some("text"), some("input.cmd"), some("input.command"), shown, summary, F.lit(""))
 
 
-def tool_name(payload: Column) -> Column:
+def tool_name(payload: Column | Payload) -> Column:
     return F.coalesce(field(payload, "name"), field(payload, "tool_name"), field(payload, "action.type"))
 
 

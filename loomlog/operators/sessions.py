@@ -39,12 +39,12 @@ def histogram(events: DataFrame, column: str, name: str) -> DataFrame:
 
 def top_tools(events: DataFrame, k: int = MAX_TOOLS) -> DataFrame:
     """(host, session_id, top_tools): the most used tools with their counts, of equal ones the first used."""
-    used = events.withColumn("name", X.tool_name(F.col("payload"))).where("name is not null").groupBy(*SESSION, "name").agg(F.count("*").alias("count"), F.min("ord").alias("_first"))
+    used = P.with_doc(events).withColumn("name", X.tool_name(P.payload())).where("name is not null").groupBy(*SESSION, "name").agg(F.count("*").alias("count"), F.min("ord").alias("_first"))
     best = top_k(used, list(SESSION), [F.desc("count"), F.col("_first"), F.col("name")], k)
     return best.groupBy(*SESSION).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name", "count"))), lambda x: F.struct(x["name"].alias("name"), x["count"].alias("count"))).alias("top_tools"))
 
 
-def payload_model(payload: Column) -> Column:
+def payload_model(payload: Column | P.Payload) -> Column:
     """The model that a payload names: itself, or its info, data, result or response."""
     places = ("", "info.", "data.", "result.", "response.")
     return F.coalesce(*[F.nullif(P.field(payload, f"{place}{key}"), F.lit("")) for place in places for key in ("model", "model_name", "metadata.model")])
@@ -52,7 +52,7 @@ def payload_model(payload: Column) -> Column:
 
 def models(events: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     """(host, session_id, models): models by how often they are named, the session's own one counting once."""
-    named = events.select(*SESSION, payload_model(F.col("payload")).alias("model"), F.col("ord"))
+    named = P.with_doc(events).select(*SESSION, payload_model(P.payload()).alias("model"), F.col("ord"))
     if meta is not None:
         named = named.unionByName(meta.select(*SESSION, F.nullif("model", F.lit("")).alias("model"), F.lit(-1).cast("long").alias("ord")))
     counted = named.where("model is not null").groupBy(*SESSION, "model").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
@@ -108,14 +108,15 @@ def summarise(events: DataFrame, meta: DataFrame, host_a: str, host_b: str) -> D
     kind, actor = F.col("event_type"), F.col("actor")
     stamp = F.try_to_timestamp("timestamp")
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    name = X.tool_name(F.col("payload"))
-    texts = [F.col("summary"), *[P.field(F.col("payload"), k) for k in ("text", "message", "error", "output", "raw_content")]]
+    events = P.with_doc(events)
+    name = X.tool_name(P.payload())
+    texts = [F.col("summary"), *[P.field(P.payload(), k) for k in ("text", "message", "error", "output", "raw_content")]]
     micros = F.unix_micros(F.max(stamp)) - F.unix_micros(F.min(stamp))
     base = events.groupBy(*SESSION).agg(
         F.min(stamp).alias("first_ts"), F.max(stamp).alias("last_ts"), F.when(F.count(stamp) >= 2, F.floor(micros / 1000000)).alias("duration_seconds"),
         F.count("*").alias("event_count"), count((actor == "user") & (kind == "message")).alias("user_messages"), count((actor == "assistant") & (kind == "message")).alias("assistant_messages"),
         *[count(kind == k).alias(n) for k, n in (("reasoning", "reasoning_events"), ("tool_call", "tool_call_events"), ("tool_result", "tool_result_events"), ("command", "command_events"), ("file_read", "file_read_events"), ("file_edit", "file_edit_events"), ("unknown", "unknown_events"))],
-        count(P.failed_dashboard(F.col("payload"), kind)).alias("failed_events"), count(P.web_search(F.col("summary"), name, "dashboard")).alias("web_search_events"),
+        count(P.failed_dashboard(P.payload(), kind)).alias("failed_events"), count(P.web_search(F.col("summary"), name, "dashboard")).alias("web_search_events"),
         count(P.rate_limited(*texts)).alias("rate_limit_hits"), count(F.coalesce("timestamp", F.lit("")) == "").alias("events_without_timestamps"),
     )
     keys = list(SESSION)

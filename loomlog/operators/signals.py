@@ -28,7 +28,7 @@ def register(name: str, kind: str):
 
 
 def _text() -> Column:
-    return X.event_text(F.col("payload"), F.col("summary"))
+    return X.event_text(P.payload(), F.col("summary"))
 
 
 def _is(event_type: str, actor: str | None = None) -> Column:
@@ -36,13 +36,13 @@ def _is(event_type: str, actor: str | None = None) -> Column:
 
 
 def _failed() -> Column:
-    return P.failed_event(F.col("payload"), F.col("event_type"))
+    return P.failed_event(P.payload(), F.col("event_type"))
 
 
 def paths() -> Column:
     """Files that an event names."""
     keys = ("file_path", "path", "filepath")
-    own = [P.field(F.col("payload"), k) for k in keys] + [P.field(F.col("payload"), f"input.{k}") for k in keys]
+    own = [P.field(P.payload(), k) for k in keys] + [P.field(P.payload(), f"input.{k}") for k in keys]
     changed = F.coalesce(F.json_object_keys(F.get_json_object("payload", "$.changes")), F.array().cast("array<string>"))
     return F.array_distinct(F.concat(F.array_compact(F.array(*own)), changed))
 
@@ -63,7 +63,7 @@ _count("command_count", lambda: _is("command", "assistant"))
 _count("file_edit_count", lambda: _is("file_edit"))
 REGISTRY["unique_files_edited"] = ("numeric", lambda: _files("file_edit"))
 REGISTRY["unique_files_read"] = ("numeric", lambda: _files("file_read"))
-_count("web_search_count", lambda: P.web_search(F.col("summary"), P.field(F.col("payload"), "name")))
+_count("web_search_count", lambda: P.web_search(F.col("summary"), P.field(P.payload(), "name")))
 _count("user_message_count", lambda: _is("message", "user"))
 _count("assistant_message_count", lambda: _is("message", "assistant"))
 _count("user_correction_count", lambda: _is("message", "user") & P.correction(_text()))
@@ -103,14 +103,19 @@ def _interrupted() -> Column:
     return F.bool_or(P.interrupted(F.col("summary"), F.col("payload")))
 
 
+def searched() -> Column:
+    """What secrets are looked for in: the summary, and all keys and texts of the payload, a line each."""
+    return F.concat_ws("\n", F.nullif("summary", F.lit("")), F.array_join(X.leaves(F.col("payload"), keys=True), "\n"))
+
+
 @register("secret_exposure_count", "numeric")
 def _secrets() -> Column:
-    return F.least(F.lit(50), F.sum(P.secret_count(F.concat_ws("\n", "summary", "payload"))))
+    return F.least(F.lit(50), F.sum(P.secret_count(searched())))
 
 
 @register("secret_exposure_signal", "boolean")
 def _secret() -> Column:
-    return F.sum(P.secret_count(F.concat_ws("\n", "summary", "payload"))) > 0
+    return F.sum(P.secret_count(searched())) > 0
 
 
 @register("capture_gap_signal", "boolean")
@@ -120,7 +125,7 @@ def _gap() -> Column:
 
 def measure(events: DataFrame, names: list[str] | None = None) -> DataFrame:
     """One row a session; an unknown name is a KeyError."""
-    return events.groupBy(*SESSION).agg(*[REGISTRY[n][1]().alias(n) for n in (names or list(REGISTRY))])
+    return P.with_doc(events).groupBy(*SESSION).agg(*[REGISTRY[n][1]().alias(n) for n in (names or list(REGISTRY))])
 
 
 def select(events: DataFrame, host: str | None = None, sessions: tuple[str, ...] | None = None) -> DataFrame:
@@ -132,7 +137,7 @@ def select(events: DataFrame, host: str | None = None, sessions: tuple[str, ...]
 
 def secrets(events: DataFrame, most: int = 50) -> DataFrame:
     """(host, session_id, n, type, event_id, snippet): secrets as they come in each session, the first ``most``, with 40 characters around and the secret cut out."""
-    text = F.concat_ws("\n", F.nullif("summary", F.lit("")), F.array_join(X.leaves(F.col("payload"), keys=True), "\n"))
+    text = searched()
     rows = None
     for place, (name, pattern) in enumerate(P.SECRET_PATTERNS.items()):
         flags, bare = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)

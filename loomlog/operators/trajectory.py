@@ -17,20 +17,32 @@ EXPLOITING = ("reproduce", "generate_fix", "run_tests", "refactor")
 RECOVERING = ("search", "explore", "locate", "generate_fix", "run_tests")
 
 
-def category(kind: Column, actor: Column, payload: Column, summary: Column, text: Column) -> Column:
+def judged(steps: DataFrame, names: tuple[str, ...] = ("event_type", "actor", "payload", "doc", "summary", "text")) -> DataFrame:
+    """Actions with ``category`` and ``fp``; ``names`` are the columns of their kind, actor, payload, its VARIANT, summary and text.
+
+    What several rules read, the command, the tool's name and the text they
+    search, is worked out once a row, in columns of its own.
+    """
+    kind, actor, text_, doc, summary, text = (F.col(n) for n in names)
+    payload, none = P.Payload(text_, doc), F.lit("")
+    df = steps.withColumns({"_command": X.command_text(payload, summary), "_name": F.lower(F.coalesce(X.tool_name(payload), none))})
+    command, name = F.col("_command"), F.col("_name")
+    hay = F.lower(F.concat_ws(" ", kind, actor, F.coalesce(summary, none), F.coalesce(text, none), name, command, F.coalesce(F.get_json_object(text_, "$.input"), none)))
+    failed = P.failed_flag(payload) | P.failed_text(F.concat_ws(" ", text_, summary))
+    df = df.withColumns({"_hay": hay, "_first": F.lower(F.split(X.strip(command), r"\s+")[0]), "_failed": failed})
+    df = df.withColumns({"category": category(kind, actor), "fp": fingerprint(kind, actor, payload, text)})
+    return df.drop("_command", "_name", "_hay", "_first", "_failed")
+
+
+def category(kind: Column, actor: Column) -> Column:
     """The first rule that fits an action: error, permission, edit, tests, reproduce, search, explore, locate, explain, refactor."""
-    command = X.command_text(payload, summary)
-    name = F.lower(F.coalesce(X.tool_name(payload), F.lit("")))
-    none = F.lit("")
-    hay = F.lower(F.concat_ws(" ", kind, actor, F.coalesce(summary, none), F.coalesce(text, none), name, command, F.coalesce(F.get_json_object(payload, "$.input"), none)))
-    first = F.lower(F.split(X.strip(command), r"\s+")[0])
+    hay, first, name = F.col("_hay"), F.col("_first"), F.col("_name")
     refactor = P.any_of(hay, P.REFACTOR_NEEDLES)
-    failed = P.failed_flag(payload) | P.failed_text(F.concat_ws(" ", payload, summary))
     return (
-        F.when((kind == "error") | failed, "error")
+        F.when((kind == "error") | F.col("_failed"), "error")
         .when((kind == "permission") | hay.contains("permission") | hay.contains("approval"), "permission")
         .when((kind == "file_edit") | name.isin(*P.PATCH_NAMES), F.when(refactor, "refactor").otherwise("generate_fix"))
-        .when(command.rlike(P.TEST_PATTERN) | hay.rlike(P.TEST_PATTERN), "run_tests")
+        .when(F.col("_command").rlike(P.TEST_PATTERN) | hay.rlike(P.TEST_PATTERN), "run_tests")
         .when(P.any_of(hay, P.REPRODUCE_NEEDLES), "reproduce")
         .when(first.isin(*P.SEARCH_COMMANDS) | P.any_of(hay, P.SEARCH_NEEDLES), "search")
         .when((kind == "file_read") | first.isin(*P.EXPLORE_COMMANDS) | P.any_of(hay, P.EXPLORE_NEEDLES), "explore")
@@ -41,11 +53,10 @@ def category(kind: Column, actor: Column, payload: Column, summary: Column, text
     )
 
 
-def fingerprint(kind: Column, actor: Column, payload: Column, summary: Column, text: Column) -> Column:
+def fingerprint(kind: Column, actor: Column, payload: P.Payload, text: Column) -> Column:
     keyed = [F.concat(F.lit(f"{k}="), F.nullif(P.field(payload, k), F.lit(""))) for k in ("file_path", "path", "filepath", "cwd")]
     keyed += [F.concat(F.lit(f"{k}="), F.nullif(P.field(payload, f"input.{k}"), F.lit(""))) for k in ("file_path", "path", "filepath", "cmd", "command")]
-    name = F.nullif(F.lower(F.coalesce(X.tool_name(payload), F.lit(""))), F.lit(""))
-    more = F.concat_ws(" ", name, F.nullif(X.command_text(payload, summary), F.lit("")), *keyed)
+    more = F.concat_ws(" ", F.nullif("_name", F.lit("")), F.nullif("_command", F.lit("")), *keyed)
     return X.normal_fingerprint(F.concat_ws(" ", kind, actor, F.coalesce(F.nullif(more, F.lit("")), text)))
 
 
@@ -59,9 +70,10 @@ def build(events: DataFrame) -> DataFrame:
     """
     actor, kind = F.col("actor"), F.col("event_type")
     action, thought, result = P.is_action(actor, kind), P.is_thought(actor, kind), P.is_result(actor, kind)
-    text = X.event_text(F.col("payload"), F.col("summary"))
+    events = P.with_doc(events)
+    text = X.event_text(P.payload(), F.col("summary"))
     role = F.when(action, "A").when(thought, "T").when(result, "R")
-    df = events.withColumn("_text", text).withColumn("_role", role).where("_role is not null")
+    df = events.withColumn("_text", text).withColumn("_role", role).where("_role is not null").drop("doc")
     df = df.withColumn("_n", F.sum(F.when(F.col("_role") == "A", 1).otherwise(0)).over(so_far("ord")))
     df = df.withColumn("_open", F.last(F.when(F.col("_role") != "R", F.col("_role")), True).over(so_far("ord")))
     step = F.when(F.col("_role") == "T", F.col("_n") + 1).when((F.col("_role") == "A") | (F.col("_open") == "A"), F.col("_n"))
@@ -84,15 +96,15 @@ def build(events: DataFrame) -> DataFrame:
         X.strip(F.array_join(of("R", short), "\n")).alias("result_text"),
         *[first(c).alias(f"_{c}") for c in ("event_type", "actor", "payload", "summary", "_text")],
     )
-    steps = steps.where("action_event_id is not null")
-    kind, actor, payload, summary, text = (F.col(f"_{c}") for c in ("event_type", "actor", "payload", "summary", "_text"))
+    steps = steps.where("action_event_id is not null").withColumn("_doc", F.try_parse_json("_payload"))
+    steps = judged(steps, ("_event_type", "_actor", "_payload", "_doc", "_summary", "__text"))
+    payload, summary, text = P.payload("_payload", "_doc"), F.col("_summary"), F.col("__text")
     own = F.coalesce(F.nullif(F.when(text != F.coalesce(summary, F.lit("")), text), F.lit("")), F.nullif(X.command_text(payload, summary), F.lit("")), summary, text)
-    fp = fingerprint(kind, actor, payload, summary, text)
     steps = steps.select(
         *SESSION,
         (F.row_number().over(Window.partitionBy(*SESSION).orderBy("_step")) - 1).cast("long").alias("idx"),
         "thought_event_ids", "action_event_id", "result_event_ids", "thought_text", X.truncate(own, 1000, flatten=True).alias("action_text"), "result_text",
-        category(kind, actor, payload, summary, text).alias("category"), fp.alias("fp"), X.fingerprint_key(fp).alias("fp_key"),
+        "category", "fp", X.fingerprint_key(F.col("fp")).alias("fp_key"),
     )
     return steps.withColumn("failed", P.failed_text(F.col("result_text")))
 

@@ -11,6 +11,8 @@ from ..operators import joins as J
 from ..operators import memory as M
 from ..operators import search as S
 from ..operators import windows as W
+from ..operators.walks import walk
+from ..sources import transcripts
 from ..sources.folders import new_folder
 from ..sources.memory_store import MemoryStore
 from ..sources.views import MEMORIES_SQL, MESSAGES_SQL, STEPS_SQL, event_steps, memories, messages, table
@@ -119,6 +121,33 @@ def memory_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "content_hash", "created_at", "evidence_count", F.round("q_value", 6).alias("q_value"), "hits", "successes", "failures", "link", "links", "refs", "words")
 
 
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as events whose payloads are nested, some deeper than is read."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 13).cast("int").alias("k"))
+    text = F.col("doc_id").cast("string")
+    inner = F.concat(F.lit('{"n":'), text, F.lit(',"f":['), F.when(F.col("k") % 2 == 0, "true").otherwise("null"), F.lit(',"s'), text, F.lit('",1.5,{}]}'))
+    return d.select("doc_id", F.when(F.col("k") == 12, "no JSON").otherwise(F.concat(F.repeat(F.lit('{"a":['), F.col("k")), inner, F.repeat(F.lit("]}"), F.col("k")))).alias("payload"))
+
+
+def payload_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value and key of nested payloads."""
+    rows = walk(_nested(spark, sf_dir), ("doc_id",))
+    return rows.select("doc_id", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "depth", "key", "kind", "value")
+
+
+def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as JSON lines, some blank or bad, and read with the numbers of their lines."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    good = F.to_json(F.struct("conv_id", "turn", F.col("text").alias("said")))
+    line = F.when(F.col("turn") % 5 == 1, "").when(F.col("turn") % 7 == 2, F.concat(F.lit("{bad "), F.substring(good, 1, 9))).otherwise(F.concat(good, F.when(F.col("turn") % 2 == 0, "\r").otherwise("")))
+    folder = new_folder(spark, "lines")
+    rows = c.select((F.col("conv_id") % 7).alias("file"), "conv_id", "turn", "role", "text", line.alias("value")).repartition("file").sortWithinPartitions("file", "conv_id", "turn", "role", "text")
+    rows.select("file", "value").write.option("lineSep", "\n").partitionBy("file").text(folder)
+    found = transcripts.read_lines(spark, folder)
+    number = lambda name: F.get_json_object("raw", f"$.{name}").cast("long")
+    return found.select(F.regexp_extract("path", r"file=(\d+)", 1).cast("long").alias("file"), "line", number("conv_id").alias("conv_id"), number("turn").alias("turn"), F.length(F.get_json_object("raw", "$.said")).alias("chars"))
+
+
 def dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = memories(spark, sf_dir)
     links = m.select(F.col("id").alias("src"), (F.col("id") * 2).alias("dst"))
@@ -191,6 +220,8 @@ QUERIES = {
     "phrase_search": phrase_search,
     "memory_retrieval": retrieval,
     "memory_store": memory_store,
+    "payload_walk": payload_walk,
+    "line_scan": line_scan,
     "dangling_links": dangling,
     "reward_fold": rewards,
     "memory_index_summary": index_summary,
@@ -267,6 +298,14 @@ m AS (SELECT id, max_by(content_hash, seq) AS content_hash, min(created_at) AS c
 w AS (SELECT CAST(user_id % 1000 AS VARCHAR) AS id, list(least(1.0, event_id % 13 / 10.0)::DOUBLE ORDER BY event_id % 3, event_id) AS rewards, count(*) FILTER (WHERE event_id % 13 >= 5) AS good FROM events WHERE event_type = 'purchase' GROUP BY ALL)
 SELECT id, content_hash, created_at, evidence_count, round(list_reduce(list_prepend(CAST(q AS DOUBLE), coalesce(rewards, CAST([] AS DOUBLE[]))), lambda a, r: a + 0.2 * (r - a)), 6) AS q_value, coalesce(len(rewards), 0) AS hits, coalesce(good, 0) AS successes, coalesce(len(rewards), 0) - coalesce(good, 0) AS failures,
   link, CAST(1 AS BIGINT) AS links, refs, CAST(words AS BIGINT) AS words FROM m LEFT JOIN w USING (id)""",
+    "payload_walk": """WITH RECURSIVE d AS (SELECT doc_id, CAST(doc_id % 13 AS INTEGER) AS k FROM documents),
+e AS (SELECT doc_id, CAST(repeat('{"a":[', k) || '{"n":' || doc_id || ',"f":[' || CASE WHEN k % 2 = 0 THEN 'true' ELSE 'null' END || ',"s' || doc_id || '",1.5,{}]}' || repeat(']}', k) AS JSON) AS j FROM d WHERE k <> 12),
+w AS (SELECT doc_id, '' AS path, 0 AS depth, CAST(NULL AS VARCHAR) AS key, j FROM e
+  UNION ALL SELECT w.doc_id, w.path || CASE WHEN w.depth = 0 THEN '' ELSE '.' END || (CASE json_type(w.j) WHEN 'OBJECT' THEN list_position(list_sort(json_keys(w.j)), c.key) - 1 ELSE CAST(c.key AS INTEGER) END), w.depth + 1, CASE json_type(w.j) WHEN 'OBJECT' THEN c.key END, c.value
+    FROM w, LATERAL (SELECT t.key, t.value FROM json_each(w.j) t) c WHERE w.depth <= 8 AND json_type(w.j) IN ('OBJECT', 'ARRAY'))
+SELECT doc_id, path, depth, key, CASE json_type(j) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'list' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind,
+  CASE WHEN depth <= 8 AND json_type(j) NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN j ->> '$' END AS value FROM w""",
+    "line_scan": """SELECT conv_id % 7 AS file, line, conv_id, turn, length(text) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY conv_id % 7 ORDER BY conv_id, turn, role, text) AS line FROM conversations) WHERE turn % 5 <> 1 AND turn % 7 <> 2""",
     "dangling_links": f"WITH {MEMORIES_SQL} SELECT m.id AS src, m.id * 2 AS dst FROM mem m WHERE NOT EXISTS (SELECT 1 FROM mem x WHERE x.id = m.id * 2)",
     "reward_fold": f"""WITH {STEPS_SQL}, r AS (SELECT session_id AS id, list_reduce(list_prepend(CAST(0.5 AS DOUBLE), list(CASE WHEN category = 'generate_fix' THEN 1.0 ELSE 0.0 END::DOUBLE ORDER BY idx)), lambda q, r: q + 0.2 * (r - q)) AS q,
   count(*) AS hits, count(*) FILTER (WHERE category = 'generate_fix') AS good FROM ev GROUP BY session_id) SELECT id, round(q, 9) AS q_value, hits, good AS successes, hits - good AS failures FROM r""",

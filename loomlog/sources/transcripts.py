@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.predicates import field
+from ..functions.predicates import field, with_doc
 from .views import HOST_A, HOST_B
 
 #: Fixed values.
@@ -17,15 +17,35 @@ INPUT_KEYS_A = ("file_path", "path", "command", "pattern", "url", "query", "desc
 EVENT = ("host", "session_id", "ord", "event_id", "sequence", "actor", "event_type", "summary", "payload", "timestamp", "parent_event_id", "path", "line")
 
 
+#: Parts of files that are broadcast to their lines; more are joined by shuffle.
+MAX_SPLITS = 200_000
+
+
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, raw) of all lines of text files, blank ones too; lines count from 1 and end with a line feed, before which a carriage return goes.
+
+    A large file is many tasks: each split's lines are counted first, and a
+    line's number is its place in its split behind the lines of the file's
+    splits before.  Both scans see the files as they were when listed.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    splits = rows.groupBy("path", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("path", "_block", (1 + F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    if splits.limit(MAX_SPLITS + 1).count() <= MAX_SPLITS:
+        splits = F.broadcast(splits)
+    return rows.join(splits, ["path", "_block"]).select("path", (F.col("_at") + F.col("_shift")).alias("line"), F.regexp_replace("value", "\r$", "").alias("raw"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, session_id, line, raw) of JSON-lines files: lines count from 1, blank ones too; lines that are no JSON are left out.
 
     The session is the file's name without its endings.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    rows = files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "raw"))
     session = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?:\.events)?\.jsonl$", "")
-    return rows.where(F.try_parse_json("raw").isNotNull() & (F.btrim("raw") != "")).select("path", session.alias("session_id"), (F.col("pos") + 1).alias("line"), "raw")
+    rows = numbered(spark, path).where(F.try_parse_json("raw").isNotNull() & (F.btrim("raw") != ""))
+    return rows.select("path", session.alias("session_id"), "line", "raw")
 
 
 def _get(path: str, of: str = "raw") -> Column:
@@ -181,8 +201,8 @@ def gaps(events: DataFrame) -> DataFrame:
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    """Parquet by host; sessions are keys, not folders, so files stay large."""
-    events.write.mode("overwrite").partitionBy("host").parquet(path)
+    """Parquet by host, with the payload as VARIANT in ``doc``, so that no reader parses it again; sessions are keys, not folders, so files stay large."""
+    with_doc(events).write.mode("overwrite").partitionBy("host").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
