@@ -78,6 +78,11 @@ def build(events: DataFrame) -> DataFrame:
     df = df.withColumn("_open", F.last(F.when(F.col("_role") != "R", F.col("_role")), True).over(so_far("ord")))
     step = F.when(F.col("_role") == "T", F.col("_n") + 1).when((F.col("_role") == "A") | (F.col("_open") == "A"), F.col("_n"))
     df = df.withColumn("_step", step).where("_step is not null")
+    return gathered(df.drop("_n", "_open"))
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """The steps of their events: those with ``_step`` (from 1), ``_role`` and ``_text``, all that a step has."""
     late = Window.partitionBy(*SESSION, "_step", "_role").orderBy(F.col("ord").desc())
     df = df.withColumn("_back", F.row_number().over(late)).where("_role <> 'T' or _back <= 3")
 
@@ -102,7 +107,7 @@ def build(events: DataFrame) -> DataFrame:
     own = F.coalesce(F.nullif(F.when(text != F.coalesce(summary, F.lit("")), text), F.lit("")), F.nullif(X.command_text(payload, summary), F.lit("")), summary, text)
     steps = steps.select(
         *SESSION,
-        (F.row_number().over(Window.partitionBy(*SESSION).orderBy("_step")) - 1).cast("long").alias("idx"),
+        (F.col("_step") - 1).cast("long").alias("idx"),  # every number up to the last has its action
         "thought_event_ids", "action_event_id", "result_event_ids", "thought_text", X.truncate(own, 1000, flatten=True).alias("action_text"), "result_text",
         "category", "fp", X.fingerprint_key(F.col("fp")).alias("fp_key"),
     )

@@ -5,8 +5,8 @@ come, by the shard of a memory's id, ``memory`` (its row and links), ``utility``
 (sums of its rewards) and ``postings`` (the positional index), of which an
 append overwrites the touched shards, and ``content`` (the memory that has a
 content first) and ``evidence``, to which it adds.  An append that ends before
-``applied`` names its batch leaves the log whole; the next one, or
-``rebuild``, makes the tables from it again.
+``applied`` names its batch leaves the log whole, as far as ``taken`` names
+its batches; the next one, or ``rebuild``, makes the tables from it again.
 """
 
 from __future__ import annotations
@@ -49,24 +49,32 @@ class MemoryStore:
         """The last batch that all tables have; -1 before the first."""
         return self._read("applied", "batch int").agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
 
+    def _taken(self) -> DataFrame:
+        """The batches that the log has whole, and the keys they came with."""
+        return self._read("taken", "batch int, key string")
+
     def _logged(self) -> int:
-        last = [self._read(name, "batch int").agg(F.max("batch")).first()[0] for name in ("log", "events")]
-        return max((b for b in last if b is not None), default=-1)
+        return self._taken().agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
 
-    def append(self, records: DataFrame | None = None, events: DataFrame | None = None) -> None:
+    def append(self, records: DataFrame | None = None, events: DataFrame | None = None, key: str | None = None) -> None:
         """Take in records (as RECORD, in the order of ord) and events (as EVENT, in the order of line), one batch behind those before.
 
         Records go to the memory that had their content first; the last record
         of a memory holds, its first created_at stays, its evidence is gathered.
         A record without an id or text, and an event without a memory, are left out.
+        A batch whose ``key`` was taken before is not taken again, so a caller
+        may try again with the same key.
         """
         if self._logged() > self._applied():
             self.rebuild()
-        batch = self._applied() + 1
+        if key is not None and not self._taken().where(F.col("key") == key).isEmpty():
+            return
+        batch = self._logged() + 1
         records = _fitted(records, RECORD, self.spark).where("id is not null and text is not null")
         events = _fitted(events, EVENT, self.spark).where("memory_id is not null")
         records.write.mode("overwrite").parquet(f"{self.folder}/log/batch={batch}")
         events.write.mode("overwrite").parquet(f"{self.folder}/events/batch={batch}")
+        self.spark.range(1).select(F.lit(batch).alias("batch"), F.lit(key).cast("string").alias("key")).write.mode("append").parquet(f"{self.folder}/taken")
         self._apply(batch, batch)
 
     def rebuild(self) -> None:
@@ -163,7 +171,7 @@ class MemoryStore:
         used = self._read("utility", _UTILITY).withColumnRenamed("memory_id", "id")
         hits = F.coalesce("hits", F.lit(0).cast("long"))
         good = F.coalesce("successes", F.lit(0).cast("long"))
-        q = F.col("q_value") * F.pow(F.lit(1 - RATE), hits) + F.coalesce("gain", F.lit(0.0))
+        q = F.coalesce("q_value", F.lit(0.5)) * F.pow(F.lit(1 - RATE), hits) + F.coalesce("gain", F.lit(0.0))
         return rows.join(used, ["id", "shard"], "left").select(*[c for c in rows.columns if c not in ("q_value", "shard")], q.alias("q_value"), hits.alias("hits"), good.alias("successes"), (hits - good).alias("failures"), "last_used_at")
 
     def links(self) -> DataFrame:
@@ -174,7 +182,7 @@ class MemoryStore:
 
     def events(self) -> DataFrame:
         """The events of all batches, in the order of batch and line."""
-        return self._read("events", f"{EVENT}, batch int")
+        return self._read("events", f"{EVENT}, batch int").where(F.col("batch") <= self._logged())
 
     def index(self) -> DataFrame:
         """The positional index, for operators.search."""

@@ -1,4 +1,4 @@
-"""Streams of events: activity by session and by billing block, and utility kept up to date."""
+"""Streams of events: activity by session and by billing block."""
 
 from __future__ import annotations
 
