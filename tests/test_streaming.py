@@ -90,7 +90,7 @@ def test_utility_of_a_stream_is_that_of_one_append(spark, tmp_path):
     for i in range(0, 200, 50):
         part = rows[i : i + 50] + rnd.sample(rows[max(0, i - 50) : i + 50], 10)
         df = spark.createDataFrame(sorted(part, key=lambda r: r[1]), EVENT)
-        df.withColumn("ts", F.timestamp_seconds("line")).coalesce(1).write.parquet(str(tmp_path / f"files/p{i}"))
+        df.withColumn("ts", F.timestamp_seconds(F.col("line") + 100_000)).coalesce(1).write.parquet(str(tmp_path / f"files/p{i}"))
     schema = spark.read.parquet(str(tmp_path / "files/p0")).schema
     rewards = stream(spark, [str(tmp_path / f"files/p{i}") for i in range(0, 200, 50)], schema, str(tmp_path / "in"))
     query = stateful.write_utility(rewards, streamed, str(tmp_path / "c")).start()
