@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as X
+from .prefix import Latest, Total, scan
 from .windows import SESSION, in_order, islands, next_match, so_far
 
 #: Fixed values.
@@ -60,13 +61,14 @@ def fingerprint(kind: Column, actor: Column, payload: P.Payload, text: Column) -
     return X.normal_fingerprint(F.concat_ws(" ", kind, actor, F.coalesce(F.nullif(more, F.lit("")), text)))
 
 
-def build(events: DataFrame) -> DataFrame:
+def build(events: DataFrame, parts: int | None = None) -> DataFrame:
     """Steps of ordered events (host, session_id, ord, event_id, actor, event_type, summary, payload).
 
     An action of the assistant opens a step and takes up to three thoughts that
     came since the last one; results go to the step that is open.  A thought
     closes it; user and system events change nothing.  Thoughts that no action
-    follows are dropped.  All of it is running sums over one ordering.
+    follows are dropped.  All of it is running sums over one ordering: a
+    window a session, or, with ``parts``, ranges of sessions of any length.
     """
     actor, kind = F.col("actor"), F.col("event_type")
     action, thought, result = P.is_action(actor, kind), P.is_thought(actor, kind), P.is_result(actor, kind)
@@ -74,8 +76,11 @@ def build(events: DataFrame) -> DataFrame:
     text = X.event_text(P.payload(), F.col("summary"))
     role = F.when(action, "A").when(thought, "T").when(result, "R")
     df = events.withColumn("_text", text).withColumn("_role", role).where("_role is not null").drop("doc")
-    df = df.withColumn("_n", F.sum(F.when(F.col("_role") == "A", 1).otherwise(0)).over(so_far("ord")))
-    df = df.withColumn("_open", F.last(F.when(F.col("_role") != "R", F.col("_role")), True).over(so_far("ord")))
+    acts, opens = F.when(F.col("_role") == "A", 1).otherwise(0), F.when(F.col("_role") != "R", F.col("_role"))
+    if parts:
+        df = scan(df, parts=parts, _n=Total(acts), _open=Latest(opens))
+    else:
+        df = df.withColumn("_n", F.sum(acts).over(so_far("ord"))).withColumn("_open", F.last(opens, True).over(so_far("ord")))
     step = F.when(F.col("_role") == "T", F.col("_n") + 1).when((F.col("_role") == "A") | (F.col("_open") == "A"), F.col("_n"))
     df = df.withColumn("_step", step).where("_step is not null")
     return gathered(df.drop("_n", "_open"))

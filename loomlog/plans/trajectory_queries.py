@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import trajectory as T
 from ..operators import windows as W
+from ..operators.prefix import Latest, Next, Total, lag, longest_run, scan
 from ..sources.views import STEPS_SQL, event_steps
 
 KEYS = list(W.SESSION)
@@ -43,6 +44,19 @@ def risk_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.badges(T.measure(event_steps(spark, sf_dir))).select(*KEYS, F.array_join("badges", ", ").alias("badges"))
 
 
+def long_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one session, over many tasks: turns, the last and the next search, the category before, runs."""
+    e = event_steps(spark, sf_dir).select(F.lit("all").alias("session_id"), "event_id", "category", "value")
+    search = F.when(F.col("category") == "search", F.col("event_id"))
+    out = scan(
+        e, ("session_id",), ("event_id",),
+        turn=Total((F.col("category") == "run_tests").cast("int")), last_search=Latest(search, before=True), next_search=Next(search, behind=True), was=lag(F.col("category")),
+    )
+    begins = F.coalesce(F.col("was")["v"] != F.col("category"), F.lit(True))
+    longest = longest_run(out, begins, ("session_id",), ("event_id",))
+    return out.join(F.broadcast(longest), "session_id").select("event_id", "turn", "last_search", "next_search", F.col("was")["v"].alias("was"), "longest")
+
+
 def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last search's value at every step, and how the running total of values grew since the last purchase."""
     steps = event_steps(spark, sf_dir)
@@ -81,6 +95,7 @@ QUERIES = {
     "transition_counts": next_actions,
     "risk_badges": risk_badges,
     "forward_fill_deltas": forward_fill,
+    "long_session": long_session,
     "phase_runs": phases,
     "calendar_fill": calendar,
 }
@@ -143,6 +158,11 @@ FROM b GROUP BY host, session_id""",
   CASE WHEN repeated_action_without_progress > 0 THEN 'repeat' END, CASE WHEN fix_without_validation_count > 0 THEN fix_without_validation_count || ' fix/no-test' END,
   CASE WHEN ign > 0 THEN ign || ' ignored-failure' END) AS badges
 FROM ({_VALID}) JOIN (SELECT host, session_id, {_IGNORED} AS ign FROM b GROUP BY host, session_id) USING (host, session_id) JOIN ({_REPEAT}) USING (host, session_id)""",
+    "long_session": f"""WITH {STEPS_SQL}, w AS (SELECT event_id, category, CAST(sum(CASE WHEN category = 'run_tests' THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS BIGINT) AS turn, lag(category) OVER (ORDER BY event_id) AS was,
+  last_value(CASE WHEN category = 'search' THEN event_id END IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_search,
+  first_value(CASE WHEN category = 'search' THEN event_id END IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_search FROM ev),
+r AS (SELECT *, sum(CASE WHEN was IS DISTINCT FROM category THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS run FROM w)
+SELECT event_id, turn, last_search, next_search, was, (SELECT max(n) FROM (SELECT count(*) AS n FROM r GROUP BY run)) AS longest FROM r""",
     "forward_fill_deltas": f"""WITH {STEPS_SQL}, f AS (SELECT *, CASE WHEN category = 'generate_fix' THEN idx END AS c FROM ev)
 SELECT event_id, last_value(CASE WHEN category = 'search' THEN value END IGNORE NULLS) OVER (PARTITION BY host, session_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_search_value,
   greatest(0, CASE WHEN c IS NULL THEN 0 ELSE c - coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY host, session_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END) AS growth FROM f""",
