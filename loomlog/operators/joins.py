@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import predicates as P
+from ..functions import text as X
 from .windows import SESSION, so_far
 
 
@@ -28,6 +30,24 @@ def match_results(calls: DataFrame, results: DataFrame) -> DataFrame:
     return df.join(free, [*keys, "_turn"], "left").select(*calls.columns, F.coalesce("_known", "_free").alias("result_ord"), tier.alias("tier"))
 
 
+def calls(events: DataFrame) -> DataFrame:
+    """(host, session_id, ord, event_id, tool, is_command, command_line, base_command, failed) of each named call of the assistant.
+
+    It has failed if its result has, by the analyzer's rule; without a result, if it has itself.
+    """
+    e = P.with_doc(events).withColumn("_call", P.field(P.payload(), "call_id")).withColumn("_failed", P.failed_event(P.payload(), F.col("event_type")))
+    name = F.coalesce(F.nullif(P.field(P.payload(), "name"), F.lit("")), F.split("summary", r"\(")[0])
+    mine = e.where((F.col("actor") == "assistant") & F.col("event_type").isin("tool_call", "command", "file_read", "file_edit"))
+    mine = mine.withColumn("tool", name).where("tool not in ('', '?')")
+    command = F.col("tool").isin("Bash", "exec_command", "shell") | (F.col("event_type") == "command")
+    line = F.when(command, F.nullif(X.command_line(P.payload()), F.lit("")))
+    mine = mine.select(*SESSION, "ord", "event_id", F.col("_call").alias("call_id"), "tool", command.alias("is_command"), line.alias("command_line"), F.col("_failed").alias("_own"))
+    results = e.where("actor = 'tool'").select(*SESSION, "ord", F.nullif("_call", F.lit("")).alias("call_id"), F.nullif("parent_event_id", F.lit("")).alias("parent_event_id"), F.col("_failed").alias("_theirs"))
+    met = match_results(mine, results.drop("_theirs"))
+    met = met.join(results.select(*SESSION, F.col("ord").alias("result_ord"), "_theirs"), [*SESSION, "result_ord"], "left")
+    return met.select(*SESSION, "ord", "event_id", "tool", "is_command", "command_line", X.base_command(F.col("command_line")).alias("base_command"), F.coalesce("_theirs", "_own").alias("failed"))
+
+
 def latest_before(rows: DataFrame, is_right: str, key: str, value: str) -> DataFrame:
     """As-of: left rows with the value of the latest earlier right row of their session and key; no join needed."""
     seen = F.last(F.when(F.col(is_right), F.col(value)), True).over(so_far("ord", (*SESSION, key)))

@@ -68,6 +68,11 @@ def mine(events: DataFrame, method: str, filters: tuple[str, ...] = ()) -> DataF
     if not events.limit(1).count():
         raise ValueError("no events")
     found = METHODS[method](events).withColumn("method", F.lit(method))
+    if "id" not in found.columns:
+        # the place among a session's candidates; those of a method without a rank of its own stand by its rules' order
+        order = [c for c in ("rank", "_place") if c in found.columns] or [F.lit(1)]
+        n = F.row_number().over(Window.partitionBy(*SESSION).orderBy(*order))
+        found = found.withColumn("id", F.concat_ws(":", "session_id", "method", n.cast("string"))).drop("_place")
     for name in filters:
         found = FILTERS[name](found)
     return found
@@ -169,16 +174,95 @@ def skills(events: DataFrame, k: int = 4, steps: int = 10) -> DataFrame:
     )
 
 
-def procedures(steps: DataFrame, goals: DataFrame, runs: int = 12) -> DataFrame:
-    """A procedure of each session: its goal and the first ``runs`` phases, each with its length."""
-    from .windows import in_order, islands
+#: Advice in messages, words of a conclusion, and phrases of phases.
+WARNINGS = (r"\b(?:don'?t|do not) (?:do|use|run|add|delete|remove)[^.\n]{0,80}", r"\b(?:avoid|never|skip|always) [^.\n]{3,80}", r"\bwarn(?:ing)?: [^.\n]{3,80}")
+CONCLUDING = ("done", "completed", "shipped", "wrote", "summary", "result", "task complete")
+PHASES = {
+    "shell": ("ran %d shell command", ""), "edit": ("edited %d file", ""), "read": ("read %d file", ""), "research": ("performed %d web research call", ""),
+    "delegate": ("delegated %d sub-task", ""), "tool": ("made %d tool call", ""),
+}
+NO_STEPS = "This rollout did not contain a coherent tool sequence to abstract into a procedure. Inspect the raw transcript before reusing it."
+
+
+def _phase(payload: P.Payload) -> Column:
+    """Which phase a call belongs to; null for what is no call of the assistant."""
+    kind = F.col("event_type")
+    name = F.lower(F.coalesce(F.nullif(P.field(payload, "name"), F.lit("")), P.field(payload, "tool_name"), F.lit("")))
+    tool = F.when(P.any_of(name, ("search", "fetch", "web")), "research").when(P.any_of(name, ("task", "agent")), "delegate").otherwise("tool")
+    named = F.when(kind == "command", "shell").when(kind == "file_edit", "edit").when(kind == "file_read", "read").when(kind == "tool_call", tool)
+    return F.when(F.col("actor") == "assistant", named)
+
 
-    changed = F.coalesce(F.lag("category").over(in_order()) != F.col("category"), F.lit(True))
-    rows = steps.withColumn("_new", changed).withColumn("run", islands(F.col("_new"))).where(F.col("run") <= runs)
-    phases = rows.groupBy(*SESSION, "run").agg(F.first("category").alias("category"), F.count("*").alias("n"))
-    lines = F.array_sort(F.collect_list(F.struct("run", F.concat("category", F.lit(" x"), F.col("n").cast("string")).alias("line"))))
-    warnings = steps.where("failed").groupBy(*SESSION).agg(F.slice(F.array_sort(F.collect_set("category")), 1, 5).alias("warnings"))
-    return phases.groupBy(*SESSION).agg(F.transform(lines, lambda x: x["line"]).alias("phases")).join(goals, list(SESSION), "left").join(warnings, list(SESSION), "left")
+def procedures(events: DataFrame, runs: int = 12) -> DataFrame:
+    """One procedure a session: its goal, preconditions, phases, warnings and outcome, with its scope and evidence.
+
+    Phases are runs of calls of one kind, the first ``runs``; warnings the first
+    five pieces of advice in messages; the outcome is the last message of the
+    assistant that concludes, else the last one.  A session without calls gives
+    a fallback of little confidence.
+    """
+    e = P.with_doc(events)
+    payload, none = P.payload(), F.lit("")
+    message, kind, actor = F.col("event_type") == "message", F.col("event_type"), F.col("actor")
+    text = X.event_text(payload, F.col("summary"))
+    flat = F.replace(X.strip(text), F.lit("\n"), F.lit(" "))
+    some = lambda *keys: F.coalesce(*[F.nullif(P.field(payload, k), none) for k in keys])
+    first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col("ord")))
+    last = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("ord")))
+    says = (actor == "assistant") & message
+    base = e.groupBy(*SESSION).agg(
+        first(F.when((actor == "user") & message & (flat != ""), X.truncate(flat, 200))).alias("goal"), first(some("cwd")).alias("_cwd"), first(some("gitBranch", "git_branch", "branch")).alias("_branch"),
+        first(some("cwd", "current_working_directory")).alias("origin_repo"), F.coalesce(last(F.when(says & P.any_of(F.lower(text), CONCLUDING), X.truncate(flat, 220))), last(F.when(says, X.truncate(flat, 220))), none).alias("outcome"),
+        F.count_if(kind == "file_edit").alias("_edits"), F.min_by("event_id", "ord").alias("_first"),
+    )
+
+    called = e.withColumn("phase", _phase(payload)).where("phase is not null").select(*SESSION, "ord", "phase")
+    own = Window.partitionBy(*SESSION).orderBy("ord")
+    new = F.coalesce(F.lag("phase").over(own) != F.col("phase"), F.lit(True))
+    numbered = called.withColumn("_new", new).withColumn("run", F.sum(F.col("_new").cast("int")).over(own)).where(F.col("run") <= runs)
+    counted = numbered.groupBy(*SESSION, "run").agg(F.first("phase").alias("phase"), F.count("*").alias("n"))
+    said = F.coalesce(*[F.when(F.col("phase") == p, F.format_string(words, "n")) for p, (words, _) in PHASES.items()])
+    line = F.concat(said, F.when(F.col("n") == 1, "").otherwise("s"))
+    steps = counted.groupBy(*SESSION).agg(F.transform(F.array_sort(F.collect_list(F.struct("run", line.alias("line")))), lambda x: x["line"]).alias("steps"))
+
+    advice = e.where(message).select(*SESSION, "ord", F.array(*[F.regexp_extract_all(text, F.lit(f"(?i)({p})"), 1) for p in WARNINGS]).alias("found"))
+    advice = advice.select(*SESSION, "ord", F.posexplode("found").alias("p", "found")).select(*SESSION, "ord", "p", F.posexplode("found").alias("at", "piece"))
+    piece = X.strip(F.regexp_replace(X.strip(F.col("piece")), r"\.+$", ""))
+    advice = advice.withColumn("piece", piece).where(F.length("piece").between(5, 139))
+    once = advice.groupBy(*SESSION, F.lower("piece").alias("_low")).agg(F.min(F.struct("ord", "p", "at", "piece")).alias("r"))
+    best = top_k(once, list(SESSION), [F.col("r")], 5)
+    warnings = best.groupBy(*SESSION).agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["piece"]).alias("warnings"))
+
+    proof = e.where(kind.isin("message", "command", "file_edit", "tool_call")).withColumn("_n", F.row_number().over(Window.partitionBy(*SESSION, "event_type").orderBy("ord"))).where("_n <= 2")
+    proof = proof.groupBy(*SESSION).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ord", "event_id"))), 1, 6), lambda x: x["event_id"]).alias("_refs"))
+
+    found = base.withColumn("_origin", F.col("origin_repo"))
+    edits = e.where(kind == "file_edit").join(found.select(*SESSION, "_origin"), list(SESSION))
+    inside = F.coalesce(F.lit(0) + F.coalesce(*[F.when(P.field(payload, f"input.{k}").contains(F.col("_origin")), 1) for k in ("file_path", "path", "file")], F.lit(0)), F.lit(0))
+    inside = inside + F.exists(X.object_keys(F.col("payload"), "changes"), lambda c: c.contains(F.col("_origin"))).cast("int")
+    local = edits.groupBy(*SESSION).agg(F.sum(F.coalesce(inside, F.lit(0))).alias("_local"))
+    df = found
+    for more in (steps, warnings, proof, local):
+        df = df.join(more, list(SESSION), "left")
+    empty = F.array().cast("array<string>")
+    n = F.coalesce(F.size("steps"), F.lit(0))
+    there = F.col("steps").isNotNull()
+    goal = F.coalesce("goal", none)
+    local_ = F.coalesce("_local", F.lit(0))
+    confidence = F.bround(F.least(F.lit(0.85), 0.45 + 0.05 * n + 0.05 * F.col("_edits")), 2)
+    reason = (
+        F.when(~there, "fallback when no procedure was extracted").when(F.col("origin_repo").isNull(), "no origin repo known; treating as task-shaped procedure")
+        .when(local_ == 0, "session has no file edits inside the origin repo").otherwise(F.format_string("procedure edits %d file(s) inside %s", local_, "origin_repo"))
+    )
+    before = F.array_compact(F.array(F.concat(F.lit("host="), "host"), F.concat(F.lit("cwd="), "_cwd"), F.concat(F.lit("git_branch="), "_branch")))
+    return df.select(
+        *SESSION, F.lit("procedure").alias("kind"),
+        F.when(~there, NO_STEPS).when(goal != "", F.concat(F.lit("Procedure for: "), goal)).otherwise("Procedure for this rollout's overall task").alias("text"),
+        F.when(~there, "Skip; insufficient evidence.").when(goal != "", F.concat(F.lit("Use when the user's request resembles: "), X.truncate(goal, 160))).otherwise("Use when starting a task with a similar overall shape.").alias("when_to_use"),
+        F.when(there, F.coalesce("_refs", empty)).otherwise(F.array("_first")).alias("evidence_refs"), F.when(there, confidence).otherwise(0.2).alias("confidence"),
+        F.when(~there, 1).when(n >= 3, 4).otherwise(2).alias("priority"), F.lit("medium").alias("risk"), F.when(there & F.col("origin_repo").isNotNull() & (local_ > 0), "repo").otherwise("task").alias("scope"),
+        reason.alias("scope_reason"), "origin_repo", F.when(there, F.struct(goal.alias("goal"), before.alias("preconditions"), "steps", F.coalesce("warnings", empty).alias("warnings"), "outcome")).alias("structured"),
+    )
 
 
 def refinements(events: DataFrame) -> DataFrame:
@@ -212,7 +296,26 @@ def refinements(events: DataFrame) -> DataFrame:
         parts = {"rule": name, "kind": kind, "text": says, "when_to_use": when, "confidence": confidence, "priority": priority, "risk": risk, "scope": scope, "scope_reason": reason}
         return F.when(F.col(name), F.struct(*[F.lit(v).alias(k) for k, v in parts.items()], F.col(f"{name}_refs").alias("evidence_refs")))
 
-    return found.select(*SESSION, F.inline(F.array_compact(F.array(*[candidate(name) for name in REFINEMENTS]))))
+    every = F.array_compact(F.array(*[candidate(name) for name in REFINEMENTS]))
+    return found.select(*SESSION, F.posexplode(every).alias("_place", "c")).select(*SESSION, "_place", "c.*")
+
+
+def risk_aware(candidates: DataFrame) -> DataFrame:
+    """The candidates that stay of each session and method, by rank: none of high risk or little confidence, none like one before, at most eight."""
+    from .memory import near_duplicates
+
+    keys = [*SESSION, "method"]
+    said = F.concat_ws(" ", "text", "when_to_use")
+    one = F.struct(*keys)  # a session's methods are filtered apart
+    rows = candidates.select(one.alias("session_id"), "id", "kind", said.alias("text"), "risk", "confidence", "priority")
+    kept = near_duplicates(rows).select("session_id.*", "rank", "id")
+    return candidates.drop("rank").join(kept, [*keys, "id"])
+
+
+METHODS |= {"refine": refinements, "skills": skills, "procedures": procedures}
+FILTERS["risk_aware"] = risk_aware
 
 
-METHODS |= {"refine": refinements, "skills": skills}
+def model_method(answers: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A method that takes what a model has answered to ``prompts``, for METHODS; sessions of the events only."""
+    return lambda events: validated(answers).join(events.select(*SESSION).distinct(), list(SESSION), "left_semi")

@@ -44,28 +44,51 @@ def transcript(events: DataFrame) -> DataFrame:
     return body.join(header, list(SESSION)).select(*SESSION, F.concat_ws("\n\n", title, "_counts", "_body").alias("markdown"))
 
 
-def ranked_table(rates: DataFrame, key: str, k: int) -> DataFrame:
-    """The ``k`` most used of all hosts as lines of a Markdown table (rank, line)."""
-    best = top_k(rates.where("host = 'total'"), ["host"], [F.desc("n"), F.col(key)], k)
-    line = F.format_string("| %s | %d | %d | %.1f%% |", F.col(key), F.col("n"), F.col("fails"), F.col("fails") / F.col("n") * 100)
-    return best.select("rank", line.alias("line"))
+#: Headings of the analysis report, and the columns of its tables.
+ANALYSIS_HEAD = (
+    "# Command & Tool Use Analysis Report", "", "This report analyzes command execution, tool usage, and transition patterns ", "across all capture agent sessions.", "",
+    "## Overview Summary", "", "| Host | Sessions | Total Commands | Command Failure Rate | Total Tool Calls | Tool Failure Rate |", "|---|---|---|---|---|---|",
+)
+ANALYSIS_TABLES = (("Top Base Commands", "Base Command", "base_command"), ("Top Full Command Lines", "Command Line", "command_line"), ("Top Tool Calls", "Tool Name", "tool"))
+TRANSITIONS_HEAD = ("", "## Action Transition Patterns", "", "| From Event Type | To Event Type | Occurrences |", "|---|---|---|")
 
 
-def analysis(overview: DataFrame, tables: dict[str, DataFrame], k: int = 15) -> DataFrame:
+def _percent(part: Column, whole: Column) -> Column:
+    return F.format_string("%.1f%%", F.bround(F.when(whole > 0, part / whole * 100).otherwise(0.0), 1))
+
+
+def analysis(events: DataFrame, calls: DataFrame, hosts: tuple[str, ...], k: int = 15) -> DataFrame:
     """The analysis report, (section, rank, line), to be written in this order.
 
-    ``overview`` has name and value; ``tables`` give a title the (key, host, n,
-    fails) counts of commands, command lines or tools, of which the ``k`` most
-    used are shown (15 in the report, 10 on a console).
+    An overview by host and of all, then the ``k`` most frequent base commands,
+    command lines and tools by host with how many failed (``calls`` as joins.calls
+    gives them), and the transitions between event types.  Ties go by name and host.
     """
-    parts = [overview.select(F.lit(0).alias("section"), F.row_number().over(Window.orderBy("name")).alias("rank"), F.concat(F.lit("- **"), F.col("name"), F.lit(":** "), F.col("value").cast("string")).alias("line"))]
-    for i, (title, rates) in enumerate(tables.items(), 1):
-        head = rates.sparkSession.createDataFrame([(0, f"## {title}")], "rank int, line string")
-        parts.append(head.unionByName(ranked_table(rates, rates.columns[0], k)).select(F.lit(i).alias("section"), "rank", "line"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    spark = events.sparkSession
+    fixed = lambda section, lines: spark.createDataFrame([(section, i - len(lines), line) for i, line in enumerate(lines)], "section int, rank int, line string")
+    # commands without a line count as tools only
+    command = F.col("is_command") & F.col("command_line").isNotNull()
+    both = lambda df: df.where(F.col("host").isin(*hosts)).withColumn("host", F.explode(F.array(F.col("host"), F.lit("total"))))
+    counted = both(calls).groupBy("host").agg(F.count_if(command).alias("c"), F.count_if(command & F.col("failed")).alias("cf"), F.count("*").alias("t"), F.count_if("failed").alias("tf"))
+    sessions = both(events.select(*SESSION).distinct()).groupBy("host").agg(F.count("*").alias("s"))
+    place = spark.createDataFrame([(h, i + 1) for i, h in enumerate((*hosts, "total"))], "host string, rank int")
+    known = place.join(sessions, "host", "left").join(counted, "host", "left").fillna(0)
+    label = F.when(F.col("host") == "total", "Total (All Hosts)").otherwise(F.col("host"))
+    line = F.format_string("| %s | %d | %d | %s | %d | %s |", label, "s", "c", _percent(F.col("cf"), F.col("c")), "t", _percent(F.col("tf"), F.col("t")))
+    out = fixed(0, ANALYSIS_HEAD).unionByName(known.select(F.lit(0).alias("section"), "rank", line.alias("line")))
+    for i, (title, column, key) in enumerate(ANALYSIS_TABLES, 1):
+        used = calls.where(F.col("host").isin(*hosts)).where(F.lit(True) if key == "tool" else command)
+        n = used.groupBy(F.col(key).alias("key"), "host").agg(F.count("*").alias("n"), F.count_if("failed").alias("f"))
+        best = top_k(n.withColumn("_all", F.lit(0)), ["_all"], [F.desc("n"), F.col("key"), F.col("host")], k)
+        shown = F.when(F.length("key") > 60, F.concat(F.substring("key", 1, 57), F.lit("..."))).otherwise(F.col("key")) if key == "command_line" else F.col("key")
+        line = F.format_string("| `%s` | %s | %d | %s |", shown, "host", "n", _percent(F.col("f"), F.col("n")))
+        out = out.unionByName(fixed(i, ("", f"## {title}", "", f"| {column} | Host | Executions | Failure Rate |", "|---|---|---|---|"))).unionByName(best.select(F.lit(i).alias("section"), "rank", line.alias("line")))
+    before = F.lag("event_type").over(Window.partitionBy(*SESSION).orderBy("ord"))
+    steps = events.where(F.col("host").isin(*hosts)).select(before.alias("a"), F.col("event_type").alias("b")).where("a is not null").groupBy("a", "b").agg(F.count("*").alias("n"))
+    best = top_k(steps.withColumn("_all", F.lit(0)), ["_all"], [F.desc("n"), F.col("a"), F.col("b")], k)
+    last = len(ANALYSIS_TABLES) + 1
+    out = out.unionByName(fixed(last, TRANSITIONS_HEAD)).unionByName(best.select(F.lit(last).alias("section"), "rank", F.format_string("| %s | %s | %d |", "a", "b", "n").alias("line")))
+    return out.unionByName(fixed(last + 1, ("",)))
 
 
 def signal_summary(aggregates: DataFrame, histogram: DataFrame) -> DataFrame:

@@ -83,6 +83,41 @@ SESSION_EVENTS_SQL = f"""{{steps}}, se AS (
   FROM (SELECT *, CAST(split_part(fp, ':', 2) AS INTEGER) AS k FROM ev))""".replace("{steps}", STEPS_SQL)
 
 
+#: Fixed values of the second event view: actor, type, summary and payload by kind; @k is the number of the props, @m its rest by 3.
+KINDS_OF_EVENTS = (
+    ("user", "message", "do @k", '{"text":"please don\'t use tabs in f@k. Always run tests @k"}'),
+    ("assistant", "message", "said @k", '{"text":"Done: wrote report @k"}'),
+    ("tool", "tool_result", "tool_result: Bash", '{"output":"Process exited with code @m","is_error":false}'),
+    ("assistant", "file_edit", "Edit", '{"name":"Edit","input":{"file_path":"/srv/p/src/a@k.py"},"gitBranch":"b@k"}'),
+    ("assistant", "file_read", "Read", '{"name":"Read","input":{"file_path":"/srv/p/r@k.py"}}'),
+    ("assistant", "reasoning", "thought @k", '{"thinking":"look at @k"}'),
+    ("assistant", "command", "Bash", '{"name":"Bash","cwd":"/srv/p","input":{"command":"export TOKEN=\\"abcdefghijkl@k\\""}}'),
+    ("assistant", "tool_call", "WebSearch(query=q@k)", '{"name":"WebSearch","input":{"query":"q@k"}}'),
+    ("system", "unknown", "unknown: type=t@k", '{"type":"t@k"}'),
+    ("system", "message", "request was canceled @k", '{"message":"note @k"}'),
+    ("assistant", "tool_call", "Task", '{"name":"Task","input":{"n":@k}}'),
+    ("assistant", "command", "Bash", '{"name":"Bash","input":{"command":"pytest -q tests/a_test_with_quite_a_long_name_for_a_table_@k.py"}}'),
+)
+
+
+def typed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of all kinds, one session a user: every third has only the first five, the others have web searches, secrets, interruptions, thoughts and unknown ones, too."""
+    e = event_steps(spark, sf_dir).withColumn("k", F.substring_index("fp", ":", -1).cast("int"))
+    kind = F.when(F.col("session_id").cast("long") % 3 == 0, F.col("k") % 5).otherwise(F.col("k") % len(KINDS_OF_EVENTS))
+    filled = lambda t: F.replace(F.replace(F.lit(t), F.lit("@k"), F.col("k").cast("string")), F.lit("@m"), (F.col("k") % 3).cast("string"))
+    pick = lambda i: F.element_at(F.array(*[filled(row[i]) for row in KINDS_OF_EVENTS]), kind + 1)
+    return e.select(
+        "host", "session_id", F.col("idx").alias("ord"), F.col("event_id").cast("string").alias("event_id"), "ts", "k", pick(0).alias("actor"), pick(1).alias("event_type"), pick(2).alias("summary"),
+        pick(3).alias("payload"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.lit(None).cast("string").alias("parent_event_id"),
+    )
+
+
+_PICK = lambda i: "CASE kind " + " ".join(f"WHEN {n} THEN '" + row[i].replace("'", "''") + "'" for n, row in enumerate(KINDS_OF_EVENTS)) + " END"
+_FILLED = lambda i: f"replace(replace({_PICK(i)}, '@k', CAST(k AS VARCHAR)), '@m', CAST(k % 3 AS VARCHAR))"
+TYPED_EVENTS_SQL = f"""{STEPS_SQL}, te AS (SELECT host, session_id, idx AS ord, event_id, ts, k, {_PICK(0)} AS actor, {_PICK(1)} AS event_type, {_FILLED(2)} AS summary, CAST({_FILLED(3)} AS JSON) AS payload, {_FILLED(3)} AS raw
+  FROM (SELECT *, CASE WHEN CAST(session_id AS BIGINT) % 3 = 0 THEN k % 5 ELSE k % {len(KINDS_OF_EVENTS)} END AS kind FROM (SELECT *, CAST(split_part(fp, ':', 2) AS INTEGER) AS k FROM ev)))"""
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as message events: session_id, ord, actor, text."""
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ord"), F.col("role").alias("actor"), "text")

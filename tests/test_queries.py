@@ -7,11 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from loomlog.plans import event_queries, portfolio_queries, session_queries, trajectory_queries
+from loomlog.plans import event_queries, trajectory_queries
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = trajectory_queries.QUERIES | portfolio_queries.QUERIES | event_queries.QUERIES | session_queries.QUERIES
-SQL = trajectory_queries.ORACLE_SQL | portfolio_queries.ORACLE_SQL | event_queries.ORACLE_SQL | session_queries.ORACLE_SQL
+QUERIES = {name: query for plan in entry.PLANS for name, query in plan.QUERIES.items()}
+SQL = {name: sql for plan in entry.PLANS for name, sql in plan.ORACLE_SQL.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 
 

@@ -5,7 +5,7 @@ import sqlite3
 
 import pytest
 
-from loomlog.operators import accounting, memory, mining, reports, signals
+from loomlog.operators import accounting, joins, memory, mining, reports, signals
 from loomlog.operators import portfolio as R
 from loomlog.sources import discovery as D
 from loomlog.sources import transcripts as T
@@ -31,10 +31,7 @@ def test_transcript(spark, events):
 
 
 def test_analysis_and_files(spark, events, tmp_path):
-    rates = spark.createDataFrame([("ls", "total", 4, 1), ("rg", "total", 9, 0), ("rg", "h", 9, 0)], "tool string, host string, n long, fails long")
     overview = spark.createDataFrame([("sessions", 2)], "name string, value int")
-    lines = [r["line"] for r in reports.analysis(overview, {"Tools": rates}, 10).orderBy("section", "rank").collect()]
-    assert lines == ["- **sessions:** 2", "## Tools", "| rg | 9 | 0 | 0.0% |", "| ls | 4 | 1 | 25.0% |"]
     r = signals.readings(signals.measure(events, ["command_count", "capture_gap_signal"]))
     a = signals.aggregate(r)
     reports.write_signals(r, a, reports.signal_summary(a, signals.histogram(r)), str(tmp_path / "s"))
@@ -42,10 +39,39 @@ def test_analysis_and_files(spark, events, tmp_path):
     parts = {r["part"] for r in reports.dashboard(overview, totals=R.experiments(a)).collect()}
     assert parts == {"sessions", "totals"}
     found = mining.mine(events, "refine")
-    reports.write_mined(found, reports.prompt_block(found.withColumnRenamed("rule", "id").withColumn("origin_repo", found["scope"])), str(tmp_path / "m"))
+    reports.write_mined(found, reports.prompt_block(found.withColumn("origin_repo", found["scope"])), str(tmp_path / "m"))
     assert spark.read.text(str(tmp_path / "m/blocks")).where("value like '<memories%'").count() == 2
 
 
+def test_analysis(spark):
+    rows = [("h", "a", "Bash", "ls -la", 0), ("h", "a", "Bash", "ls", 1), ("h", "b", "Read", None, 0), ("i", "c", "Bash", "x" * 61, 1), ("other", "d", "Bash", "ls", 1)]
+    both = []
+    for i, (host, session, tool, line, code) in enumerate(rows):
+        payload = {"name": tool, "input": {"command": line}} if line else {"name": tool, "input": {}}
+        both.append((host, session, 2 * i, f"c{i}", "assistant", "command" if line else "file_read", tool, json.dumps(payload | {"call_id": f"k{i}"}), None))
+        both.append((host, session, 2 * i + 1, f"r{i}", "tool", "tool_result", "", json.dumps({"call_id": f"k{i}", "output": f"Process exited with code {code}"}), None))
+    df = spark.createDataFrame(both, "host string, session_id string, ord long, event_id string, actor string, event_type string, summary string, payload string, parent_event_id string")
+    lines = [r.line for r in reports.analysis(df, joins.calls(df), ("h", "i", "none")).orderBy("section", "rank").collect()]
+    assert lines[:5] == list(reports.ANALYSIS_HEAD[:5]) and lines[9:13] == ["| h | 2 | 2 | 50.0% | 3 | 33.3% |", "| i | 1 | 1 | 100.0% | 1 | 100.0% |", "| none | 0 | 0 | 0.0% | 0 | 0.0% |", "| Total (All Hosts) | 3 | 3 | 66.7% | 4 | 50.0% |"]
+    assert "| `ls` | h | 2 | 50.0% |" in lines and f"| `{'x' * 57}...` | i | 1 | 100.0% |" in lines and "| `Read` | h | 1 | 0.0% |" in lines
+    at = lines.index("## Action Transition Patterns")
+    assert lines[at + 4 :] == ["| command | tool_result | 3 |", "| file_read | tool_result | 1 |", "| tool_result | command | 1 |", ""]
+
+
+def test_mining_to_the_end(spark, events):
+    found = mining.mine(events, "refine", ("risk_aware",)).collect()
+    assert found and all(r["id"].startswith(f"{r['session_id']}:refine:") and r["risk"] != "high" for r in found)
+    answers = spark.createDataFrame([("h", "s", json.dumps({"candidates": [{"text": "run tests first", "when_to_use": "always", "risk": r, "confidence": c} for r, c in (("low", 0.9), ("high", 0.9), ("low", 0.1), ("medium", 0.8))]})), ("h", "gone", "{}")], "host string, session_id string, answer string")
+    mining.register(mining.METHODS, "model")(mining.model_method(answers))
+    try:
+        kept = mining.mine(events, "model", ("risk_aware",)).collect()
+        assert [(r["id"], r["rank"]) for r in kept] == [("s:model:1", 1)]  # the last one is like the first
+        for method in mining.METHODS:
+            assert "id" in mining.mine(events, method).columns
+    finally:
+        del mining.METHODS["model"]
+
+
 def test_mining_registry(spark, events):
     for bad in (("nobody", ()), ("refine", ("nobody",))):
         with pytest.raises(KeyError):

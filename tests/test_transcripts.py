@@ -115,9 +115,10 @@ def test_mining(spark, folder):
     assert len(found) == 1 and found[0]["edits"] == 1 and found[0]["calls"] == 3 and found[0]["activation"] == "Please fix the parser" and found[0]["text"] == "Skill: investigate and patch a bug"
     assert mining.compact(events, 2, 1).count() == 3
     assert {r["rule"] for r in mining.refinements(events).collect()} <= set(mining.REFINEMENTS)
-    steps = trajectory.build(events)
-    goals = events.where("actor = 'user' and event_type = 'message'").groupBy("host", "session_id").agg(F.min_by("summary", "ord").alias("goal"))
-    assert mining.procedures(steps, goals).first()["phases"] == ["explore x1", "generate_fix x1", "run_tests x1"]
+    made = mining.procedures(events).first()
+    assert made["structured"]["steps"] == ["read 1 file", "edited 1 file", "ran 1 shell command"] and made["structured"]["goal"] == "Please fix the parser" and made["confidence"] == 0.7 and made["priority"] == 4
+    bare = mining.procedures(events.where("actor = 'user'")).first()
+    assert bare["text"] == mining.NO_STEPS and bare["confidence"] == 0.2 and bare["structured"] is None and len(bare["evidence_refs"]) == 1
 
 
 def test_events_round_trip(spark, folder, tmp_path):
