@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomlog.llm import components, fingerprints, jaccard_join, language_id, line_rules, nbest, packing, passages, toxicity, urls, wrappers
@@ -241,7 +242,8 @@ def test_passages_of_several_documents_are_none(spark):
 
 def test_passages_that_overlap_are_removed(spark):
     docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(200)))], DOCS)
-    spans = spark.createDataFrame([(1, 10, 70, 0, True), (1, 68, 150, 0, True), (1, 150, 200, 0, True)], passages.SPANS)
+    key = docs.select(F.xxhash64("text")).first()[0]
+    spans = spark.createDataFrame([(1, 10, 70, 0, True, key), (1, 68, 150, 0, True, key), (1, 150, 200, 0, True, key), (1, 0, 9, 0, True, key + 1)], passages.SPANS)
     assert passages.remove(docs, spans).collect()[0]["text"].split() == [f"w{i}" for i in range(10)]
 
 
