@@ -68,6 +68,7 @@ def scan(rows: DataFrame, keys: tuple[str, ...] = SESSION, order: tuple[str, ...
     place = F.struct(*order)
     sums, carried, local = [], {}, {}
     own = Window.partitionBy(*keys, "_part").orderBy(*order)
+    back = Window.partitionBy(*keys, "_part").orderBy(*[F.desc(o) for o in order])  # a frame up to the end would be read again for each row
     for name, c in columns.items():
         value, there = F.col(f"_v_{name}"), F.col(f"_s_{name}")
         if isinstance(c, Total):
@@ -81,7 +82,7 @@ def scan(rows: DataFrame, keys: tuple[str, ...] = SESSION, order: tuple[str, ...
         else:
             sums.append(F.min_by(value, F.when(value.isNotNull(), place)).alias(f"_s_{name}"))
             carried[name] = F.first(there, True).over(of.rowsBetween(1, Window.unboundedFollowing))
-            local[name] = F.first(value, True).over(own.rowsBetween(1 if c.behind else 0, Window.unboundedFollowing))
+            local[name] = F.last(value, True).over(back.rowsBetween(Window.unboundedPreceding, -1 if c.behind else 0))
     summaries = durable(group.agg(*sums)).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_k_part"), *[c.alias(f"_c_{n}") for n, c in carried.items()])
     if summaries.limit(MAX_SUMMARIES + 1).count() <= MAX_SUMMARIES:
         summaries = F.broadcast(summaries)

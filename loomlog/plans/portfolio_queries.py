@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import accounting as A
 from ..operators import portfolio as R
+from ..operators import sketches as K
+from ..sources.folders import new_folder
 from ..sources.views import HOST_A, HOST_B, STEPS_SQL, USAGE_SQL, event_steps, table, usage
 
 
@@ -107,6 +109,14 @@ def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.join(top, ["host", "session_id"])
 
 
+def merged_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values by event type: sketches a day, stored, and merged again."""
+    e = event_steps(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    path = new_folder(spark, "sketches")
+    K.add_days(K.sketched(e, ["event_type", "day"], "value"), path)
+    return K.aggregates(spark.read.parquet(path), ["event_type"])
+
+
 QUERIES = {
     "model_rates": model_rates,
     "bucket_costs": bucket_costs,
@@ -121,6 +131,7 @@ QUERIES = {
     "grouping_sets": grouping,
     "session_diagnostics": diagnostics,
     "session_histograms": histograms,
+    "merged_percentiles": merged_percentiles,
 }
 
 _RATES = """rates AS (SELECT key, tier, input, input * 1.25 AS cache_create, input / 8 AS cache_read, input * 4 AS output FROM (

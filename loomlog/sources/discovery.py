@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-import sqlite3
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .plugins import register
+
 #: Lines in which a rollout file must name its session.
 HEAD_LINES = 8
 
@@ -49,12 +50,9 @@ def rollout_sessions(lines: DataFrame) -> DataFrame:
 
 
 def threads(spark: SparkSession, database: str) -> DataFrame:
-    """The threads table of a SQLite file, latest first; a file of a few thousand rows at most, read by the driver."""
-    with sqlite3.connect(f"file:{database}?mode=ro", uri=True) as db:
-        cursor = db.execute("SELECT * FROM threads ORDER BY updated_at DESC")
-        names = [c[0] for c in cursor.description]
-        rows = [tuple(None if v is None else str(v) for v in row) for row in cursor]
-    return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
+    """The threads table of a SQLite file, latest first; read by tasks, in ranges of rows."""
+    register(spark)
+    return spark.read.format("sqlite").options(path=database, table="threads").load().orderBy(F.desc("updated_at"))
 
 
 def spawn_edges(edges: DataFrame, threads_: DataFrame, key: str = "thread_id") -> DataFrame:
