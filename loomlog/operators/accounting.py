@@ -103,14 +103,19 @@ def rates_for(models: DataFrame, rates: DataFrame) -> DataFrame:
     return m.join(found, "model", "left").fillna(0.0, list(PRICES))
 
 
-def price(buckets: DataFrame, rates: DataFrame) -> DataFrame:
+def price(buckets: DataFrame, rates: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """Buckets with the cost of each category and their sum.
 
     Of host B the input holds the cached tokens, which are taken off first.
+    ``models``, if given, has every model of the buckets, so that these are read
+    once; others may be in it.
     """
+    known = rates_for(buckets if models is None else models, rates)
+    if models is not None and models.select("model").distinct().limit(MAX_RATES + 1).count() <= MAX_RATES:
+        known = F.broadcast(known)
     fresh = F.when(F.col("host") == "codex", F.greatest(F.lit(0), F.col("input_tokens") - F.col("cached_input_tokens"))).otherwise(F.col("input_tokens"))
     counts = {"input": fresh, "cache_create": F.col("cache_creation_tokens"), "cache_read": F.col("cached_input_tokens"), "output": F.col("output_tokens")}
-    df = buckets.join(rates_for(buckets, rates), "model")
+    df = buckets.join(known, "model")
     df = df.select(*buckets.columns, *[(n * F.col(c) / 1e6).alias(f"cost_{c}") for c, n in counts.items()])
     return df.withColumn("cost", sum((F.col(f"cost_{c}") for c in PRICES[1:]), F.col(f"cost_{PRICES[0]}")))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as X
+from .prefix import Total, scan
 from .windows import SESSION, so_far
 
 
@@ -66,6 +67,19 @@ def within(points: DataFrame, spans: DataFrame, key: str, width_seconds: int = 3
     return cut.join(dealt, [key, "_bucket"]).where(F.col("ts").between(F.col("start"), F.col("end"))).drop("_bucket")
 
 
+def count_within(points: DataFrame, spans: DataFrame, key: str, ids: list[str]) -> DataFrame:
+    """(ids, n): how many points (key, ts) each span (key, start, end, ids) holds, ends included; spans that hold none have 0.
+
+    A span's points are those up to its end less those before its start, so the
+    work is that of putting points and ends in order, whatever the spans hold.
+    """
+    of = lambda rows, ts, at, named: rows.select(key, F.col(ts).alias("ts"), F.lit(at).alias("at"), *[(F.col(c) if named else F.lit(None).cast(spans.schema[c].dataType)).alias(c) for c in ids])
+    fine = spans.where("start <= end")
+    rows = of(fine, "start", 0, True).unionByName(of(points, "ts", 1, False)).unionByName(of(fine, "end", 2, True)).where(F.col(key).isNotNull() & F.col("ts").isNotNull())
+    counted = scan(rows, (key,), ("ts", "at"), _upto=Total((F.col("at") == 1).cast("int"))).where("at <> 1")
+    return counted.groupBy(*ids).agg(F.sum(F.when(F.col("at") == 2, F.col("_upto")).otherwise(-F.col("_upto"))).alias("n"))
+
+
 def new_rows(found: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Sources that are not imported yet, or have grown or changed since (size, mtime)."""
     have = known.select(key, F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))

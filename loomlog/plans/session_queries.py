@@ -240,8 +240,8 @@ def session_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits made during each session, orders standing for commits: the signal's value, null where the session has no times."""
     s = event_steps(spark, sf_dir).groupBy(*KEYS).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("ts").alias("n"))
     spans = s.where("n >= 2").select(*KEYS, (F.col("session_id").cast("long") % 5).alias("repo"), "start", "end")
-    commits = event_steps(spark, sf_dir).where("category = 'run_tests'").select((F.col("session_id").cast("long") % 5).alias("repo"), "ts", "event_id")
-    made = J.within(commits, spans, "repo", 86_400).groupBy(*KEYS).agg(F.count("*").alias("made"))
+    commits = event_steps(spark, sf_dir).where("category = 'run_tests'").select((F.col("session_id").cast("long") % 5).alias("repo"), "ts")
+    made = J.count_within(commits, spans, "repo", KEYS).withColumnRenamed("n", "made")
     return s.join(made, KEYS, "left").select(*KEYS, F.when(F.col("n") >= 2, F.coalesce("made", F.lit(0))).alias("git_commits_made_during"))
 
 

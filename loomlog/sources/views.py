@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -161,16 +163,27 @@ MEMORIES_SQL = """mem AS (
   FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id)"""
 
 
+PART_MODEL = F.lower(F.concat_ws("-", "p_brand", "p_type"))
+#: Order lines that a task joins and sums up, about.
+LINES = 300_000
+
+
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as token buckets of sessions: one order a session, one brand a model."""
-    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    li = li.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    """Order lines as token buckets of sessions: one order a session, one brand a model.
+
+    Tasks are as many as the lines ask for, so that none grows with the table;
+    a session's lines end up in one of them, and sums by session need no shuffle.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(li.count() / LINES))
+    li = li.repartition(n, "l_partkey").join(table(spark, sf_dir, "part").repartition(n, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+    li = li.repartition(n, "l_orderkey").join(table(spark, sf_dir, "orders").repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return li.select(
         F.when(F.col("o_orderkey") % 2 == 0, HOST_A).otherwise(HOST_B).alias("host"),
         F.col("o_orderkey").alias("session_id"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
         (F.col("o_custkey") % 50).alias("project"),
-        F.lower(F.concat_ws("-", "p_brand", "p_type")).alias("model"),
+        PART_MODEL.alias("model"),
         (F.col("l_quantity").cast("long") * 1000).alias("input_tokens"),
         (F.col("l_linenumber").cast("long") * 100).alias("output_tokens"),
         (F.col("l_suppkey") * 10).alias("cached_input_tokens"),

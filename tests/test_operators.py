@@ -233,3 +233,18 @@ def test_costs_of_a_day_do_not_depend_on_the_order_of_its_sessions(spark, monkey
     for order in ("session_id", "-session_id", "cost"):
         monkeypatch.setattr(Q, "_sessions", lambda *_: rows.coalesce(1).sortWithinPartitions(F.expr(order)))
         assert Q.by_day(spark, "").first()["cost"] == sum(units)
+
+
+def test_points_are_counted_without_a_row_for_each_pair(spark):
+    rnd = random.Random(3)
+    at = lambda c: F.timestamp_seconds(c)
+    points = [(rnd.choice("ab"), rnd.randrange(40)) for _ in range(60)] + [(None, 3), ("a", None)]
+    spans = [(rnd.choice("abc"), str(i), x := rnd.randrange(40), x + rnd.choice([-1, 0, 5, 30])) for i in range(30)]
+    p = spark.createDataFrame(points, "key string, t long").select("key", at("t").alias("ts"))
+    s = spark.createDataFrame(spans, "key string, id string, a long, b long").select("key", "id", at("a").alias("start"), at("b").alias("end"))
+    got = {r["id"]: r["n"] for r in joins.count_within(p, s, "key", ["id"]).collect()}
+    assert got == {i: sum(k == q and t is not None and a <= t <= b for q, t in points) for k, i, a, b in spans if a <= b}
+    n = 30_000  # 900,000,000 pairs
+    many = spark.range(n).select(F.lit("k").alias("key"), at("id").alias("ts"))
+    wide = spark.range(n).select(F.lit("k").alias("key"), "id", at(F.lit(0)).alias("start"), at(F.lit(n)).alias("end"))
+    assert joins.count_within(many, wide, "key", ["id"]).agg(F.min("n"), F.max("n"), F.count("*")).first() == (n, n, n)
