@@ -163,11 +163,14 @@ MEMORIES_SQL = """mem AS (
   FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id)"""
 
 
-PART_MODEL = F.lower(F.concat_ws("-", "p_brand", "p_type"))
 #: Order lines that a task joins and sums up, about.
 LINES = 300_000
 
 
+def part_model() -> Column:
+    return F.lower(F.concat_ws("-", "p_brand", "p_type"))
+
+
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as token buckets of sessions: one order a session, one brand a model.
 
@@ -183,7 +186,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("session_id"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
         (F.col("o_custkey") % 50).alias("project"),
-        PART_MODEL.alias("model"),
+        part_model().alias("model"),
         (F.col("l_quantity").cast("long") * 1000).alias("input_tokens"),
         (F.col("l_linenumber").cast("long") * 100).alias("output_tokens"),
         (F.col("l_suppkey") * 10).alias("cached_input_tokens"),

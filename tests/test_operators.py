@@ -248,3 +248,15 @@ def test_points_are_counted_without_a_row_for_each_pair(spark):
     many = spark.range(n).select(F.lit("k").alias("key"), at("id").alias("ts"))
     wide = spark.range(n).select(F.lit("k").alias("key"), "id", at(F.lit(0)).alias("start"), at(F.lit(n)).alias("end"))
     assert joins.count_within(many, wide, "key", ["id"]).agg(F.min("n"), F.max("n"), F.count("*")).first() == (n, n, n)
+
+
+def test_tasks_of_usage_are_as_many_as_its_lines_ask_for(spark, monkeypatch):
+    from loomlog.plans import portfolio_queries
+    from loomlog.sources import views
+
+    monkeypatch.setattr(views, "LINES", 200)
+    folder = "/root/testdata/sf0.001"
+    rows = views.usage(spark, folder)
+    assert rows.rdd.getNumPartitions() == -(-views.table(spark, folder, "lineitem").count() // 200)
+    plan = portfolio_queries.bucket_costs(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("relation [l_orderkey") == 1  # read once
