@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as X
+from ..sources.folders import durable
 from .windows import SESSION, top_k, turns
 
 #: Fixed values.
@@ -201,10 +202,11 @@ def procedures(events: DataFrame, runs: int = 12) -> DataFrame:
     assistant that concludes, else the last one.  A session without calls gives
     a fallback of little confidence.
     """
-    e = P.with_doc(events)
+    # read for each of the parts below, and parsed once for all
+    e = durable(P.with_doc(events).withColumn("_text", X.event_text(P.payload(), F.col("summary"))))
     payload, none = P.payload(), F.lit("")
     message, kind, actor = F.col("event_type") == "message", F.col("event_type"), F.col("actor")
-    text = X.event_text(payload, F.col("summary"))
+    text = F.col("_text")
     flat = F.replace(X.strip(text), F.lit("\n"), F.lit(" "))
     some = lambda *keys: F.coalesce(*[F.nullif(P.field(payload, k), none) for k in keys])
     first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col("ord")))
@@ -304,6 +306,7 @@ def risk_aware(candidates: DataFrame) -> DataFrame:
     """The candidates that stay of each session and method, by rank: none of high risk or little confidence, none like one before, at most eight."""
     from .memory import near_duplicates
 
+    candidates = durable(candidates)  # read twice, and dear to make again
     keys = [*SESSION, "method"]
     said = F.concat_ws(" ", "text", "when_to_use")
     one = F.struct(*keys)  # a session's methods are filtered apart
