@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.folders import durable
 from .windows import SESSION, top_k
 
 #: Characters of a message, a result, an input and a JSON value that a transcript shows.
@@ -68,8 +69,11 @@ def analysis(events: DataFrame, calls: DataFrame, hosts: tuple[str, ...], k: int
     fixed = lambda section, lines: spark.createDataFrame([(section, i - len(lines), line) for i, line in enumerate(lines)], "section int, rank int, line string")
     # commands without a line count as tools only
     command = F.col("is_command") & F.col("command_line").isNotNull()
+    # all tables sum up these counts, so that calls are matched with their results once
+    calls = durable(calls.groupBy("host", "tool", "is_command", "command_line", "base_command").agg(F.count("*").alias("_n"), F.count_if("failed").alias("_f")))
+    total = lambda c, when=None: F.coalesce(F.sum(F.col(c) if when is None else F.when(when, F.col(c))), F.lit(0))
     both = lambda df: df.where(F.col("host").isin(*hosts)).withColumn("host", F.explode(F.array(F.col("host"), F.lit("total"))))
-    counted = both(calls).groupBy("host").agg(F.count_if(command).alias("c"), F.count_if(command & F.col("failed")).alias("cf"), F.count("*").alias("t"), F.count_if("failed").alias("tf"))
+    counted = both(calls).groupBy("host").agg(total("_n", command).alias("c"), total("_f", command).alias("cf"), total("_n").alias("t"), total("_f").alias("tf"))
     sessions = both(events.select(*SESSION).distinct()).groupBy("host").agg(F.count("*").alias("s"))
     place = spark.createDataFrame([(h, i + 1) for i, h in enumerate((*hosts, "total"))], "host string, rank int")
     known = place.join(sessions, "host", "left").join(counted, "host", "left").fillna(0)
@@ -78,7 +82,7 @@ def analysis(events: DataFrame, calls: DataFrame, hosts: tuple[str, ...], k: int
     out = fixed(0, ANALYSIS_HEAD).unionByName(known.select(F.lit(0).alias("section"), "rank", line.alias("line")))
     for i, (title, column, key) in enumerate(ANALYSIS_TABLES, 1):
         used = calls.where(F.col("host").isin(*hosts)).where(F.lit(True) if key == "tool" else command)
-        n = used.groupBy(F.col(key).alias("key"), "host").agg(F.count("*").alias("n"), F.count_if("failed").alias("f"))
+        n = used.groupBy(F.col(key).alias("key"), "host").agg(total("_n").alias("n"), total("_f").alias("f"))
         best = top_k(n.withColumn("_all", F.lit(0)), ["_all"], [F.desc("n"), F.col("key"), F.col("host")], k)
         shown = F.when(F.length("key") > 60, F.concat(F.substring("key", 1, 57), F.lit("..."))).otherwise(F.col("key")) if key == "command_line" else F.col("key")
         line = F.format_string("| `%s` | %s | %d | %s |", shown, "host", "n", _percent(F.col("f"), F.col("n")))

@@ -142,3 +142,11 @@ def test_usage_of_turns(spark):
     totals = spark.createDataFrame([("h", "s", *(1,) * 6), ("h", "t", *(2,) * 6), ("h", "u", *(0,) * 6)], f"host string, session_id string, {', '.join(f'{c} long' for c in accounting.COUNTERS)}")
     models = spark.createDataFrame([("h", "t", None)], "host string, session_id string, cost_model string")
     assert {(r["session_id"], r["model"]) for r in accounting.fallback_bucket(buckets, totals, models).collect()} == {("s", "m"), ("t", "unknown")}
+
+
+@pytest.mark.parametrize("name,most", [("procedures", 0), ("analysis_report", 2)])
+def test_what_several_parts_of_a_report_read_is_made_once(spark, name, most):
+    from loomlog.plans import report_queries
+
+    plan = report_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [event_id") <= most
