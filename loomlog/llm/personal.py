@@ -40,8 +40,10 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
-#: Where a span can be: each has a digit, an at sign, or the word in its place.
-_HINT = r"(?i)[0-9@]|[\[({<]\s?(?:at|dot)\s?[\])}>]|\sat\s+[a-z0-9-]+\s+dot\s"
+#: White space as Python's expressions know it, also for those of Arrow.
+_SPACE = "[\\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Where a span can be: each has a digit, an at sign, or the word in its place with a domain behind, as ``plausible`` asks for.
+_HINT = rf"(?i)[0-9@]|[\[({{<]\s?(?:at|dot)\s?[\])}}>]|\bat\b(?:{_SPACE}*[\])}}>]{_SPACE}*|{_SPACE}+)[a-z0-9-]+(?:\.[a-z0-9-]|{_SPACE}*(?:[\[({{<]{_SPACE}*)?\bdot\b)"
 _HINTS = re.compile(_HINT)
 
 

@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -205,3 +206,12 @@ def test_spans_side_by_side_that_the_rules_drop(docs, model):
     got = P.added(model, cases)
     assert sum(map(len, want)) >= 100 and sum(len(set(w) & set(g)) for w, g in zip(want, got)) >= 0.8 * sum(map(len, want))
     assert P.unsure(cases[0][0]) and not P.unsure("+1 (208) 555-1177 and 4539578763621486")
+
+
+@pytest.mark.parametrize("piece", ["jane.roe at example.com", "jane.roe AT example.com", "jane at example dot com", "jane[at]example.com", "jane at example (dot) org", "jane\u00a0at\u2003example.com"])
+def test_every_place_that_can_hold_a_span_is_read(piece):
+    text = f"write to {piece} today"
+    assert P.plausible("email", piece)
+    assert any(s <= 9 and 9 + len(piece) <= e for s, e in P.stretches(text))
+    assert P._hinted(pa.array(["look at me", text, None]))[0].tolist() == [1]
+    assert not P.stretches("nothing to look at here. Then they met at the dotted line")
