@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mix, shingle_hashes, word_hashes
+from .common import durable, mix, shingle_hashes, trimmed, word_hashes
 from .components import connected_components
 
 #: Two documents link from this similarity on, in hundredths, of shingles of so many words.
@@ -61,7 +61,7 @@ def sets(docs: DataFrame) -> DataFrame:
             own = [shingle_set(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([set_key(s) for s in own], pa.int64())], names=["doc_id", "n", "key"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, key long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(run), "doc_id long, n long, key long")
 
 
 _DEALT = "bucket int, batch long, high binary, low binary, counts binary, keys binary, sizes binary, owners binary, cuts binary"
@@ -118,7 +118,7 @@ def _dealt(docs: DataFrame, n_buckets: int) -> DataFrame:
         if held:
             yield flush(held, number)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, _DEALT)
+    return docs.select(F.col("text").cast("string")).mapInArrow(trimmed(run), _DEALT)
 
 
 _read = lambda column, kind: np.concatenate([np.empty(0, kind), *(np.frombuffer(x, dtype=kind) for x in column)])
@@ -186,7 +186,7 @@ def shared(docs: DataFrame, n_buckets: int, percent: int = PERCENT) -> DataFrame
     names = ("n", "shingles", "low", "rarest")
     once = found.where("low > 1").groupBy("key").agg(F.count("*").alias("m"), *[F.first(c).alias(c) for c in names])
     columns = ("key", "n", "alone", "shingles")
-    return found.where("low = 1").select(*columns).unionByName(once.mapInPandas(trim, "key long, n long, alone long, shingles binary"))
+    return found.where("low = 1").select(*columns).unionByName(once.mapInPandas(trimmed(trim), "key long, n long, alone long, shingles binary"))
 
 
 def _prefixes(found: DataFrame, percent: int) -> DataFrame:
@@ -207,7 +207,7 @@ def _prefixes(found: DataFrame, percent: int) -> DataFrame:
             again = lambda x: np.repeat(x, sizes)
             yield pd.DataFrame({"shingle": np.concatenate([np.empty(0, np.int64), *parts]), "key": again(rows["key"].to_numpy()), "share": again(alone / n), "most": again(n - alone) - place})
 
-    return found.select("key", "n", "alone", "shingles").mapInPandas(run, "shingle long, key long, share double, most long")
+    return found.select("key", "n", "alone", "shingles").mapInPandas(trimmed(run), "shingle long, key long, share double, most long")
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -236,7 +236,7 @@ def _linked(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     sides = found.select("key", "n", "shingles")
     rows = pairs.join(sides.alias("own"), F.col("a") == F.col("own.key")).select("a", "b", F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
     rows = rows.join(sides.alias("other"), F.col("b") == F.col("other.key")).select("a", "b", "n_a", F.col("n").alias("n_b"), "s_a", F.col("shingles").alias("s_b"))
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(trimmed(run), "a long, b long")
 
 
 def _can_link(n_a, most_a, n_b, most_b, percent: int):
@@ -317,7 +317,7 @@ def _split(members: DataFrame, big: DataFrame, percent: int) -> DataFrame:
                     to.append(below(region, pivots[k][0]))
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), *batch.take(pa.array(rows, pa.int64())).columns[1:]], names=batch.schema.names)
 
-    return members.join(F.broadcast(big.select("region")), "region", "left_semi").select(*[x.split()[0] for x in _REGION.split(", ")]).mapInArrow(run, _REGION)
+    return members.join(F.broadcast(big.select("region")), "region", "left_semi").select(*[x.split()[0] for x in _REGION.split(", ")]).mapInArrow(trimmed(run), _REGION)
 
 
 def _tiles(members: DataFrame, big: DataFrame) -> DataFrame:

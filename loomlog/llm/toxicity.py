@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import trimmed
+
 #: Bounds of the sample on which the classifier is fitted: toxic and clean documents, and characters of all.
 MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_CHARS = 1_000, 3_000, 40_000_000
 BUCKET_BITS, DIMENSIONS = 17, 8
@@ -204,4 +206,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             scores = held.value.scores([text.as_py() or "" for text in batch.column(where)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
