@@ -12,18 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import durable
+from .common import durable, trimmed
 
 ORDER = 4
-#: Documents held out at most, about, to calibrate the rejection; a documented bound, chosen by hash.
-MAX_CALIBRATION = 3_000
+#: Parts of the rows, each measured by a model of the others, to calibrate the rejection; cross-entropies are rounded to 1 / BINS.
+FOLDS, BINS = 2, 1024
 #: Lengths in characters for which the rejection has limits, and the share of held-out pieces above a limit.
 BANDS = [1 << i for i in range(1, 12)]
 REJECT = 0.005
 #: A language's limit for a length is its own from so many held-out pieces on.
 LEAST_PIECES = 20
 UNKNOWN = "und"
-_CHARS = 1_000_000
+_CHARS, _PIECES = 1_000_000, 200_000
 
 
 def fold(text: str) -> np.ndarray:
@@ -58,8 +58,8 @@ def grams(codes: np.ndarray, n: int) -> np.ndarray:
     return key[1:]
 
 
-def _batches(texts: pa.Array) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Rows, their joined codes and where each begins, about _CHARS characters at a time."""
+def _batches(texts: pa.Array, chars: int = _CHARS) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Rows, their joined codes and where each begins, about ``chars`` characters at a time."""
     rows: list[int] = []
     parts: list[np.ndarray] = []
     size = 0
@@ -67,7 +67,7 @@ def _batches(texts: pa.Array) -> Iterator[tuple[list[int], np.ndarray, np.ndarra
         parts.append(fold(text.as_py() or ""))
         rows.append(i)
         size += len(parts[-1])
-        if size >= _CHARS or i == len(texts) - 1:
+        if size >= chars or i == len(texts) - 1:
             lengths = np.array([len(p) for p in parts])
             yield rows, np.concatenate(parts), np.concatenate(([0], np.cumsum(lengths)))
             rows, parts, size = [], [], 0
@@ -115,7 +115,7 @@ def count_grams(labelled: DataFrame, order: int = ORDER) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(n[at : at + 100_000].astype(np.int64))], names=["lang", "gram", "n"])
 
     rows = labelled.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(trimmed(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -171,6 +171,34 @@ class Model:
                 total += np.bincount(row, minlength=n_docs)[:, None] * self.unseen
         return total, n
 
+    def steps(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Log-likelihood of each character by language; 0 for the space that a document begins with."""
+        out = np.zeros((len(codes), len(self.langs)))
+        place = np.ones(len(codes), dtype=bool)
+        place[starts[:-1]] = False
+        at_, keys = np.flatnonzero(place), _joined_grams(codes, starts, ORDER)[0]
+        for order in range(ORDER, 0, -1):
+            if not len(keys):
+                break
+            table, values = self.probability[order]
+            at, seen = _looked_up(table, hash_key(keys, order))
+            out[at_[seen]] += values[at[seen]]
+            keys, at_ = keys[~seen], at_[~seen]
+            if order > 1 and len(keys):
+                context, weights = self.backoff[order]
+                at, there = _looked_up(context, hash_key(keys >> np.uint64(16), order - 1))
+                out[at_[there]] += weights[at[there]]
+                keys = keys & np.uint64((1 << (16 * (order - 1))) - 1)
+            elif len(keys):
+                out[at_] += self.unseen
+        return out
+
+
+def _looked_up(table: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each slot is in a sorted table, and whether it is there."""
+    at = np.minimum(np.searchsorted(table, slots), max(len(table) - 1, 0))
+    return at, table[at] == slots if len(table) else np.zeros(len(slots), dtype=bool)
+
 
 def hash_key(keys: np.ndarray, order: int) -> np.ndarray:
     """What the tables of an order are sorted and looked up by: all 64 bits, so that no two n-grams share one."""
@@ -286,46 +314,66 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names=[*kept, "lang_pred", "score", "cross_entropy", "surprise"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
-def _pieces(held: DataFrame, model: Model) -> DataFrame:
-    """(lang, band, entropy) of texts whose language the model tells, and of pieces of them of each shorter length."""
-    shared = held.sparkSession.sparkContext.broadcast(model)
+def _pieces(rows: DataFrame, models: list[Model]) -> DataFrame:
+    """(lang, band, entropy, n): how many texts, and pieces of them of each shorter length, have which cross-entropy.
 
-    def cut(codes: np.ndarray, start: int, size: int) -> np.ndarray:
-        inner = codes[start : start + size]
-        return np.concatenate(([32], inner[int(inner[0] == 32) : size - int(inner[-1] == 32)], [32])).astype(np.uint64)
+    A row (text, lang, fold) is scored by the model of its fold, ``models[fold]``;
+    texts whose language that model does not tell are left out.  Pieces begin at
+    the first word and at one in the middle, and end where a word does; a
+    piece's band is the length of BANDS next to its own.  Cross-entropies are
+    rounded to 1 / BINS, so that rows are few whatever the number of texts.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def measured(m: Model, codes: np.ndarray, starts: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best language and length of each piece, and its summed log-likelihood in that language."""
+        lengths = np.diff(starts)
+        first = starts[:-1] + 1  # behind the space that each text begins with
+        spaces = np.flatnonzero(codes == 32)
+        middle = spaces[np.searchsorted(spaces, starts[:-1] + lengths // 2)] + 1
+        begins, ends, owners = [first], [starts[1:]], [np.arange(len(lengths))]
+        for start in (first, middle):
+            for band in BANDS:
+                some = np.flatnonzero(start + band < starts[1:])
+                stop = spaces[np.searchsorted(spaces, start[some] + band)] + 1
+                part = (stop < starts[some + 1]) | (start[some] > first[some])  # not the text itself
+                begins.append(start[some][part])
+                ends.append(stop[part])
+                owners.append(some[part])
+        begin, end, owner = np.concatenate(begins), np.concatenate(ends), np.concatenate(owners)
+        steps = m.steps(codes, starts)
+        sums = np.concatenate((np.zeros((1, len(m.langs))), np.cumsum(steps, axis=0)))
+        total = sums[end] - sums[begin]
+        whole = total[: len(first)].argmax(axis=1)
+        told = (np.array(m.langs, dtype=object)[whole] == langs) & (lengths > 2)
+        keep = told[owner]
+        total, n = total[keep], (end - begin)[keep]
+        best = total.argmax(axis=1)
+        band = np.clip(np.rint(np.log2(n)).astype(np.int64), 1, len(BANDS))
+        bins = np.rint(-total[np.arange(len(best)), best] / n * BINS).astype(np.int64)
+        return np.unique((best * (len(BANDS) + 1) + band) << 32 | bins, return_counts=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
+        have = shared.value
+        found: dict[tuple[int, int], int] = {}
         for batch in batches:
-            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
-                codes = fold(text.as_py() or "")
-                parts, bands = [codes], [0]
-                for band in BANDS:  # from the first word, and from one in the middle
-                    if len(codes) - 2 <= band or not m.langs:
-                        break
-                    middle = len(codes) // 2
-                    middle += int((codes[middle:-1] == 32).argmax())
-                    for start in {1, middle}:
-                        if start + band < len(codes):
-                            parts.append(cut(codes, start, band))
-                            bands.append(band)
-                lengths = np.array([len(p) for p in parts])
-                if lengths[0] < 3 or not m.langs:
-                    continue
-                total, n = m.log_likelihood(np.concatenate(parts), np.concatenate(([0], np.cumsum(lengths))))
-                if m.langs[int(total[0].argmax())] != lang:
+            langs, folds = np.array(batch.column(1).to_pylist(), dtype=object), np.array(batch.column(2).to_pylist())
+            for fold_ in set(folds.tolist()):
+                some = np.flatnonzero(folds == fold_)
+                if not have[fold_].langs:
                     continue
-                bands[0] = min(BANDS, key=lambda b: abs(math.log2(n[0] / b)))
-                best = total.argmax(axis=1)
-                fine = lengths > 2
-                names = [m.langs[i] for i in best[fine]]
-                entropy = -total[np.arange(len(best)), best][fine] / n[fine]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.array(bands)[fine], pa.int32()), pa.array(entropy)], names=["lang", "band", "entropy"])
+                for rows_, codes, starts in _batches(batch.column(0).take(pa.array(some)), _PIECES):
+                    for key, n in zip(*(x.tolist() for x in measured(have[fold_], codes, starts, langs[some[rows_]]))):
+                        found[fold_, key] = found.get((fold_, key), 0) + n
+        names = [have[fold_].langs[(key >> 32) // (len(BANDS) + 1)] for fold_, key in found]
+        bands = [1 << ((key >> 32) % (len(BANDS) + 1)) for _, key in found]
+        columns = [pa.array(names, pa.string()), pa.array(bands, pa.int32()), pa.array([(key & 0xFFFFFFFF) / BINS for _, key in found], pa.float64()), pa.array(list(found.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "band", "entropy", "n"])
 
-    return held.select("text", "lang").mapInArrow(run, "lang string, band int, entropy double")
+    return rows.select("text", "lang", "fold").mapInArrow(trimmed(run), "lang string, band int, entropy double, n long")
 
 
 def _limits(pieces: DataFrame) -> dict[str, tuple[list[float], list[float], list[float]]]:
@@ -334,8 +382,9 @@ def _limits(pieces: DataFrame) -> dict[str, tuple[list[float], list[float], list
     The limit is the held-out quantile at 1 - REJECT, farther from the usual
     figure by 3 / sqrt(n) of the way where ``n`` pieces make that uncertain.
     """
-    figures = [F.count("*"), F.percentile("entropy", 0.5), F.percentile("entropy", 1 - REJECT)]
-    rows = pieces.withColumn("lang", F.explode(F.array(F.col("lang"), F.lit("")))).groupBy("lang", "band").agg(*figures).collect()
+    figures = [F.sum("n"), F.percentile("entropy", 0.5, F.col("n")), F.percentile("entropy", 1 - REJECT, F.col("n"))]
+    counts = pieces.groupBy("lang", "band", "entropy").agg(F.sum("n").alias("n"))
+    rows = counts.withColumn("lang", F.explode(F.array(F.col("lang"), F.lit("")))).groupBy("lang", "band").agg(*figures).collect()
     out: dict[str, tuple[list[float], list[float], list[float]]] = {}
     for lang, band, n, middle, high in sorted(tuple(r) for r in rows):
         if n >= LEAST_PIECES:
@@ -346,27 +395,22 @@ def _limits(pieces: DataFrame) -> dict[str, tuple[list[float], list[float], list
     return out
 
 
-def fit(labelled: DataFrame, calibrate: int = MAX_CALIBRATION) -> Model:
+def fit(labelled: DataFrame, calibrate: bool = True) -> Model:
     """Learn from ``text`` and non-null ``lang`` of all rows.
 
-    The n-gram counts cover every row.  What cross-entropy is usual for each
-    language and length, and what is too much, is measured on about
-    ``calibrate`` rows (a fifth of each language at most) by a model that is
-    learned from the others; copies of a text are on one side.
+    The n-gram counts cover every row, and so does what is measured: which
+    cross-entropy is usual for each language and length, and which is too much.
+    Rows are dealt into FOLDS by their text, so that copies are in one, and each
+    is measured by a model that is learned from the others.
     """
-    if not calibrate:
-        return kneser_ney(count_grams(labelled))
     rows = labelled.where(F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = dict(tuple(r) for r in rows.groupBy("lang").count().collect())
-    if not sizes:
+    if not calibrate or rows.isEmpty():
         return kneser_ney(count_grams(labelled))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(0.2, calibrate / len(sizes) / n))])
-    held = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000
-    rows = rows.withColumn("_held", held)
-    counts = durable(count_grams(rows.select(F.concat(F.when(F.col("_held"), "1").otherwise("0"), "lang").alias("lang"), "text")))
-    counts = counts.select(F.substring("lang", 2, 1 << 30).alias("lang"), F.col("lang").startswith("0").alias("_rest"), "gram", "n")
-    model, rest = kneser_neys(counts, [F.lit(True), F.col("_rest")])
-    model.usual = _limits(_pieces(rows.where("_held"), rest))
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
+    counts = durable(count_grams(rows.select(F.concat(F.col("fold").cast("string"), "lang").alias("lang"), "text")))
+    counts = counts.select(F.substring("lang", 2, 1 << 30).alias("lang"), F.substring("lang", 1, 1).cast("int").alias("_fold"), "gram", "n")
+    model, *others = kneser_neys(counts, [F.lit(True), *[F.col("_fold") != k for k in range(FOLDS)]])
+    model.usual = _limits(_pieces(rows, others))
     return model
 
 

@@ -448,6 +448,26 @@ def test_kneser_ney_against_the_definition(spark):
         assert values[np.searchsorted(table, slot), 0] == pytest.approx(np.log(want), rel=1e-5)
 
 
+def test_language_limits_are_measured_on_every_row(spark):
+    rng = random.Random(15)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(40)]
+    rows = [(" ".join(rng.choice(words) for _ in range(rng.randint(8, 15))), "aa") for _ in range(5000)]
+    docs = spark.createDataFrame(rows, "text string, lang string").withColumn("fold", (F.length("text") % 2).cast("int"))
+    counts = language_id.count_grams(docs)
+    models = [language_id.kneser_ney(counts)] * 2
+    pieces = language_id._pieces(docs, models).where("band = 2048").count(), language_id._pieces(docs, models).groupBy().agg(F.sum("n")).first()[0]
+    wholes = language_id._pieces(docs.select(F.substring("text", 1, 2).alias("text"), "lang", "fold"), models).groupBy().agg(F.sum("n")).first()[0]
+    assert pieces[0] == 0 and pieces[1] > 10 * len(rows) and wholes == len(rows)
+    seen: list[int] = []
+    limits = language_id._limits
+    try:
+        language_id._limits = lambda p: seen.append(p.groupBy().agg(F.sum("n")).first()[0]) or limits(p)
+        assert language_id.fit(docs.drop("fold")).usual["aa"]
+    finally:
+        language_id._limits = limits
+    assert seen[0] > 10 * len(rows)  # a sample of 3,000 rows gave at most a fifth of that
+
+
 def test_language_rejection_by_length(spark):
     rng = random.Random(14)
     sound = {"aa": ["ba", "lo", "mi", "tan", "re", "su"], "bb": ["schra", "ung", "keit", "ver", "ich", "ten"]}
