@@ -228,8 +228,17 @@ def query_units(queries: DataFrame) -> DataFrame:
 
 def unit_counts(units: DataFrame, memories: DataFrame) -> DataFrame:
     """(qid, unit, id, tf): how often a memory's text has each term, or the words of a phrase one after another."""
-    wanted = units.select("qid", "unit", F.size("words").alias("_n"), F.posexplode("words").alias("_at", "term"))
-    found = memories.select("id", F.posexplode(X.search_tokens(F.col("text"))).alias("_pos", "term"))
-    met = found.join(F.broadcast(wanted) if wanted.limit(MAX_TERMS + 1).count() <= MAX_TERMS else wanted, "term")
-    starts = met.groupBy("qid", "unit", "id", "_n", (F.col("_pos") - F.col("_at")).alias("_start")).agg(F.count("*").alias("_k")).where("_k = _n")
-    return starts.groupBy("qid", "unit", "id").agg(F.count("*").alias("tf"))
+    distinct = units.select("unit", "words").distinct()
+    wanted = distinct.select("unit", "words", F.size("words").alias("_n"), F.posexplode("words").alias("_at", "term"))
+    beside = lambda by: F.when((F.col("_at") + by >= 0) & (F.col("_at") + by < F.col("_n")), F.get(F.col("words"), F.col("_at") + by))
+    wanted = wanted.select("unit", "_n", "_at", "term", beside(-1).alias("_lead"), beside(1).alias("_follow"))
+    texts = memories.select("id", X.search_tokens(F.col("text")).alias("w"))
+    near = F.transform("w", lambda t, i: F.struct(t.alias("term"), F.get(F.col("w"), i - 1).alias("_before"), F.get(F.col("w"), i + 1).alias("_next")))
+    found = texts.select("id", F.posexplode(near).alias("_pos", "p")).select("id", "_pos", "p.*")
+    small = lambda df: F.broadcast(df) if df.limit(MAX_TERMS + 1).count() <= MAX_TERMS else df
+    # a word of a phrase counts beside the phrase's own words only; of common words hardly any row is left
+    beside_own = (F.col("_lead").isNull() | (F.col("_lead") == F.col("_before"))) & (F.col("_follow").isNull() | (F.col("_follow") == F.col("_next")))
+    met = found.join(small(wanted), "term").where(beside_own).select("unit", "id", "_n", (F.col("_pos") - F.col("_at")).alias("_start"))
+    groups = met.groupBy("unit", "id", "_n", F.when(F.col("_n") > 1, F.col("_start")).alias("_start")).agg(F.count("*").alias("_k")).where("_n = 1 OR _k = _n")
+    counts = groups.groupBy("unit", "id").agg(F.sum(F.when(F.col("_n") == 1, F.col("_k")).otherwise(1)).alias("tf"))
+    return counts.join(small(units.select("qid", "unit").distinct()), "unit").select("qid", "unit", "id", "tf")

@@ -185,3 +185,17 @@ def test_empty_and_odd_batches(spark, tmp_path):
     assert [r.id for r in store.memory().collect()] == ["b"] and store.events().count() == 0
     store.rebuild()
     assert [r.id for r in store.memory().collect()] == ["b"]
+
+
+def test_unit_counts_keep_only_words_beside_their_phrase(spark):
+    from loomlog.operators import memory as M
+
+    texts = ["the cat the dog the cat cat", "cat the", "a the cat"] + ["the the the"] * 20
+    m = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    units = M.query_units(spark.createDataFrame([(1, "the-cat dog"), (2, "the-cat the-the"), (3, "cat")], "qid long, query string"))
+    got = M.unit_counts(units, m)
+    expected = {(q, "the-cat", i, n) for q in (1, 2) for i, n in ((0, 2), (2, 1))} | {(1, "dog", 0, 1), (3, "cat", 0, 3), (3, "cat", 1, 1), (3, "cat", 2, 1)}
+    expected |= {(2, "the-the", i, 2) for i in range(3, 23)}
+    assert {tuple(r) for r in got.select("qid", "unit", "id", "tf").collect()} == expected
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [qid" in line and "_start" in line]  # a unit is counted once, whoever asks
