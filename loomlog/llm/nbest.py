@@ -12,17 +12,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 #: Fixed value: the sign that stands for a space in pieces.
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_CACHE_CHUNKS, _CACHE_CHARS = 400_000, 40
+#: Chunks of each of the two generations that a task keeps, and the longest of them.
+_CACHE_CHUNKS, _CACHE_CHARS = 60_000, 40
 #: How much worse than the worst piece a character is that no piece has.
 UNKNOWN_PENALTY = 10.0
 _LOW = -1e300
 
 
 class Lattice(dict):
-    """The best segmentations of chunks, kept while there is room.
+    """The best segmentations of chunks, kept while there is room: chunks that come again outlive the others.
 
     A chunk is a run of spaces and the word after it.  No piece reaches over the
     start of a chunk, so each path through a text's lattice goes through these
@@ -37,6 +40,7 @@ class Lattice(dict):
         import sentencepiece
 
         self.n = n
+        self.before: dict[str, tuple[float, bytes, float]] = {}
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         size = self.model.vocab_size()
         usable = [i for i in range(size) if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i) or self.model.is_byte(i))]
@@ -169,14 +173,17 @@ class Lattice(dict):
         return out
 
     def __missing__(self, chunk: str) -> tuple[float, bytes, float]:
-        best, back, second = self.forward(chunk)
-        starts, at = [], len(chunk)
-        while at:
-            at = back[at]
-            starts.append(at)
-        found = (best[-1], self.put(chunk, starts).tobytes(), best[-1] - second)
+        found = self.before.pop(chunk, None)
+        if found is None:
+            best, back, second = self.forward(chunk)
+            starts, at = [], len(chunk)
+            while at:
+                at = back[at]
+                starts.append(at)
+            found = (best[-1], self.put(chunk, starts).tobytes(), best[-1] - second)
         if len(chunk) <= _CACHE_CHARS:
             if len(self) >= _CACHE_CHUNKS:
+                self.before = dict(self)
                 self.clear()
             self[chunk] = found
         return found
@@ -241,7 +248,7 @@ def encode(docs: DataFrame, model_file: str, n: int = 3) -> DataFrame:
                 columns = [docs_.slice(at, 200), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array([f[1] for f in found], pa.float64()), pa.array(others, kind), pa.array(restored)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "score", "others", "restored"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(run), "doc_id long, " + SCHEMA)
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:

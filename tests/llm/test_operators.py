@@ -542,6 +542,19 @@ def test_nbest_of_long_chunks_is_linear():
         assert len(others) == (0 if "日" in text else 2) and all(s <= score for s, _ in others)
 
 
+def test_nbest_keeps_what_comes_again(monkeypatch):
+    """Few chunks are kept, those that come again among them, and the results are those of any cache."""
+    assert 2 * nbest._CACHE_CHUNKS <= 150_000
+    text = " ".join(f"saté w{i}x" for i in range(400))
+    want = nbest.Lattice(PIECES, 3).nbest(text)
+    monkeypatch.setattr(nbest, "_CACHE_CHUNKS", 20)
+    lattice, read = nbest.Lattice(PIECES, 3), []
+    forward = lattice.forward
+    monkeypatch.setattr(lattice, "forward", lambda chunk: read.append(chunk) or forward(chunk))
+    assert lattice.nbest(text) == want
+    assert read.count(nbest.SPACE + "saté") <= 3 and len(lattice) + len(lattice.before) <= 40
+
+
 def test_nbest_round_trip(spark):
     rows = corpus() + [(800, "  two  spaces\n\nand ▁ sign"), (801, "x" * 3000)]
     docs = spark.createDataFrame(rows, DOCS)
