@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mix, shingle_hashes, trimmed, word_hashes
+from .common import durable, mix, settle, shingle_hashes, trimmed, word_hashes
 from .components import connected_components
 
 #: Two documents link from this similarity on, in hundredths, of shingles of so many words.
@@ -333,6 +333,7 @@ def _recurse(members: DataFrame, percent: int) -> DataFrame:
     spark = members.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     while True:
+        settle(spark)
         sizes = durable(members.groupBy("region").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")))
         small = F.col("shingles") <= LEAF_SHINGLES
         leaves = members.join(sizes.where(small | (F.col("size") <= 2)).select("region"), "region", "left_semi")
@@ -417,6 +418,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = durable(sets(docs))
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = durable(shared(docs, max(8, math.ceil(total / BUCKET_SHINGLES)), percent))
+    settle(docs.sparkSession)
     parts = connected_components(links(found, percent))
     same = own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
     same = same.join(parts, same["key"] == parts["node"], "left").select("key", "first", F.coalesce("component", "key").alias("group"))
