@@ -6,6 +6,8 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -240,6 +242,30 @@ def test_passages_of_several_documents_are_none(spark):
     assert passages.remove(docs, passages.find(docs)).where("doc_id = 3").count() == 1
 
 
+def test_passages_are_compared_with_all_holders(spark):
+    """Copies of a passage with other documents before and between them that have its halves the other way round."""
+    rng = random.Random(41)
+    rows = []
+    for k in range(20):
+        word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))  # noqa: B023, E731
+        own = lambda: [word() for _ in range(60)]  # noqa: B023, E731
+        passage = [word() for _ in range(70)]
+        turned = lambda: own() + passage[35:] + own() + passage[:35] + own()  # noqa: B023, E731
+        rows += [(10 * k + at, " ".join(words)) for at, words in enumerate((turned(), own() + passage + own(), turned(), own() + passage))]
+    found = passages.find(spark.createDataFrame(rows, DOCS)).collect()
+    assert {(r["doc_id"], r["first_doc"]) for r in found if r["later"]} == {(10 * k + 3, 10 * k + 1) for k in range(20)}
+
+
+def test_passages_of_many_holders(spark, monkeypatch):
+    """A key's blocks of holders give each pair once."""
+    monkeypatch.setattr(passages, "FEW", 4)
+    monkeypatch.setattr(passages, "BLOCK", 5)
+    rows = pd.DataFrame([(0, np.arange(23).tobytes(), np.ones(23, np.int32).tobytes(), np.full(23, 7, np.uint64).tobytes()), (0, np.arange(3).tobytes(), np.ones(3, np.int32).tobytes(), np.full(3, 8, np.uint64).tobytes())], columns=["bucket", "docs", "counts", "keys"])
+    blocks = pa.RecordBatch.from_pandas(passages._blocks(rows))
+    pairs = [p for b in passages._crossed(iter([blocks])) for p in zip(*[c.to_pylist() for c in b.columns])]
+    assert sorted(pairs) == sorted([(i, j) for j in range(23) for i in range(j)] + [(0, 1), (0, 2), (1, 2)])
+
+
 def test_passages_that_overlap_are_removed(spark):
     docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(200)))], DOCS)
     key = docs.select(F.xxhash64("text")).first()[0]
