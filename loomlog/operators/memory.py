@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,8 @@ def postings(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 #: Terms of all queries that are broadcast to the postings; beyond, both are joined by shuffle.
 MAX_TERMS = 200_000
+#: Memories that a task scores, about.
+MEMORIES = 5_000
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -75,12 +79,18 @@ def bm25(terms: DataFrame, memories: DataFrame) -> DataFrame:
     """(qid, id, score) of all memories that have a term of the query; more is better.
 
     Only the postings of terms that some query has are counted; N and the mean
-    length cover all memories.
+    length cover all memories.  Texts are dealt by id once, and terms, their
+    counts and scores stay where their memory is.
     """
     columns = [c for c in ("text", "when_to_use") if c in memories.columns]
-    words = memories.select("id", X.search_tokens(F.concat_ws(" ", *columns)).alias("words"))
-    corpus = words.agg(F.count("*").alias("_n"), F.avg(F.size("words")).alias("_mean"))
+    texts = memories.select("id", F.concat_ws(" ", *columns).alias("_text"))
+    corpus = texts.agg(F.count("*").alias("_n"), F.avg(F.size(X.search_tokens(F.col("_text")))).alias("_mean"))
+    n = max(int(memories.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(memories.count() / MEMORIES))
+    words = texts.repartition(n, "id").select("id", X.search_tokens(F.col("_text")).alias("words"))
+    few = terms.limit(MAX_TERMS + 1).count() <= MAX_TERMS
     wanted = terms.select("term").distinct()
+    if few:  # then no posting is shuffled by its term, however common that is
+        wanted = F.broadcast(wanted)
     found = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(wanted, "term", "left_semi")
     tf = found.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
@@ -88,7 +98,7 @@ def bm25(terms: DataFrame, memories: DataFrame) -> DataFrame:
     weights = df.crossJoin(F.broadcast(corpus)).select("term", "_mean", F.when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("_mean")))
     asked = terms.join(weights, "term")
-    if terms.limit(MAX_TERMS + 1).count() <= MAX_TERMS:  # then no posting is shuffled by its term, however common that is
+    if few:
         asked = F.broadcast(asked)
     return tf.join(asked, "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
 

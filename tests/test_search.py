@@ -199,3 +199,15 @@ def test_unit_counts_keep_only_words_beside_their_phrase(spark):
     assert {tuple(r) for r in got.select("qid", "unit", "id", "tf").collect()} == expected
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Aggregate [qid" in line and "_start" in line]  # a unit is counted once, whoever asks
+
+
+def test_scores_stay_where_their_memory_is(spark):
+    """No row is shuffled for a query and memory, and for none of its terms."""
+    from loomlog.operators import memory as M
+
+    memories = spark.createDataFrame([(i, "alpha beta " * (i % 3) + "gamma") for i in range(30)], "id long, text string")
+    terms = spark.createDataFrame([(1, "alpha"), (1, "gamma"), (2, "beta")], "qid long, term string")
+    scored = M.bm25(terms, memories)
+    assert scored.count() == 30 + 20
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(qid" not in plan and ", id#" not in "".join(x.split(")")[0] for x in plan.split("hashpartitioning(")[1:])
