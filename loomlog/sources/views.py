@@ -16,8 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as the steps of one session a user: host, session_id, idx (from 0), category, fp, failed, ts, value."""
+#: Events that a task reads the payloads of, about.
+EVENTS = 100_000
+
+
+def event_steps(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Events as the steps of one session a user: host, session_id, idx (from 0), category, fp, failed, ts, value.
+
+    ``spread``: for work that is long for the bytes of its rows, tasks are as many as the rows ask for.
+    """
     e = table(spark, sf_dir, "events")
     k = F.regexp_extract("props", r'"k": *(\d+)', 1)
     category = F.create_map(*[F.lit(x) for kv in CATEGORY_OF.items() for x in kv])[F.col("event_type")]
@@ -29,6 +36,8 @@ def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(category, F.lit("other")).alias("category"),
         F.concat_ws(":", "event_type", k).alias("fp"),
     )
+    if spread:
+        df = df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(e.count() / EVENTS)), "host", "session_id")
     return df.withColumn("idx", (F.row_number().over(order) - 1).cast("long")).withColumn("failed", F.col("category") == "error")
 
 
@@ -104,7 +113,7 @@ KINDS_OF_EVENTS = (
 
 def typed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of all kinds, one session a user: every third has only the first five, the others have web searches, secrets, interruptions, thoughts and unknown ones, too."""
-    e = event_steps(spark, sf_dir).withColumn("k", F.substring_index("fp", ":", -1).cast("int"))
+    e = event_steps(spark, sf_dir, spread=True).withColumn("k", F.substring_index("fp", ":", -1).cast("int"))
     kind = F.when(F.col("session_id").cast("long") % 3 == 0, F.col("k") % 5).otherwise(F.col("k") % len(KINDS_OF_EVENTS))
     filled = lambda t: F.replace(F.replace(F.lit(t), F.lit("@k"), F.col("k").cast("string")), F.lit("@m"), (F.col("k") % 3).cast("string"))
     pick = lambda i: F.element_at(F.array(*[filled(row[i]) for row in KINDS_OF_EVENTS]), kind + 1)

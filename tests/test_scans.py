@@ -109,3 +109,11 @@ def test_secrets_in_escaped_texts_keys_and_numbers(spark):
     df = spark.createDataFrame(rows, "host string, session_id string, ord long, event_id string, actor string, event_type string, summary string, payload string, timestamp string")
     got = {r.session_id: (r.secret_exposure_count, r.secret_exposure_signal) for r in signals.measure(df, ["secret_exposure_count", "secret_exposure_signal"]).collect()}
     assert got == {"s0": (1, True), "s1": (1, True), "s2": (1, True), "s3": (0, False), "s4": (0, False), "s5": (0, False)}
+
+
+def test_typed_events_are_spread_by_rows(spark):
+    """Tasks don't follow the few bytes of their rows, which stand for long work."""
+    from loomlog.sources.views import typed_events
+
+    events = typed_events(spark, "/root/testdata/sf0.001").withColumn("task", F.spark_partition_id())
+    assert events.select("task").distinct().count() > 1
