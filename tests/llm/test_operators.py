@@ -266,6 +266,68 @@ def test_passages_of_many_holders(spark, monkeypatch):
     assert sorted(pairs) == sorted([(i, j) for j in range(23) for i in range(j)] + [(0, 1), (0, 2), (1, 2)])
 
 
+def _kinds(regions, docs):
+    rows = [(0, 0, 0, k, min(d), max(d), r.astype(np.uint32).tobytes(), passages._region_anchors(r, k).astype(np.int32).tobytes()) for k, (r, d) in enumerate(zip(regions, docs))]
+    types = [pa.int32()] * 3 + [pa.int64()] * 3 + [pa.binary()] * 2
+    return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=["a", "b", "tile", "kind", "lo", "hi", "tokens", "at"])
+
+
+def test_passages_of_families_are_those_of_all_pairs(spark, monkeypatch):
+    """What is left out because a longer passage is known changes nothing; a pair with one minimum in common is compared."""
+    rng = np.random.default_rng(5)
+    token = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    families, regions = [token(300) for _ in range(4)], []
+    for k in range(60):
+        base = families[k % 4].copy()
+        for at in rng.integers(0, 300, 3):
+            base[at : at + 5] = 0
+        start = int(rng.integers(0, 100))
+        regions.append(np.concatenate((families[(k + 1) % 4][200 : 200 + 60 * (k % 3 == 0)], base[start : start + 150])))
+    docs = [[k] if k % 7 else [k, k + 500] for k in range(60)]
+    spans = {}
+    for r in passages._match(_kinds(regions, docs)).to_pylist():
+        for c in docs[r["kind"]]:
+            later, others = spans.setdefault(c, (set(), set()))
+            if r["lo"] < c:
+                later.add((r["start"], r["end"], r["lo"]))
+            if r["hi"] > c:
+                others.add((r["start"], r["end"], c))
+    filled = lambda x, k: np.where(x == 0, (1 << 63) + 1000 * k + np.arange(len(x), dtype=np.uint64), x)
+    key = [set(r[passages._region_anchors(r, k)].tolist()) for k, r in enumerate(regions)]
+    whole = {}
+    for c in range(60):
+        for d in range(60):
+            if not key[c] & key[d]:
+                continue
+            first, second = max((c, d), key=lambda k: (min(docs[k]), k)), min((c, d), key=lambda k: (min(docs[k]), k))
+            for i, j, k, m in passages.alike(filled(regions[first], first), filled(regions[second], 100 + second), passages.LEAST):
+                i, j = (i, j) if c == first else (k, m)
+                for doc in docs[c]:
+                    for other in docs[d]:
+                        if doc != other:
+                            whole.setdefault(doc, (set(), set()))[other > doc].add((i, j, min(doc, other)))
+    for doc, (later, others) in whole.items():
+        got_later, got_others = (passages._widest(sorted(x)) for x in spans.get(doc, ((), ())))
+        want_later, want_others = passages._widest(sorted(later)), passages._widest(sorted(others))
+        assert got_later == want_later
+        free = lambda x: [s for s in x if not any(a <= s[0] and s[1] <= b for a, b, _ in want_later)]  # noqa: B023, E731
+        assert free(got_others) == free(want_others)
+
+
+def test_regions_with_the_same_passage_are_one_kind():
+    """Of texts that have a passage and own words around it, only the passage is compared, once for all."""
+    rng = np.random.default_rng(6)
+    passage = rng.integers(1, 1 << 62, 80).astype(np.uint64)
+    kinds = set()
+    for k in range(50):
+        own = rng.integers(1, 1 << 62, 200 + k).astype(np.uint64)
+        common = np.concatenate((np.zeros(100, bool), np.ones(80, bool), np.zeros(100 + k, bool)))
+        ((place, region),) = passages.stretches(np.concatenate((own[:100], passage, own[100:])), common)
+        assert place == 100
+        kinds.add(passages._kind(region))
+    assert len(kinds) == 1
+
+
 def test_passages_that_overlap_are_removed(spark):
     docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(200)))], DOCS)
     key = docs.select(F.xxhash64("text")).first()[0]
