@@ -87,7 +87,7 @@ def _phrased(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _index(spark: SparkSession, m: DataFrame) -> DataFrame:
     path = new_folder(spark, "index")
-    S.write_index(S.postings(m), path)
+    S.index_memories(m.select("id", "text"), path)
     return S.read_index(spark, path)
 
 

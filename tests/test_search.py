@@ -211,3 +211,24 @@ def test_scores_stay_where_their_memory_is(spark):
     assert scored.count() == 30 + 20
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(qid" not in plan and ", id#" not in "".join(x.split(")")[0] for x in plan.split("hashpartitioning(")[1:])
+
+
+def test_a_new_index_has_what_postings_have_and_memories_stay_whole(spark, made, tmp_path):
+    """Texts are dealt before they are made postings: all of a memory's are in one file."""
+    m = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17}" for k in range(12))) for i in range(200)], "id long, text string")
+    S.index_memories(m, str(tmp_path / "index"))
+    got = S.read_index(spark, str(tmp_path / "index"))
+    assert sorted(map(str, got.select("id", "term", "positions", "length").collect())) == sorted(map(str, S.postings(m).collect()))
+    files = got.select("id", F.input_file_name().alias("file")).distinct()
+    assert files.count() == 200 and files.select("file").distinct().count() > 1
+
+
+def test_scores_of_the_index_stay_where_their_memory_is(spark):
+    """Scores are summed up without a shuffle by query and memory."""
+    hits = spark.createDataFrame([(1, i, 1 + i % 3, 9) for i in range(50)] + [(2, i, 1, 9) for i in range(0, 50, 2)], "_number int, id long, tf int, length int")
+    asked = spark.createDataFrame([(q, u, 1, 5.0, 1.5) for q in range(3) for u in (1, 2)], "qid long, unit int, times long, mean double, idf double")
+    scores = S._score(S._unpacked(S._packed(hits, 4).repartition(4, "id")), asked)
+    assert "hashpartitioning(qid" not in scores._jdf.queryExecution().executedPlan().toString()
+    plain = S._score(hits.withColumnRenamed("_number", "unit"), asked)
+    key = lambda df: sorted((r["qid"], r["id"], round(r["score"], 9)) for r in df.collect())
+    assert key(scores) == key(plain) and len(key(scores)) == 150
